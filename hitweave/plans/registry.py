@@ -18,6 +18,7 @@ from hitweave.functions import text as tx
 from hitweave.functions import timefn as tf
 from hitweave.functions import web
 from hitweave.operators import filters as flt
+from hitweave.operators import tfidf
 from hitweave.plans import oracle as o
 from hitweave.plans import search as srch
 from hitweave.session import prepare
@@ -244,3 +245,145 @@ def _window_query(kind):
 
 for _k in ("day", "month", "year"):
     _window_query(_k)
+
+
+# ---------------------------------------------------------------------------
+# TF-IDF
+
+def _tfidf_ctes(docs_sql: str, deps: tuple, max_features: int, prefix: str = "t") -> dict:
+    """Query-local CTEs of the TF-IDF contract over ``docs_sql`` = (g, d, x)."""
+    p = prefix
+    return {
+        f"{p}docs": (docs_sql, deps),
+        f"{p}tf": (f"SELECT g, d, term, count(*) AS tf FROM (SELECT g, d, unnest({o.tokens('x')}) AS term FROM {p}docs) "
+                   "GROUP BY g, d, term", (f"{p}docs",)),
+        f"{p}sizes": (f"SELECT g, count(*) AS n_docs FROM {p}docs GROUP BY g", (f"{p}docs",)),
+        f"{p}vocab": (f"""SELECT * FROM (SELECT g, term, CAST(sum(tf) AS BIGINT) AS ctf, count(*) AS df,
+                            row_number() OVER (PARTITION BY g ORDER BY sum(tf) DESC, term) AS term_rank
+                          FROM {p}tf GROUP BY g, term) WHERE term_rank <= {int(max_features)}""", (f"{p}tf",)),
+        f"{p}idf": (f"""SELECT v.g, v.term, v.df, s.n_docs, ln((1.0 + s.n_docs) / (1.0 + v.df)) + 1 AS idf
+                        FROM {p}vocab v JOIN {p}sizes s ON v.g = s.g""", (f"{p}vocab", f"{p}sizes")),
+        f"{p}w": (f"""SELECT t.g, t.d, t.term, t.tf * i.idf AS w FROM {p}tf t
+                      JOIN {p}idf i ON t.g = i.g AND t.term = i.term""", (f"{p}tf", f"{p}idf")),
+    }
+
+
+_DOCS_BY_SOURCE = _tfidf_ctes("SELECT source AS g, doc_id AS d, text AS x FROM documents", (),
+                              tfidf.RANK_MAX_FEATURES)
+_RTEXT = o.strip_ws("lower(concat_ws(' ', title, snippet))")
+_ITEM_DOCS = _tfidf_ctes(f"SELECT query AS g, pos AS d, {_RTEXT} AS x "
+                         f"FROM ({_NORM_ITEMS})", ("items",), tfidf.RANK_MAX_FEATURES)
+_INDEX = _tfidf_ctes("SELECT 'index' AS g, doc_id AS d, text AS x FROM documents", (), tfidf.INDEX_MAX_FEATURES,
+                     prefix="i")
+
+
+def _source_model(spark, sf):
+    docs = read_table(spark, sf, "documents").select("source", "doc_id", "text")
+    return tfidf.Fitted(docs, "source", "doc_id", "text", tfidf.RANK_MAX_FEATURES)
+
+
+def _norm_items(spark, sf):
+    return landed.normalise_items(fx.items(spark, sf))
+
+
+@register("ranking_text", o.with_ctes(
+    f"SELECT query, pos, {_RTEXT} AS text FROM ({_NORM_ITEMS})", "items"))
+def q_ranking_text(spark, sf):
+    """``"title snippet"``, lower-cased and trimmed, of every hit."""
+    return _norm_items(spark, sf).select("query", "pos", tx.ranking_text(F.col("title"), F.col("snippet")).alias("text"))
+
+
+@register("tokens", f"""SELECT doc_id, CAST(len(toks) AS BIGINT) AS n_tokens, array_to_string(toks, ' ') AS tokens
+    FROM (SELECT doc_id, {o.tokens('text')} AS toks FROM documents)""")
+def q_tokens(spark, sf):
+    """C4: every document's token sequence (stop words removed), whole texts."""
+    t = read_table(spark, sf, "documents").select("doc_id", tx.tokens(F.col("text")).alias("toks"))
+    return t.select("doc_id", F.size("toks").cast("bigint").alias("n_tokens"), F.array_join("toks", " ").alias("tokens"))
+
+
+@register("term_freq", o.with_ctes(
+    "SELECT g AS source, d AS doc_id, term, tf FROM ttf", extra=_DOCS_BY_SOURCE))
+def q_term_freq(spark, sf):
+    """A1: term frequency per document (corpus = source)."""
+    return _source_model(spark, sf).tf.select("source", "doc_id", "term", "tf")
+
+
+@register("vocabulary", o.with_ctes(
+    "SELECT g AS source, term, ctf, df, term_rank FROM tvocab", extra=_DOCS_BY_SOURCE))
+def q_vocabulary(spark, sf):
+    """The 500 most frequent terms of each source."""
+    return _source_model(spark, sf).vocab.select("source", "term", "ctf", "df", "term_rank")
+
+
+@register("idf_table", o.with_ctes(
+    "SELECT g AS source, term, df, n_docs, round(idf, 4) AS idf FROM tidf", extra=_DOCS_BY_SOURCE))
+def q_idf_table(spark, sf):
+    """A2: document frequency and smoothed IDF of each vocabulary term."""
+    return _source_model(spark, sf).idf.select("source", "term", "df", "n_docs", r4("idf").alias("idf"))
+
+
+@register("tfidf_vectors", o.with_ctes(
+    "SELECT g AS source, d AS doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY g, d)), 4) AS weight FROM tw",
+    extra=_DOCS_BY_SOURCE))
+def q_tfidf_vectors(spark, sf):
+    """A3/M5: L2-normalised TF-IDF weights of every document."""
+    return _source_model(spark, sf).vectors().select("source", "doc_id", "term", r4("weight").alias("weight"))
+
+
+@register("tfidf_rank", o.with_ctes(
+    f"""SELECT query, pos, link, round(CASE WHEN anyh = 0 THEN 1.0 WHEN n = 1 THEN importance
+                                       WHEN mx = mn THEN 0.0 ELSE (importance - mn) / (mx - mn) END, 4) AS ml_rank
+        FROM sc JOIN (SELECT query, min(importance) AS mn, max(importance) AS mx, count(*) AS n,
+                             max(CAST(has AS INTEGER)) AS anyh FROM sc GROUP BY query) st USING (query)""",
+    extra={**_ITEM_DOCS,
+           "imp": ("SELECT g, d, sum(w) / sqrt(sum(w * w)) AS importance FROM tw GROUP BY g, d", ("tw",)),
+           "sc": (f"""SELECT h.query, h.pos, h.link, coalesce(i.importance, 0.0) AS importance,
+                             i.importance IS NOT NULL AS has
+                      FROM ({_NORM_ITEMS}) h LEFT JOIN imp i ON i.g = h.query AND i.d = h.pos""", ("imp",))}))
+def q_tfidf_rank(spark, sf):
+    """M3 (A4/A5): min-max scaled TF-IDF importance of every hit within its query."""
+    ranked = tfidf.tfidf_rank(_norm_items(spark, sf), corpus="query", doc="pos")
+    return ranked.select("query", "pos", "link", r4("ml_rank").alias("ml_rank"))
+
+
+@register("feature_importance", o.with_ctes(
+    """SELECT g AS query, term, round(idf, 4) AS idf, term_rank FROM (
+         SELECT g, term, idf, row_number() OVER (PARTITION BY g ORDER BY df, term) AS term_rank FROM tidf)
+       WHERE term_rank <= 10""", extra=_ITEM_DOCS))
+def q_feature_importance(spark, sf):
+    """The ten highest-IDF vocabulary terms of every query's result set."""
+    fi = tfidf.feature_importance(_norm_items(spark, sf), corpus="query", doc="pos", top=10)
+    return fi.select("query", "term", r4("idf").alias("idf"), "term_rank")
+
+
+_SEM = {**_INDEX,
+        "post": ("SELECT d AS doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY d)) AS weight FROM iw", ("iw",)),
+        "qtf": (f"SELECT query_id, term, count(*) AS tf FROM (SELECT query_id, unnest({o.tokens('text')}) AS term "
+                "FROM search_queries) GROUP BY query_id, term", ("search_queries",)),
+        "qw": ("SELECT q.query_id, q.term, q.tf * i.idf AS w FROM qtf q JOIN iidf i ON q.term = i.term", ("qtf", "iidf")),
+        "qv": ("SELECT query_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY query_id)) AS qweight FROM qw", ("qw",)),
+        "sem": ("""SELECT qv.query_id, post.doc_id, sum(qv.qweight * post.weight) AS score
+                   FROM qv JOIN post ON qv.term = post.term GROUP BY qv.query_id, post.doc_id""", ("qv", "post"))}
+
+
+def _index(spark, sf):
+    return tfidf.Index(fx.search_docs(spark, sf), "doc_id", "text", tfidf.INDEX_MAX_FEATURES)
+
+
+@register("semantic_scores", o.with_ctes(
+    "SELECT query_id, doc_id, round(score, 4) AS score FROM sem", extra=_SEM))
+def q_semantic_scores(spark, sf):
+    """Cosine similarity of each query with every document sharing a term."""
+    s = _index(spark, sf).scores(fx.search_queries(spark))
+    return s.select("query_id", "doc_id", r4("score").alias("score"))
+
+
+@register("semantic_topk", o.with_ctes(
+    """SELECT query_id, doc_id, round(score, 4) AS score, rank FROM (
+         SELECT query_id, doc_id, score,
+                row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM sem)
+       WHERE rank <= 5""", extra=_SEM))
+def q_semantic_topk(spark, sf):
+    """The five most similar documents per query."""
+    t = _index(spark, sf).topk(fx.search_queries(spark), k=5)
+    return t.select("query_id", "doc_id", r4("score").alias("score"), "rank")
