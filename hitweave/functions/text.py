@@ -94,6 +94,27 @@ def extractive_summary(query, context, max_sentences: int = 2, min_chars: int =
     return F.when((F.size(hits) > 0) & (F.length(joined) > min_chars), joined).otherwise(fallback)
 
 
+def round_binary(col, digits: int = 2) -> Column:
+    """Round a double to ``digits`` decimals by its exact binary value, half to
+    even on exact ties (what C, Python and JavaScript formatting do).
+
+    ``x * 10^d`` is computed error-free (Dekker's product with a Veltkamp split:
+    ``p + e`` is the exact product), so a product that rounds onto .5 is still
+    decided by the true value.  Pure double arithmetic: stays in codegen."""
+    x = _c(col).cast("double")
+    scale = float(10 ** digits)
+    p = x * F.lit(scale)
+    c = x * F.lit(134217729.0)                    # 2^27 + 1
+    hi = c - (c - x)
+    lo = x - hi
+    e = (hi * F.lit(scale) - p) + lo * F.lit(scale)   # scale splits exactly (< 2^27)
+    n = F.floor(p).cast("double")
+    frac = p - n
+    up = (frac > 0.5) | ((frac == 0.5) & ((e > 0) | ((e == 0) & (F.pmod(n, F.lit(2.0)) == 1.0))))
+    return (F.when(up, n + 1.0).otherwise(n)) / F.lit(scale)
+
+
 def score_text(col) -> Column:
-    """Two-decimal score text as the result page shows (and sends back)."""
-    return F.format_string("%.2f", _c(col).cast("double"))
+    """Two-decimal score text as the result page shows (and sends back);
+    0.145 (stored as 0.14499..) -> "0.14", 0.225 (0.22500..06) -> "0.23"."""
+    return F.format_string("%.2f", round_binary(col, 2))

@@ -7,7 +7,8 @@ on ``(k, o)`` (Spark samples the bounds, so a hot ``k`` is spread over many
 tasks), each task numbers its rows in order, and a small table of per-task
 counts turns the local numbers into group-wide ones.
 
-* shuffle: one range exchange of the rows; the count table has at most
+* one range exchange of the rows, materialised once with ``checkpoint()``
+  (number narrow projections and join wide columns back); the count table has at most
   ``partitions + groups`` rows and is joined back (broadcast by AQE when small,
   otherwise a balanced hash join on ``(k, partition)``).
 * ``order`` must be a total order within a group (add a unique tie-break),
@@ -21,6 +22,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hitweave.session import checkpoint_root
+
 _P, _M, _N, _OG, _OP = "__hw_part", "__hw_mono", "__hw_n", "__hw_off_group", "__hw_off_part"
 
 
@@ -36,10 +39,15 @@ def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence, out: str = "rn"
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     key_cols = [F.col(k) for k in keys]
     order_cols = [_sort_key(o) for o in order]
+    checkpoint_root(spark)  # the shared folder named by spark.checkpoint.dir (set only if unset)
+    # One reliable checkpoint cuts the lineage: the task/row ids become plain
+    # data, both consumers below read the same files (no recomputation, and
+    # nested calls stay linear), and a lost executor re-reads them.
     ranged = (df.repartitionByRange(n, *key_cols, *order_cols)
                 .sortWithinPartitions(*key_cols, *order_cols)
                 .withColumn(_P, F.spark_partition_id())
-                .withColumn(_M, F.monotonically_increasing_id()))
+                .withColumn(_M, F.monotonically_increasing_id())
+                .checkpoint(eager=True))
     # Counts per (group, task) do not depend on the order inside the task.
     counts = ranged.groupBy(*keys, _P).agg(F.count(F.lit(1)).alias(_N))
     before = Window.unboundedPreceding

@@ -17,8 +17,12 @@ from pyspark.sql import functions as F
 from hitweave.functions import text as tx
 from hitweave.functions import timefn as tf
 from hitweave.functions import web
+from hitweave.operators import feedback as fb
 from hitweave.operators import filters as flt
+from hitweave.operators import merge as mg
+from hitweave.operators import snapshots as snap
 from hitweave.operators import tfidf
+from hitweave.plans import answer
 from hitweave.plans import oracle as o
 from hitweave.plans import search as srch
 from hitweave.session import prepare
@@ -387,3 +391,398 @@ def q_semantic_topk(spark, sf):
     """The five most similar documents per query."""
     t = _index(spark, sf).topk(fx.search_queries(spark), k=5)
     return t.select("query_id", "doc_id", r4("score").alias("score"), "rank")
+
+
+# ---------------------------------------------------------------------------
+# Feedback and the results table
+
+_FB_VALID = """SELECT event_id, ts, query, link, title, coalesce(snippet, '') AS snippet,
+    coalesce(CAST(ml_rank AS DOUBLE), 0.0) AS ml_rank, coalesce(rag_summary, '') AS rag_summary,
+    coalesce(CAST("rank" AS INTEGER), 1) AS "rank"
+  FROM feedback WHERE query IS NOT NULL AND link IS NOT NULL AND title IS NOT NULL"""
+_FB_ROLLUP = f"""SELECT query, link, count(*) AS clicks, min(ts) AS first_ts, max(ts) AS last_ts,
+    arg_max(title, (ts, event_id)) AS l_title,
+    arg_max(snippet, (ts, event_id)) AS l_snippet,
+    arg_max(ml_rank, (ts, event_id)) AS l_ml_rank,
+    arg_max(rag_summary, (ts, event_id)) AS l_rag_summary,
+    arg_min("rank", (ts, event_id)) AS first_rank
+  FROM ({_FB_VALID}) v GROUP BY query, link"""
+_UPSERT = f"""SELECT coalesce(r.query, u.query) AS query, coalesce(r.link, u.link) AS link,
+    CASE WHEN u.query IS NOT NULL THEN u.l_title ELSE r.title END AS title,
+    CASE WHEN u.query IS NOT NULL THEN u.l_snippet ELSE r.snippet END AS snippet,
+    CAST(CASE WHEN r.query IS NOT NULL THEN r."rank" ELSE u.first_rank END AS INTEGER) AS "rank",
+    CASE WHEN r.query IS NOT NULL THEN r.created ELSE u.first_ts END AS created,
+    CASE WHEN u.query IS NOT NULL THEN true ELSE r.relevance END AS relevance,
+    CAST(CASE WHEN u.query IS NOT NULL THEN u.l_ml_rank ELSE r.ml_rank END AS DOUBLE) AS ml_rank,
+    CASE WHEN u.query IS NOT NULL THEN u.l_rag_summary ELSE r.rag_summary END AS rag_summary,
+    CAST(coalesce(r.click_count, 0) + coalesce(u.clicks, 0) AS INTEGER) AS click_count,
+    CASE WHEN u.query IS NOT NULL THEN u.last_ts ELSE r.last_clicked END AS last_clicked
+  FROM stored r FULL OUTER JOIN ({_FB_ROLLUP}) u ON r.query = u.query AND r.link = u.link"""
+_RESULT_OUT = ("query", "link", "title", "snippet", "rank", "created", "relevance", "ml_rank", "rag_summary",
+               "click_count", "last_clicked")
+
+
+def _results_out(df):
+    return df.select("query", "link", "title", "snippet", "rank", ntz("created").alias("created"), "relevance",
+                     r4("ml_rank").alias("ml_rank"), "rag_summary", "click_count",
+                     ntz("last_clicked").alias("last_clicked"))
+
+
+_RESULTS_OUT_SQL = ('query, link, title, snippet, "rank", created, relevance, round(ml_rank, 4) AS ml_rank, '
+                    'rag_summary, click_count, last_clicked')
+
+
+@register("feedback_rejects", o.with_ctes(
+    """SELECT event_id, CASE WHEN query IS NULL THEN 'missing query' WHEN link IS NULL THEN 'missing link'
+                             ELSE 'missing title' END AS reason
+       FROM feedback WHERE query IS NULL OR link IS NULL OR title IS NULL""", "feedback"))
+def q_feedback_rejects(spark, sf):
+    """feedback events lacking a required field, with the reason."""
+    return fb.feedback_rejects(fx.feedback(spark, sf))
+
+
+@register("feedback_rollup", o.with_ctes(
+    f"""SELECT query, link, clicks, first_ts, last_ts, l_title AS title, l_snippet AS snippet,
+               round(l_ml_rank, 4) AS ml_rank, l_rag_summary AS rag_summary, first_rank
+        FROM ({_FB_ROLLUP})""", "feedback"))
+def q_feedback_rollup(spark, sf):
+    """Clicks per (query, link) with first/last time, latest fields and first rank."""
+    r = fb.feedback_rollup(fx.feedback(spark, sf))
+    return r.select("query", "link", "clicks", ntz("first_ts").alias("first_ts"), ntz("last_ts").alias("last_ts"),
+                    F.col("latest.title").alias("title"), F.col("latest.snippet").alias("snippet"),
+                    r4("latest.ml_rank").alias("ml_rank"), F.col("latest.rag_summary").alias("rag_summary"),
+                    "first_rank")
+
+
+@register("feedback_upsert", o.with_ctes(f"SELECT {_RESULTS_OUT_SQL} FROM ({_UPSERT})", "stored", "feedback"))
+def q_feedback_upsert(spark, sf):
+    """The results table after folding in every click."""
+    return _results_out(fb.feedback_upsert(fx.stored(spark, sf), fx.feedback(spark, sf)))
+
+
+@register("results_replace", o.with_ctes(
+    f"""SELECT {_RESULTS_OUT_SQL} FROM (
+          SELECT query, link, title, snippet, "rank", created, relevance, ml_rank, rag_summary, click_count, last_clicked
+          FROM stored s WHERE NOT EXISTS (SELECT 1 FROM ({_SEARCH_HITS}) h WHERE h.query = s.query AND h.link = s.link)
+          UNION ALL
+          SELECT query, link, title, snippet, CAST(rank AS INTEGER), {o.ts(fx.NOW_FEEDBACK)}, false, ml_rank,
+                 coalesce(rag_summary, ''), 0, CAST(NULL AS TIMESTAMP)
+          FROM ({_SEARCH_HITS}))""", "stored", "items", "page_fetch"))
+def q_results_replace(spark, sf):
+    """Fresh hits written replace-on-key into the results table."""
+    hits = srch.search_hits(fx.items(spark, sf), fx.page_fetch(spark, sf))
+    return _results_out(fb.results_replace(fx.stored(spark, sf), hits, fx.NOW_FEEDBACK))
+
+
+@register("constraint_audit", o.with_ctes(
+    f"""SELECT CAST(count(*) AS BIGINT) AS n_rows,
+               CAST(count_if(query IS NULL) AS BIGINT) AS null_query, CAST(count_if("rank" IS NULL) AS BIGINT) AS null_rank,
+               CAST(count_if(link IS NULL) AS BIGINT) AS null_link, CAST(count_if(title IS NULL) AS BIGINT) AS null_title,
+               CAST((SELECT count(*) FROM (SELECT 1 FROM ({_UPSERT}) GROUP BY query, link HAVING count(*) > 1)) AS BIGINT)
+                 AS dup_keys
+        FROM ({_UPSERT})""", "stored", "feedback"))
+def q_constraint_audit(spark, sf):
+    """NOT NULL and UNIQUE(query, link) audit of the results table after feedback."""
+    return fb.constraint_audit(fb.feedback_upsert(fx.stored(spark, sf), fx.feedback(spark, sf)))
+
+
+# ---------------------------------------------------------------------------
+# Stored results in order, counts per request
+
+_T1 = 'relevance DESC NULLS FIRST, click_count DESC NULLS FIRST, "rank" ASC NULLS LAST, link'
+
+
+@register("stored_results", o.with_ctes(
+    f"""SELECT query, row_number() OVER (PARTITION BY query ORDER BY {_T1}) AS position, link, relevance, click_count,
+               "rank" FROM stored""", "stored"))
+def q_stored_results(spark, sf):
+    """Every query's stored hits in display order (``position`` 1..n)."""
+    s = mg.stored_order(fx.stored(spark, sf), "query", out="position", base=1)
+    return s.select("query", "position", "link", "relevance", "click_count", "rank")
+
+
+def _counts_sql(now):
+    cols = ", ".join(f"count_if(created >= {o.days_ago(now, d)}) AS n_{n}" for n, d in tf.TIME_FILTER_DAYS.items())
+    pick = " ".join(f"WHEN r.time_filter = '{n}' THEN c.n_{n}" for n in tf.TIME_FILTER_DAYS)
+    return f"""SELECT r.query, r.time_filter,
+                      CAST(coalesce(CASE WHEN r.time_filter = '' THEN c.n_all {pick} END, 0) AS BIGINT) AS n_results
+               FROM requests r LEFT JOIN (SELECT query, count(*) AS n_all, {cols} FROM stored GROUP BY query) c
+               ON r.query = c.query"""
+
+
+@register("result_counts", o.with_ctes(_counts_sql(fx.NOW_STORED), "requests", "stored"))
+def q_result_counts(spark, sf):
+    """Stored hits per request (query, time filter) at 2024-01-20."""
+    return mg.result_counts(fx.stored(spark, sf), fx.requests(spark, sf), fx.NOW_STORED)
+
+
+# ---------------------------------------------------------------------------
+# Merge, rank, format
+
+_HIT_FIELDS_SQL = "title, link, snippet, ml_rank, rag_summary, click_count, relevance"
+
+
+def _merge_sql(stored_sql: str, fresh_sql: str, key: str, p: str) -> dict:
+    """CTEs of M4 over ``stored_sql`` / ``fresh_sql`` = (key, pos, hit fields); result CTE ``{p}mr``."""
+    cols = f"{key}, CAST(pos AS BIGINT) AS pos, CAST(title AS VARCHAR) AS title, CAST(link AS VARCHAR) AS link, " \
+           "CAST(snippet AS VARCHAR) AS snippet, CAST(ml_rank AS DOUBLE) AS ml_rank, " \
+           "CAST(rag_summary AS VARCHAR) AS rag_summary, CAST(click_count AS BIGINT) AS click_count, " \
+           "CAST(relevance AS BOOLEAN) AS relevance"
+    return {
+        f"{p}u": (f"SELECT {cols}, 'db' AS source, 0 AS prio FROM ({stored_sql}) "
+                  f"UNION ALL SELECT {cols}, 'new' AS source, 1 AS prio FROM ({fresh_sql})", ()),
+        f"{p}sz": (f"SELECT {key}, count_if(source = 'db') AS n_db, count_if(source = 'new') AS n_new FROM {p}u "
+                   f"GROUP BY {key}", (f"{p}u",)),
+        f"{p}dd": (f"""SELECT {key}, pos, title, link, snippet, coalesce(ml_rank, 0.0) AS ml_rank, rag_summary,
+                         coalesce(click_count, 0) AS click_count, coalesce(relevance, false) AS relevance, source, prio
+                       FROM (SELECT u.*, row_number() OVER (PARTITION BY u.{key}, u.link ORDER BY u.prio, u.pos) AS rn
+                             FROM {p}u u JOIN {p}sz s ON u.{key} = s.{key} WHERE s.n_db > 0 AND s.n_new > 0)
+                       WHERE rn = 1""", (f"{p}u", f"{p}sz")),
+        f"{p}sc": (f"""SELECT d.*, 2.0 * CAST(relevance AS INTEGER)
+                         + CASE WHEN n.mc > 0 THEN 1.0 * click_count / n.mc ELSE 0.0 END
+                         + CASE WHEN n.mm > 0 THEN 1.0 * ml_rank / n.mm ELSE 0.0 END AS rank_score
+                       FROM {p}dd d JOIN (SELECT {key}, max(click_count) AS mc, max(ml_rank) AS mm FROM {p}dd
+                                          GROUP BY {key}) n ON d.{key} = n.{key}""", (f"{p}dd",)),
+        f"{p}al": (f"""SELECT * FROM {p}sc UNION ALL
+                       SELECT u.{key}, u.pos, u.title, u.link, u.snippet, u.ml_rank, u.rag_summary, u.click_count,
+                              u.relevance, u.source, u.prio, CAST(NULL AS DOUBLE) AS rank_score
+                       FROM {p}u u JOIN {p}sz s ON u.{key} = s.{key} WHERE NOT (s.n_db > 0 AND s.n_new > 0)""",
+                   (f"{p}sc",)),
+        f"{p}mr": (f"""SELECT *, row_number() OVER (PARTITION BY {key}
+                                   ORDER BY round(rank_score, 9) DESC NULLS LAST, prio, pos, link) AS rank
+                       FROM {p}al""", (f"{p}al",)),
+    }
+
+
+_STORED_SIDE = f"SELECT query, row_number() OVER (PARTITION BY query ORDER BY {_T1}) - 1 AS pos, {_HIT_FIELDS_SQL} FROM stored"
+_FRESH_SIDE = (f"SELECT query, rank - 1 AS pos, title, link, snippet, ml_rank, rag_summary, 0 AS click_count, "
+               f"false AS relevance FROM ({_SEARCH_HITS}) WHERE query <> 'de'")
+_MERGE = _merge_sql(_STORED_SIDE, _FRESH_SIDE, "query", "m")
+
+
+def _stored_side(spark, sf):
+    return mg.stored_order(fx.stored(spark, sf), "query", out="pos", base=0)
+
+
+def _fresh_side(spark, sf, exclude_de: bool = True):
+    """Fresh hits of every query but 'de' (FIXTURES: exercises the empty-fresh branch)."""
+    h = srch.search_hits(fx.items(spark, sf), fx.page_fetch(spark, sf))
+    if exclude_de:
+        h = h.filter(F.col("query") != "de")
+    return h.select("query", (F.col("rank") - 1).alias("pos"), "title", "link", "snippet", "ml_rank", "rag_summary",
+                    F.lit(0).alias("click_count"), F.lit(False).alias("relevance"))
+
+
+@register("merge_dedup", o.with_ctes(
+    f"""SELECT query, link, source, pos FROM (
+          SELECT *, row_number() OVER (PARTITION BY query, link ORDER BY prio, pos) AS rn FROM mu) WHERE rn = 1""",
+    "stored", "items", "page_fetch", extra=_MERGE))
+def q_merge_dedup(spark, sf):
+    """Stored and fresh hits unioned, first row per (query, link) kept."""
+    d = mg.merge_dedup(_stored_side(spark, sf), _fresh_side(spark, sf))
+    return d.select("query", "link", "source", "pos")
+
+
+@register("merge_rank", o.with_ctes(
+    "SELECT query, rank, link, source, round(rank_score, 4) AS rank_score FROM mmr",
+    "stored", "items", "page_fetch", extra=_MERGE))
+def q_merge_rank(spark, sf):
+    """M4 (A6, C16, W2, T2): merged and ranked lists; one-sided queries keep their own order."""
+    m = mg.merge_rank(_stored_side(spark, sf), _fresh_side(spark, sf))
+    return m.select("query", "rank", "link", "source", r4("rank_score").alias("rank_score"))
+
+
+_FORMAT = ("SELECT query, row_number() OVER (PARTITION BY query ORDER BY rank, link) AS rank, "
+           "coalesce(title, 'Untitled') AS title, coalesce(link, '#') AS link, "
+           "coalesce(snippet, 'No description available') AS snippet, coalesce(ml_rank, 0.0) AS ml_rank, rag_summary, "
+           "coalesce(click_count, 0) AS click_count, coalesce(relevance, false) AS relevance FROM mmr")
+
+
+def _formatted(spark, sf):
+    return mg.format_results(mg.merge_rank(_stored_side(spark, sf), _fresh_side(spark, sf)), "query", "rank",
+                            renumber=False)
+
+
+@register("format_results", o.with_ctes(
+    f"""SELECT query, rank, title, link, snippet, round(ml_rank, 4) AS ml_rank, rag_summary, click_count, relevance
+        FROM ({_FORMAT})""", "stored", "items", "page_fetch", extra=_MERGE))
+def q_format_results(spark, sf):
+    """The merged lists in display shape, ranks 1..n."""
+    return _formatted(spark, sf).select("query", "rank", "title", "link", "snippet", r4("ml_rank").alias("ml_rank"),
+                                        "rag_summary", "click_count", "relevance")
+
+
+@register("score_text", o.with_ctes(
+    f"SELECT query, rank, printf('%.2f', ml_rank) AS score_text FROM ({_FORMAT})",
+    "stored", "items", "page_fetch", extra=_MERGE))
+def q_score_text(spark, sf):
+    """The two-decimal score text shown (and sent back) per displayed hit."""
+    return _formatted(spark, sf).select("query", "rank", tx.score_text("ml_rank").alias("score_text"))
+
+
+# ---------------------------------------------------------------------------
+# Snapshots; M8: answer requests (flagship)
+
+READ_NOW = "2024-02-01 00:05:00"
+# The prior snapshot versions of the fixture (key suffix, cached_at,
+# ttl seconds, list): a valid one, an expired one, and an older valid one that
+# the valid one supersedes; plus a year-old version that feedback invalidates.
+SNAPSHOT_VERSIONS = (
+    (":month", "2024-02-01 00:00:00", 0, "stored"),
+    (":day", "2024-01-31 23:00:00", 600, "stored"),
+    (":month", "2024-01-31 23:58:00", 3600, "fresh"),
+    (":year", "2024-01-10 00:00:00", 31536000, "stored"),
+)
+
+
+def _lists(spark, sf):
+    """The two kinds of finished lists the fixture caches: stored lists (T1 order)
+    and fresh hit lists, both as (query, rank, hit fields)."""
+    st = mg.stored_order(fx.stored(spark, sf), "query", out="rank", base=1)
+    fresh = srch.search_hits(fx.items(spark, sf), fx.page_fetch(spark, sf)).select(
+        "query", "rank", "title", "link", "snippet", "ml_rank", "rag_summary",
+        F.lit(0).alias("click_count"), F.lit(False).alias("relevance"))
+    return {"stored": st, "fresh": fresh}
+
+
+def _fixture_snapshots(spark, sf):
+    lists = _lists(spark, sf)
+    out = None
+    for suffix, at, ttl, kind in SNAPSHOT_VERSIONS:
+        src = lists[kind].withColumn("cache_key", F.concat(F.col("query"), F.lit(suffix)))
+        w = snap.snapshot_write(src, at, ttl_seconds=ttl)
+        out = w if out is None else out.unionByName(w)
+    return out
+
+
+_LIST_SQL = {
+    "stored": f"""SELECT query, row_number() OVER (PARTITION BY query ORDER BY {_T1}) AS rank, title, link, snippet,
+                         ml_rank, rag_summary, click_count, relevance FROM stored""",
+    "fresh": f"""SELECT query, rank, title, link, snippet, ml_rank, rag_summary, 0 AS click_count, false AS relevance
+                 FROM ({_SEARCH_HITS})""",
+}
+
+
+def _snap_sql():
+    parts = []
+    for suffix, at, ttl, kind in SNAPSHOT_VERSIONS:
+        secs = ttl or snap.DEFAULT_TTL_SECONDS
+        parts.append(f"""SELECT query || '{suffix}' AS cache_key, 'final' AS kind, {o.ts(at)} AS cached_at,
+                                {o.ts(at)} + INTERVAL {secs} SECOND AS expires_at, CAST(rank AS BIGINT) AS rank, title,
+                                link, snippet, CAST(ml_rank AS DOUBLE) AS ml_rank, rag_summary,
+                                CAST(click_count AS BIGINT) AS click_count, relevance
+                         FROM ({_LIST_SQL[kind]})""")
+    return " UNION ALL ".join(parts)
+
+
+_SNAP = {
+    "snap": (_snap_sql(), ()),
+    "vsnap": (f"""SELECT s.* FROM snap s JOIN (
+                    SELECT cache_key, kind, max(cached_at) AS latest FROM snap
+                    WHERE cached_at <= {o.ts(READ_NOW)} AND {o.ts(READ_NOW)} < expires_at GROUP BY cache_key, kind) l
+                  ON s.cache_key = l.cache_key AND s.kind = l.kind AND s.cached_at = l.latest""", ("snap",)),
+    "req": ("""SELECT DISTINCT query, time_filter,
+                      CASE WHEN time_filter = '' THEN query ELSE query || ':' || time_filter END AS cache_key
+               FROM (SELECT regexp_replace(query, '^\\s+|\\s+$', '', 'g') AS query, coalesce(time_filter, '') AS time_filter
+                     FROM requests) WHERE query <> ''""", ()),
+}
+_SNAP_NEEDS = ("stored", "items", "page_fetch", "requests")
+_HIT_OUT_SQL = ("rank, title, link, snippet, round(ml_rank, 4) AS ml_rank, rag_summary, click_count, relevance")
+
+
+def _hits_out(df, *lead):
+    return df.select(*lead, "rank", "title", "link", "snippet", r4("ml_rank").alias("ml_rank"), "rag_summary",
+                     "click_count", "relevance")
+
+
+@register("snapshot_write", o.with_ctes(
+    f"""SELECT query || ':month' AS cache_key, 'final' AS kind, CAST((rank - 1) // 100 AS BIGINT) AS chunk,
+               count(*) AS n_items, {o.ts(fx.NOW_FEEDBACK)} AS cached_at,
+               {o.ts(fx.NOW_FEEDBACK)} + INTERVAL 600 SECOND AS expires_at
+        FROM ({_LIST_SQL['stored']}) GROUP BY query, (rank - 1) // 100""", "stored"))
+def q_snapshot_write(spark, sf):
+    """Every query's stored list written as snapshot chunks with the default TTL."""
+    st = _lists(spark, sf)["stored"].withColumn("cache_key", F.concat(F.col("query"), F.lit(":month")))
+    w = snap.snapshot_write(st, fx.NOW_FEEDBACK)
+    return w.select("cache_key", "kind", "chunk", "n_items", ntz("cached_at").alias("cached_at"),
+                    ntz("expires_at").alias("expires_at"))
+
+
+@register("snapshot_read", o.with_ctes(
+    f"SELECT v.cache_key, {_HIT_OUT_SQL} FROM vsnap v WHERE v.cache_key IN (SELECT cache_key FROM req)",
+    *_SNAP_NEEDS, extra=_SNAP))
+def q_snapshot_read(spark, sf):
+    """Decoded lists of the requests' valid, latest snapshots at the read time."""
+    keys = flt.clean_queries(fx.requests(spark, sf))
+    r = snap.snapshot_read(_fixture_snapshots(spark, sf), keys, READ_NOW)
+    return _hits_out(r, "cache_key")
+
+
+@register("snapshot_reuse", o.with_ctes(
+    """SELECT r.cache_key, CASE WHEN EXISTS (SELECT 1 FROM vsnap v WHERE v.cache_key = r.cache_key)
+                               THEN 'hit' ELSE 'miss' END AS status
+       FROM (SELECT DISTINCT cache_key FROM req) r""", *_SNAP_NEEDS, extra=_SNAP))
+def q_snapshot_reuse(spark, sf):
+    """Which requests can reuse a snapshot and which must be computed."""
+    keys = flt.clean_queries(fx.requests(spark, sf))
+    return snap.snapshot_reuse(keys, _fixture_snapshots(spark, sf), READ_NOW)
+
+
+_SNAP_KEYS_SQL = ("SELECT cache_key, kind, CAST((rank - 1) // 100 AS BIGINT) AS chunk, cached_at, count(*) AS n_items "
+                  "FROM snap GROUP BY cache_key, kind, (rank - 1) // 100, cached_at")
+
+
+@register("snapshot_invalidate", o.with_ctes(
+    f"""SELECT s.* FROM ({_SNAP_KEYS_SQL}) s
+        WHERE NOT EXISTS (
+          SELECT 1 FROM (SELECT query, max(ts) AS last_ts FROM feedback WHERE query IS NOT NULL GROUP BY query) f,
+                        (VALUES (''), (':day'), (':month'), (':year')) AS x(sfx)
+          WHERE f.query || x.sfx = s.cache_key AND s.cached_at <= f.last_ts)""",
+    *_SNAP_NEEDS, "feedback", extra=_SNAP))
+def q_snapshot_invalidate(spark, sf):
+    """Snapshots left after the clicks invalidate the keys of their queries."""
+    s = snap.snapshot_invalidate(_fixture_snapshots(spark, sf), fx.feedback(spark, sf))
+    return s.select("cache_key", "kind", "chunk", ntz("cached_at").alias("cached_at"), "n_items")
+
+
+@register("snapshot_purge", o.with_ctes(
+    f"""SELECT cache_key, kind, chunk, cached_at, n_items FROM (
+          SELECT cache_key, kind, CAST((rank - 1) // 100 AS BIGINT) AS chunk, cached_at, expires_at,
+                 count(*) AS n_items FROM snap GROUP BY cache_key, kind, (rank - 1) // 100, cached_at, expires_at)
+        WHERE expires_at > {o.ts(READ_NOW)}""", *_SNAP_NEEDS, extra=_SNAP))
+def q_snapshot_purge(spark, sf):
+    """The snapshot table without the rows expired at the read time."""
+    s = snap.snapshot_purge(_fixture_snapshots(spark, sf), READ_NOW)
+    return s.select("cache_key", "kind", "chunk", ntz("cached_at").alias("cached_at"), "n_items")
+
+
+def _answer_sql():
+    cut = " ".join(f"WHEN m.time_filter = '{n}' THEN {o.days_ago(READ_NOW, d)}" for n, d in tf.TIME_FILTER_DAYS.items())
+    miss = "(SELECT * FROM req r WHERE NOT EXISTS (SELECT 1 FROM vsnap v WHERE v.cache_key = r.cache_key))"
+    stored_side = f"""SELECT m.cache_key, row_number() OVER (PARTITION BY m.cache_key ORDER BY {_T1.replace('"rank"', 's."rank"')}) - 1
+                             AS pos, s.title, s.link, s.snippet, s.ml_rank, s.rag_summary, s.click_count, s.relevance
+                      FROM {miss} m JOIN stored s ON m.query = s.query
+                      WHERE (CASE {cut} END) IS NULL OR s.created >= (CASE {cut} END)"""
+    fresh_side = f"""SELECT m.cache_key, h.rank - 1 AS pos, h.title, h.link, h.snippet, h.ml_rank, h.rag_summary,
+                            0 AS click_count, false AS relevance
+                     FROM {miss} m JOIN ({_SEARCH_HITS}) h ON m.query = h.query"""
+    merge_ctes = _merge_sql(stored_side, fresh_side, "cache_key", "ans_")
+    body = f"""SELECT r.cache_key, r.query, r.time_filter, a.rank, coalesce(a.title, 'Untitled') AS title,
+                      coalesce(a.link, '#') AS link, coalesce(a.snippet, 'No description available') AS snippet,
+                      round(coalesce(a.ml_rank, 0.0), 4) AS ml_rank, a.rag_summary, coalesce(a.click_count, 0) AS click_count,
+                      coalesce(a.relevance, false) AS relevance, false AS from_cache
+               FROM ans_mr a JOIN req r ON a.cache_key = r.cache_key
+               UNION ALL
+               SELECT r.cache_key, r.query, r.time_filter, {_HIT_OUT_SQL}, true AS from_cache
+               FROM vsnap v JOIN req r ON v.cache_key = r.cache_key"""
+    return o.with_ctes(body, *_SNAP_NEEDS, extra={**_SNAP, **merge_ctes})
+
+
+@register("answer_requests", _answer_sql())
+def q_answer_requests(spark, sf):
+    """M8 (flagship): every request answered from a valid snapshot, or by merging
+    its stored hits (in its time window) with the query's fresh hits."""
+    a = answer.answer_requests(fx.requests(spark, sf), fx.stored(spark, sf), fx.items(spark, sf),
+                               fx.page_fetch(spark, sf), _fixture_snapshots(spark, sf), READ_NOW)
+    return a.select("cache_key", "query", "time_filter", "rank", "title", "link", "snippet",
+                    r4("ml_rank").alias("ml_rank"), "rag_summary", "click_count", "relevance", "from_cache")

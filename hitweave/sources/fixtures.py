@@ -45,7 +45,9 @@ def page_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hits_with_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``items`` plus the page id and html: arrival order ``pos`` per query by page id."""
     pb = page_base(spark, sf_dir)
-    numbered = ordinal(pb, ["query"], ["page_id"], out="pos", base=0)
+    # number the narrow (query, page_id) projection, then join the wide columns back
+    pos = ordinal(pb.select("query", "page_id"), ["query"], ["page_id"], out="pos", base=0).drop("query")
+    numbered = pb.join(pos, "page_id")
     return numbered.select(
         "query", "pos",
         F.when(F.col("page_id") % 37 == 5, F.lit("")).otherwise(F.col("title")).alias("title"),
