@@ -25,10 +25,11 @@ from hitweave.operators import tfidf
 from hitweave.plans import answer
 from hitweave.plans import oracle as o
 from hitweave.plans import search as srch
-from hitweave.session import prepare
+from hitweave.session import prepare, scratch_path
 from hitweave.sources import fixtures as fx
 from hitweave.sources import landed
 from hitweave.sources.tables import read_table
+from hitweave.streaming import feedback_stream as fstream
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -786,3 +787,33 @@ def q_answer_requests(spark, sf):
                                fx.page_fetch(spark, sf), _fixture_snapshots(spark, sf), READ_NOW)
     return a.select("cache_key", "query", "time_filter", "rank", "title", "link", "snippet",
                     r4("ml_rank").alias("ml_rank"), "rag_summary", "click_count", "relevance", "from_cache")
+
+
+# ---------------------------------------------------------------------------
+# Feedback as a stream (same table as the batch fold)
+
+STREAM_SPLIT = "2024-01-16 00:00:00"
+
+
+@register("feedback_stream", ORACLE["feedback_upsert"])
+def q_feedback_stream(spark, sf):
+    """Clicks delivered as files in three micro-batches (early half, late half,
+    then a redelivery of some events of both), folded by the streaming job; the
+    results table equals the batch fold (``feedback_upsert``)."""
+    root = scratch_path(spark, "feedback_stream")
+    ev = fx.feedback(spark, sf).select(*[f.name for f in fstream.FEEDBACK_SCHEMA.fields])
+    mid = tf.ts_lit(STREAM_SPLIT)
+    early, late = ev.filter(F.col("ts") < mid), ev.filter(F.col("ts") >= mid)
+    redelivered = ev.filter(((F.col("ts") >= mid) & (F.col("event_id") % 7 == 0))
+                            | ((F.col("ts") < mid) & (F.col("event_id") % 11 == 0)))
+    for part, n in ((early, 2), (late, 2), (redelivered, 1)):
+        part.repartition(n).write.mode("append").parquet(f"{root}/source")
+    q = fstream.start_feedback_stream(spark, f"{root}/source", f"{root}/rollup", f"{root}/state",
+                                      watermark="1 hour", files_per_batch=2)
+    q.awaitTermination(900)
+    if q.isActive:
+        q.stop()
+        raise TimeoutError("feedback stream did not finish")
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return _results_out(fstream.results_from_stream(spark, fx.stored(spark, sf), f"{root}/rollup"))
