@@ -75,6 +75,16 @@ def tokens(text, stop_words=DEFAULT_STOP_WORDS) -> Column:
     return F.filter(toks, lambda t: ~F.array_contains(stop, t))
 
 
+def raw_tokens(text) -> Column:
+    """Lower-cased word tokens, stop words kept."""
+    return F.regexp_extract_all(F.lower(F.coalesce(_c(text), F.lit(""))), F.lit(TOKEN_PATTERN), 0)
+
+
+def is_stop_word(term, stop_words=DEFAULT_STOP_WORDS) -> Column:
+    """Membership test for exploded tokens (an ``InSet``, stays in codegen)."""
+    return _c(term).isin(*sorted(set(stop_words))) if stop_words else F.lit(False)
+
+
 def query_words(query) -> Column:
     """Whitespace-separated words of a query (no empty pieces)."""
     return F.filter(F.split(F.coalesce(_c(query), F.lit("")), r"\s+", -1), lambda t: t != "")

@@ -636,18 +636,21 @@ SNAPSHOT_VERSIONS = (
 )
 
 
-def _lists(spark, sf):
+def _lists(spark, sf, stored=None, items=None, fetched=None):
     """The two kinds of finished lists the fixture caches: stored lists (T1 order)
     and fresh hit lists, both as (query, rank, hit fields)."""
-    st = mg.stored_order(fx.stored(spark, sf), "query", out="rank", base=1)
-    fresh = srch.search_hits(fx.items(spark, sf), fx.page_fetch(spark, sf)).select(
+    stored = stored if stored is not None else fx.stored(spark, sf)
+    items = items if items is not None else fx.items(spark, sf)
+    fetched = fetched if fetched is not None else fx.page_fetch(spark, sf)
+    st = mg.stored_order(stored, "query", out="rank", base=1)
+    fresh = srch.search_hits(items, fetched).select(
         "query", "rank", "title", "link", "snippet", "ml_rank", "rag_summary",
         F.lit(0).alias("click_count"), F.lit(False).alias("relevance"))
     return {"stored": st, "fresh": fresh}
 
 
-def _fixture_snapshots(spark, sf):
-    lists = _lists(spark, sf)
+def _fixture_snapshots(spark, sf, **inputs):
+    lists = _lists(spark, sf, **inputs)
     out = None
     for suffix, at, ttl, kind in SNAPSHOT_VERSIONS:
         src = lists[kind].withColumn("cache_key", F.concat(F.col("query"), F.lit(suffix)))
@@ -783,8 +786,9 @@ def _answer_sql():
 def q_answer_requests(spark, sf):
     """M8 (flagship): every request answered from a valid snapshot, or by merging
     its stored hits (in its time window) with the query's fresh hits."""
-    a = answer.answer_requests(fx.requests(spark, sf), fx.stored(spark, sf), fx.items(spark, sf),
-                               fx.page_fetch(spark, sf), _fixture_snapshots(spark, sf), READ_NOW)
+    stored, items, fetched = fx.stored(spark, sf), fx.items(spark, sf), fx.page_fetch(spark, sf)
+    snaps = _fixture_snapshots(spark, sf, stored=stored, items=items, fetched=fetched)
+    a = answer.answer_requests(fx.requests(spark, sf), stored, items, fetched, snaps, READ_NOW)
     return a.select("cache_key", "query", "time_filter", "rank", "title", "link", "snippet",
                     r4("ml_rank").alias("ml_rank"), "rag_summary", "click_count", "relevance", "from_cache")
 

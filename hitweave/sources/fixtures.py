@@ -31,23 +31,30 @@ NOW_STORED = "2024-01-20 00:00:00"
 NOW_FEEDBACK = "2024-02-01 00:00:00"
 
 
+LANG = r'<html lang="([a-z]+)"'
+TITLE = r"(?s)<title>(.*?)</title>"
+
+
 def page_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with the page language as the query, title and visible text."""
-    pages = read_table(spark, sf_dir, "pages")
-    return pages.select(
-        "page_id", "url", "html",
-        F.regexp_extract("html", r'<html lang="([a-z]+)"', 1).alias("query"),
-        F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("title"),
-        visible_text(F.col("html")).alias("body"),
-    )
+    return _with_text(read_table(spark, sf_dir, "pages").select(
+        "page_id", "url", "html", F.regexp_extract("html", LANG, 1).alias("query")))
+
+
+def _with_text(pages: DataFrame) -> DataFrame:
+    return pages.withColumns({"title": F.regexp_extract("html", TITLE, 1), "body": visible_text(F.col("html"))})
 
 
 def hits_with_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``items`` plus the page id and html: arrival order ``pos`` per query by page id."""
-    pb = page_base(spark, sf_dir)
-    # number the narrow (query, page_id) projection, then join the wide columns back
-    pos = ordinal(pb.select("query", "page_id"), ["query"], ["page_id"], out="pos", base=0).drop("query")
-    numbered = pb.join(pos, "page_id")
+    """``items`` plus the page id and html: arrival order ``pos`` per query by page id.
+
+    Only the cheap ``(page_id, query)`` projection is numbered; the raw pages are
+    joined back and the title/body regexes run after the join, so a filter on
+    ``pos`` (the first ten hits) reaches the join before any text work."""
+    pages = read_table(spark, sf_dir, "pages")
+    keys = pages.select("page_id", F.regexp_extract("html", LANG, 1).alias("query"))
+    pos = ordinal(keys, ["query"], ["page_id"], out="pos", base=0)
+    numbered = _with_text(pages.select("page_id", "url", "html").join(pos, "page_id"))
     return numbered.select(
         "query", "pos",
         F.when(F.col("page_id") % 37 == 5, F.lit("")).otherwise(F.col("title")).alias("title"),
@@ -99,13 +106,17 @@ def dated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def act(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User actions on pages: each event lands on page ``(user_id*7 + k) % #pages``."""
     ev = read_events(spark, sf_dir)
-    pb = page_base(spark, sf_dir)
+    # Narrow page columns, hash-partitioned on the join key: the text regexes run
+    # once per page below the exchange (a one-to-many hash join would otherwise
+    # re-evaluate them per matching event), and the join reuses this partitioning.
+    pb = (page_base(spark, sf_dir)
+          .select("page_id", "query", "url", "title", F.substring("body", 1, 120).alias("snippet"))
+          .repartition("page_id"))
     n_pages = read_table(spark, sf_dir, "pages").select(F.count(F.lit(1))).scalar()  # scalar subquery
     k = F.get_json_object("props", "$.k").cast("bigint")
     e = ev.select("event_id", "event_type", "ts", "value", ((F.col("user_id") * 7 + k) % n_pages).alias("pid"))
     return (e.join(pb, e["pid"] == pb["page_id"])
-             .select("event_id", "event_type", "ts", "query", F.col("url").alias("link"), "title",
-                     F.substring("body", 1, 120).alias("snippet"),
+             .select("event_id", "event_type", "ts", "query", F.col("url").alias("link"), "title", "snippet",
                      F.round(F.col("value") / 500, 4).alias("ml_rank")))
 
 
@@ -132,7 +143,7 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search requests: every query with the time filters day, month and none."""
-    q = items(spark, sf_dir).select("query").distinct()
+    q = read_table(spark, sf_dir, "pages").select(F.regexp_extract("html", LANG, 1).alias("query")).distinct()
     return q.select("query", F.explode(F.array(F.lit("day"), F.lit("month"), F.lit(""))).alias("time_filter"))
 
 

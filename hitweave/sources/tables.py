@@ -9,8 +9,23 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+# Tables whose rows carry long text (HTML, documents): their per-row regex work is
+# CPU-heavy, so a scan narrower than the cluster is spread before it.
+TEXT_TABLES = ("pages", "documents")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin the rows over at least ``min_partitions`` tasks (default: the
+    cluster's parallelism) when the scan yields fewer; a no-op for any input
+    already split that wide (every large table), so it costs nothing at scale."""
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    have = df.rdd.getNumPartitions()
+    return df.repartition(want) if have < want else df
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
