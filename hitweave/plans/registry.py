@@ -650,13 +650,15 @@ def _lists(spark, sf, stored=None, items=None, fetched=None):
 
 
 def _fixture_snapshots(spark, sf, **inputs):
+    """The prior snapshot table (written once to the shared folder, as it would
+    be at rest)."""
     lists = _lists(spark, sf, **inputs)
     out = None
     for suffix, at, ttl, kind in SNAPSHOT_VERSIONS:
         src = lists[kind].withColumn("cache_key", F.concat(F.col("query"), F.lit(suffix)))
         w = snap.snapshot_write(src, at, ttl_seconds=ttl)
         out = w if out is None else out.unionByName(w)
-    return out
+    return out.checkpoint(eager=True)
 
 
 _LIST_SQL = {

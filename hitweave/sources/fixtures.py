@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from hitweave.functions.web import visible_text
 from hitweave.operators.ordinal import ordinal
+from hitweave.session import checkpoint_root
 from hitweave.sources.tables import read_events, read_table
 
 # The fixture blocklist (four entries of the reference's list plus
@@ -129,7 +130,15 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored ``results`` table, keyed (query, link); query 'es' has nothing stored."""
+    """The stored ``results`` table, keyed (query, link); query 'es' has nothing stored.
+
+    A table at rest in real use: it is written once (checkpoint in the shared
+    folder) so the jobs reading it several times do not re-derive it."""
+    checkpoint_root(spark)
+    return _stored(spark, sf_dir).checkpoint(eager=True)
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = act(spark, sf_dir).filter((F.col("event_type") == "purchase")
                                    & (F.col("ts") < F.to_timestamp(F.lit("2024-01-21 00:00:00")))
                                    & (F.col("event_id") % 6 == 0) & (F.col("query") != "es"))
