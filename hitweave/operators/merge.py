@@ -14,6 +14,7 @@ a key holding a third of all rows is still spread over many tasks.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +27,30 @@ SOURCE_PRIORITY = {"db": 0, "new": 1}
 FIELDS = ("title", "link", "snippet", "ml_rank", "rag_summary", "click_count", "relevance")
 
 
+def stored_sort_key() -> F.Column:
+    """T1 as one ascending sort key (struct), for when the stored order is only
+    needed to order rows (merge), not as a dense number: relevance desc nulls
+    first, click_count desc nulls first, rank asc nulls last.  Pair with
+    :func:`position_sort_key` on the other side; ties go on to ``link``."""
+    rel = F.when(F.col("relevance").isNull(), 0).when(F.col("relevance"), 1).otherwise(2)
+    clicks = F.when(F.col("click_count").isNull(), F.lit(-(2 ** 63))).otherwise(-F.col("click_count").cast("bigint"))
+    rank = F.coalesce(F.col("rank").cast("bigint"), F.lit(2 ** 63 - 1))
+    return F.struct(rel.cast("int").alias("a"), clicks.alias("b"), rank.alias("c"))
+
+
+def position_sort_key(pos) -> F.Column:
+    """A plain position as a sort key of the same type as :func:`stored_sort_key`."""
+    p = F.col(pos) if isinstance(pos, str) else pos
+    return F.struct(F.lit(0).alias("a"), p.cast("bigint").alias("b"), F.lit(0).cast("bigint").alias("c"))
+
+
 def _side(df: DataFrame, key: str, source: str) -> DataFrame:
-    """Align a side: missing fields null, types fixed, source tag and priority."""
+    """Align a side: missing fields null, types fixed, source tag and priority.
+    ``pos`` is a number or a sort key struct (both sides must agree)."""
     cols = {c: (F.col(c) if c in df.columns else F.lit(None)) for c in FIELDS}
+    is_struct = dict(df.dtypes)["pos"].startswith("struct")
     return df.select(
-        F.col(key).alias(key), F.col("pos").cast("bigint").alias("pos"),
+        F.col(key).alias(key), (F.col("pos") if is_struct else F.col("pos").cast("bigint")).alias("pos"),
         cols["title"].cast("string").alias("title"), cols["link"].cast("string").alias("link"),
         cols["snippet"].cast("string").alias("snippet"), cols["ml_rank"].cast("double").alias("ml_rank"),
         cols["rag_summary"].cast("string").alias("rag_summary"),
@@ -71,7 +91,9 @@ def merge_rank(stored: DataFrame, fresh: DataFrame, key: str = "query", weights=
 
     ``stored`` and ``fresh`` carry ``key``, ``pos`` (their own order) and the hit
     fields; fields missing on a side are null (F11)."""
-    u = union_sides(stored, fresh, key)
+    # the union feeds four branches (both/one-sided rows, normalisers, scores): keep it
+    # cached for the one eager numbering pass below, which materialises the result
+    u = union_sides(stored, fresh, key).persist(StorageLevel.MEMORY_AND_DISK)
     both = (F.col("__n_db") > 0) & (F.col("__n_new") > 0)
     merged = keep_first(u.filter(both).drop("__n_db", "__n_new"), key)
     merged = merged.withColumns({
@@ -91,6 +113,7 @@ def merge_rank(stored: DataFrame, fresh: DataFrame, key: str = "query", weights=
     allrows = scored.unionByName(single)
     ranked = ordinal(allrows, [key], [F.round("rank_score", ORDER_DIGITS).desc_nulls_last(), F.col("__prio"),
                                       F.col("pos"), F.col("link")], out="rank", base=1)
+    u.unpersist()  # ``ranked`` reads the checkpoint written by ``ordinal``
     return ranked.drop("__prio")
 
 

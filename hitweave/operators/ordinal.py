@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,11 +44,15 @@ def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence, out: str = "rn"
     # One reliable checkpoint cuts the lineage: the task/row ids become plain
     # data, both consumers below read the same files (no recomputation, and
     # nested calls stay linear), and a lost executor re-reads them.
-    ranged = (df.repartitionByRange(n, *key_cols, *order_cols)
-                .sortWithinPartitions(*key_cols, *order_cols)
-                .withColumn(_P, F.spark_partition_id())
-                .withColumn(_M, F.monotonically_increasing_id())
-                .checkpoint(eager=True))
+    # The range exchange reads its input twice (bound sampling, then the shuffle):
+    # keep the input cached for the duration of this one pass.
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    ranged = (src.repartitionByRange(n, *key_cols, *order_cols)
+                 .sortWithinPartitions(*key_cols, *order_cols)
+                 .withColumn(_P, F.spark_partition_id())
+                 .withColumn(_M, F.monotonically_increasing_id())
+                 .checkpoint(eager=True))
+    src.unpersist()
     # Counts per (group, task) do not depend on the order inside the task.
     counts = ranged.groupBy(*keys, _P).agg(F.count(F.lit(1)).alias(_N))
     before = Window.unboundedPreceding

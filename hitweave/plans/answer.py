@@ -37,12 +37,13 @@ def answer_requests(requests: DataFrame, stored: DataFrame, items: DataFrame, fe
     cut = window_cutoff_col(F.col("time_filter"), now)
     st = (miss.join(stored, "query")
               .filter(cut.isNull() | (F.col("created") >= cut)))
-    st = merge.stored_order(st, key="cache_key", out="pos", base=0)
+    # the stored order only orders rows here: a sort key, no dense numbering pass
+    st = st.withColumn("pos", merge.stored_sort_key())
 
     # fresh side: hits of the missed queries only (cut to 10 before pages are joined)
     wanted = items.join(miss.select("query").distinct(), "query", "left_semi")
     fresh = search_hits(wanted, fetched).select(
-        "query", (F.col("rank") - 1).alias("pos"), "title", "link", "snippet", "ml_rank", "rag_summary",
+        "query", merge.position_sort_key(F.col("rank") - 1).alias("pos"), "title", "link", "snippet", "ml_rank", "rag_summary",
         F.lit(0).alias("click_count"), F.lit(False).alias("relevance"))
     fr = miss.join(fresh, "query")
 
