@@ -25,7 +25,7 @@ from hitweave.operators import tfidf
 from hitweave.plans import answer
 from hitweave.plans import oracle as o
 from hitweave.plans import search as srch
-from hitweave.session import prepare, scratch_path
+from hitweave.session import materialize, prepare, scratch_path
 from hitweave.sources import fixtures as fx
 from hitweave.sources import landed
 from hitweave.sources.tables import read_table
@@ -658,7 +658,7 @@ def _fixture_snapshots(spark, sf, **inputs):
         src = lists[kind].withColumn("cache_key", F.concat(F.col("query"), F.lit(suffix)))
         w = snap.snapshot_write(src, at, ttl_seconds=ttl)
         out = w if out is None else out.unionByName(w)
-    return out.checkpoint(eager=True)
+    return materialize(out)
 
 
 _LIST_SQL = {

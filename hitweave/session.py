@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 # Conf every job of the library relies on.  Time-of-day logic compares instants
 # with fixed clocks, so the session must render timestamps in UTC.
@@ -76,3 +77,16 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder name under the shared checkpoint root."""
     return f"{checkpoint_root(spark)}/hitweave/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as a reliable checkpoint in the shared folder and return
+    the DataFrame reading it (lineage cut; survives lost executors).
+
+    An eager checkpoint runs its input twice (a count, then the write); the input
+    is cached for that pass only, so it is computed once."""
+    checkpoint_root(df.sparkSession)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out

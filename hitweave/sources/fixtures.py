@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from hitweave.functions.web import visible_text
 from hitweave.operators.ordinal import ordinal
-from hitweave.session import checkpoint_root
+from hitweave.session import materialize
 from hitweave.sources.tables import read_events, read_table
 
 # The fixture blocklist (four entries of the reference's list plus
@@ -134,8 +134,7 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A table at rest in real use: it is written once (checkpoint in the shared
     folder) so the jobs reading it several times do not re-derive it."""
-    checkpoint_root(spark)
-    return _stored(spark, sf_dir).checkpoint(eager=True)
+    return materialize(_stored(spark, sf_dir))
 
 
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:

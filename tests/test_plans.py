@@ -47,3 +47,10 @@ def test_scan_prunes_columns_and_pushes_filters(spark):
     assert "ReadSchema: struct<page_id:bigint,html:string>" in text
     text = formatted(QUERIES["feedback_rejects"](spark, SMALL))
     assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,click)" in text
+
+
+def test_no_cross_joins_or_python_anywhere(spark):
+    for k, fn in QUERIES.items():
+        p = plan(fn(spark, SMALL))
+        for w in ("NestedLoop", "Cartesian", "ArrowEvalPython", "BatchEvalPython"):
+            assert w not in p, (k, w)
