@@ -21,4 +21,4 @@ def spark():
 def rows(df, *cols):
     """Collected rows as plain tuples, sorted."""
     sel = df.select(*cols) if cols else df
-    return sorted((tuple(r) for r in sel.collect()), key=repr)
+    return sorted((tuple(r) for r in sel.collect()), key=lambda t: tuple((x is not None, x) for x in t))
