@@ -91,8 +91,13 @@ def content_filter(hits: DataFrame, blocklist: DataFrame, min_words: float = 50,
         if now is None:
             raise ValueError("a time filter needs `now`")
         kept = time_window(kept, time_filter, now)
-    scored = page_stats(kept).filter(F.col("content_score") >= F.lit(float(min_words)))
-    return ordinal(scored, list(key_cols), [order_col, "link"], out="final_rank", base=1)
+    # Score and number a narrow projection (the HTML regexes run once, and the
+    # numbering pass does not write page HTML out), then join the rows back.
+    keys = [*key_cols, order_col, "link"]
+    scored = (page_stats(kept.select(*keys, "html")).drop("html")
+              .filter(F.col("content_score") >= F.lit(float(min_words))))
+    numbered = ordinal(scored, list(key_cols), [order_col, "link"], out="final_rank", base=1)
+    return kept.join(numbered, keys)
 
 
 def date_distribution(dated: DataFrame, now, key_cols=("query",), ts_col: str = "published_ts") -> DataFrame:
