@@ -52,3 +52,12 @@ def answer_requests(requests: DataFrame, stored: DataFrame, items: DataFrame, fe
     computed = shaped.join(req, "cache_key").withColumn("from_cache", F.lit(False))
     cols = [F.col(c) for c in OUTPUT]
     return computed.select(*cols).unionByName(reused.select(*cols))
+
+
+def refresh_snapshots(snapshot_table: DataFrame, answers: DataFrame, now, ttl_seconds: int | None = None) -> DataFrame:
+    """Write the freshly computed lists back (S7) as a new version next to the old
+    rows; readers take the latest valid version per key, and ``snapshot_purge``
+    drops expired rows later.  Reused lists are not rewritten."""
+    computed = answers.filter(~F.col("from_cache"))
+    fresh_rows = snapshots.snapshot_write(computed, now, key_col="cache_key", ttl_seconds=ttl_seconds)
+    return snapshot_table.select(*snapshots.SNAPSHOT_COLUMNS).unionByName(fresh_rows.select(*snapshots.SNAPSHOT_COLUMNS))

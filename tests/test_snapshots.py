@@ -38,3 +38,20 @@ def test_invalidate_keys_and_times(spark):
     assert snap.snapshot_invalidate(table, early).count() == 5           # cached after the feedback: kept
     assert snap.snapshot_invalidate(table, early, ts_col=None).count() == 1
     assert F is not None
+
+
+def test_answer_then_refresh_serves_from_cache(spark):
+    from conftest import SMALL
+    from hitweave.plans import registry as R
+    from hitweave.plans.answer import answer_requests, refresh_snapshots
+    from hitweave.sources import fixtures as fx
+    stored, items, fetched = fx.stored(spark, SMALL), fx.items(spark, SMALL), fx.page_fetch(spark, SMALL)
+    snaps = R._fixture_snapshots(spark, SMALL, stored=stored, items=items, fetched=fetched)
+    reqs = fx.requests(spark, SMALL)
+    first = answer_requests(reqs, stored, items, fetched, snaps, R.READ_NOW)
+    assert first.filter(~F.col("from_cache")).count() > 0
+    table = refresh_snapshots(snaps, first, R.READ_NOW)
+    again = answer_requests(reqs, stored, items, fetched, table, "2024-02-01 00:06:00")
+    assert again.filter(~F.col("from_cache")).count() == 0
+    cols = ["cache_key", "rank", "link", "title", "click_count", "relevance"]
+    assert sorted(map(tuple, first.select(*cols).collect())) == sorted(map(tuple, again.select(*cols).collect()))
