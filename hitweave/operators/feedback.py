@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hitweave.functions import timefn
 
@@ -20,6 +21,35 @@ REQUIRED_RESULT = ("query", "rank", "link", "title")
 RESULT_COLUMNS = ("query", "link", "title", "snippet", "rank", "created", "relevance", "ml_rank",
                   "rag_summary", "click_count", "last_clicked")
 
+# The results table (key (query, link); uniqueness is audited, not enforced).
+RESULTS_SCHEMA = T.StructType([
+    T.StructField("query", T.StringType(), False),
+    T.StructField("link", T.StringType(), False),
+    T.StructField("title", T.StringType(), False),
+    T.StructField("snippet", T.StringType()),
+    T.StructField("rank", T.IntegerType(), False),
+    T.StructField("created", T.TimestampType()),
+    T.StructField("relevance", T.BooleanType()),
+    T.StructField("ml_rank", T.DoubleType()),
+    T.StructField("rag_summary", T.StringType()),
+    T.StructField("click_count", T.IntegerType()),
+    T.StructField("last_clicked", T.TimestampType()),
+])
+
+
+def conform_results(df: DataFrame, now) -> DataFrame:
+    """Cast rows to ``RESULTS_SCHEMA`` and apply the table defaults: created = now,
+    relevance false, ml_rank 0, click_count 0 (missing columns are added)."""
+    defaults = {"created": timefn.ts_lit(now), "relevance": F.lit(False), "ml_rank": F.lit(0.0),
+                "click_count": F.lit(0)}
+    cols = []
+    for f in RESULTS_SCHEMA.fields:
+        c = F.col(f.name) if f.name in df.columns else F.lit(None)
+        if f.name in defaults:
+            c = F.coalesce(c.cast(f.dataType), defaults[f.name])
+        cols.append(c.cast(f.dataType).alias(f.name))
+    return df.select(*cols)
+
 
 def _reason(required) -> F.Column:
     out = None

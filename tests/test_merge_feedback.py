@@ -92,3 +92,11 @@ def test_results_replace_last_wins(spark):
     a = out["a"]
     assert (a.title, a.rank, a.click_count, a.relevance, a.last_clicked) == ("A2", 2, 0, False, None)
     assert a.created == dt.datetime(2024, 2, 1)
+
+
+def test_conform_results_defaults(spark):
+    df = spark.createDataFrame([("q", "l", "t", 2)], "query string, link string, title string, rank long")
+    r = fb.conform_results(df, "2024-02-01 00:00:00").collect()[0]
+    assert (r.created, r.relevance, r.ml_rank, r.click_count, r.snippet, r.last_clicked) == \
+        (dt.datetime(2024, 2, 1), False, 0.0, 0, None, None)
+    assert fb.conform_results(df, "2024-02-01").schema.names == list(fb.RESULT_COLUMNS)
