@@ -20,6 +20,10 @@ import duckdb  # noqa: E402
 from hitweave.sources.tables import TABLES  # noqa: E402
 
 
+TYPE_MAP = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+            "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP WITH TIME ZONE", "float": "FLOAT"}
+
+
 def norm(v):
     if v is None:
         return None
@@ -70,6 +74,10 @@ def compare(spark, con, name, fn, sql, sf_dir):
     sa = sorted((tuple(norm(r[i]) for i in si) for r in s_rows), key=repr)
     da = sorted((tuple(norm(r[i]) for i in di) for r in d_rows), key=repr)
     res["types"] = {c: f"{s_types[c]}|{d_types[c]}" for c in order}
+    bad_types = {c: v for c, v in res["types"].items()
+                 if TYPE_MAP.get(s_types[c], s_types[c]) != d_types[c].split("(")[0]}
+    if bad_types:
+        res["type_mismatch"] = bad_types
     if sa == da:
         res.update(ok=True)
     else:
