@@ -32,21 +32,41 @@ def _sort_key(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Largest group numbered by a plain window (one task sorts it); bigger groups are
+# range-split.  The size is checked on the data before the plan is chosen.
+WINDOW_GROUP_ROWS = 1_000_000
+
+
 def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence, out: str = "rn",
-            base: int = 1, partitions: int | None = None) -> DataFrame:
+            base: int = 1, partitions: int | None = None,
+            window_group_rows: int | None = WINDOW_GROUP_ROWS) -> DataFrame:
     """Add ``out`` = position of the row inside its ``keys`` group under ``order``
-    (``base`` for the first row), as bigint."""
+    (``base`` for the first row), as bigint.
+
+    The largest group is counted first (a partial aggregate, one number to the
+    driver).  If it is at most ``window_group_rows``, ``row_number()`` over the
+    group is bounded per task and is used; otherwise the range-split path below.
+    Either way the result is written once (checkpoint) so nested numberings stay
+    linear.  ``window_group_rows=None`` forces the range path."""
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     key_cols = [F.col(k) for k in keys]
     order_cols = [_sort_key(o) for o in order]
     checkpoint_root(spark)  # the shared folder named by spark.checkpoint.dir (set only if unset)
+    # The input is read more than once below (size check, sampling, shuffle):
+    # keep it cached for the duration of this one pass.
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if window_group_rows is not None:
+        biggest = src.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        if biggest <= window_group_rows:
+            w = Window.partitionBy(*key_cols).orderBy(*order_cols)
+            res = src.withColumn(out, (F.row_number().over(w) + F.lit(base - 1)).cast("bigint"))
+            res = res.checkpoint(eager=True)
+            src.unpersist()
+            return res
     # One reliable checkpoint cuts the lineage: the task/row ids become plain
     # data, both consumers below read the same files (no recomputation, and
     # nested calls stay linear), and a lost executor re-reads them.
-    # The range exchange reads its input twice (bound sampling, then the shuffle):
-    # keep the input cached for the duration of this one pass.
-    src = df.persist(StorageLevel.MEMORY_AND_DISK)
     ranged = (src.repartitionByRange(n, *key_cols, *order_cols)
                  .sortWithinPartitions(*key_cols, *order_cols)
                  .withColumn(_P, F.spark_partition_id())
