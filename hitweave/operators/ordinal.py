@@ -39,7 +39,7 @@ WINDOW_GROUP_ROWS = 1_000_000
 
 def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence, out: str = "rn",
             base: int = 1, partitions: int | None = None,
-            window_group_rows: int | None = WINDOW_GROUP_ROWS) -> DataFrame:
+            window_group_rows: int | None | str = "default") -> DataFrame:
     """Add ``out`` = position of the row inside its ``keys`` group under ``order``
     (``base`` for the first row), as bigint.
 
@@ -47,7 +47,10 @@ def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence, out: str = "rn"
     driver).  If it is at most ``window_group_rows``, ``row_number()`` over the
     group is bounded per task and is used; otherwise the range-split path below.
     Either way the result is written once (checkpoint) so nested numberings stay
-    linear.  ``window_group_rows=None`` forces the range path."""
+    linear.  ``window_group_rows=None`` forces the range path; the default reads
+    the module setting ``WINDOW_GROUP_ROWS`` at call time."""
+    if window_group_rows == "default":
+        window_group_rows = WINDOW_GROUP_ROWS
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     key_cols = [F.col(k) for k in keys]

@@ -32,3 +32,13 @@ def test_every_key_has_an_oracle():
 def test_matches_duckdb(spark, con, key):
     r = compare(spark, con, key, QUERIES[key], ORACLE.get(key), ORACLE_SF)
     assert r["ok"], r
+
+
+@pytest.mark.parametrize("key", ("stored_results", "content_filter", "merge_rank", "answer_requests"))
+def test_range_split_numbering_matches_duckdb(spark, con, key, monkeypatch):
+    """The same pipelines with every numbering forced through the range-split path
+    (the path a hot query takes at scale)."""
+    from hitweave.operators import ordinal as ordinal_mod
+    monkeypatch.setattr(ordinal_mod, "WINDOW_GROUP_ROWS", 0)
+    r = compare(spark, con, key, QUERIES[key], ORACLE.get(key), ORACLE_SF)
+    assert r["ok"], r
