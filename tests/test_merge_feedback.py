@@ -1,4 +1,4 @@
-"""Merge/rank edge cases (app.py semantics) and the feedback fold."""
+"""Merge/rank edge cases (stored + fresh list semantics) and the feedback fold."""
 
 import datetime as dt
 
