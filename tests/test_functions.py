@@ -119,3 +119,66 @@ def test_score_text_rounds_binary_value(spark):
 def test_host_suffixes(spark):
     got = one(spark, web.host_suffixes(F.col("h")), h="ads.x.example.com")
     assert got == ["ads.x.example.com", "x.example.com", "example.com", "com"]
+
+
+def test_url_host_matches_stdlib_urlsplit(spark):
+    """Against the standard library's URL splitting, on every page URL and on
+    generated edge cases, in one DataFrame."""
+    import random
+    from urllib.parse import urlsplit
+
+    from hitweave.sources.tables import read_table
+    urls = [r.url for r in read_table(spark, "/root/testdata/sf0.01", "pages").select("url").collect()]
+    rnd = random.Random(7)
+    parts = ["http", "https", "HTTP", "ftp", "a+b.c-d", "", "1x"]
+    hosts = ["ex.com", "Ex.COM:8080", "u:p@h.org", "[::1]:80", "h_o.st", "", "a.b.c.d"]
+    tails = ["", "/", "/p?q=1", "?x", "#f", "/a/b#c?d", "//double"]
+    for _ in range(300):
+        p, h, t = rnd.choice(parts), rnd.choice(hosts), rnd.choice(tails)
+        urls.append(f"{p}://{h}{t}" if rnd.random() < 0.8 else f"{p}:{h}{t}")
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    got = [(r.u, r.h) for r in df.select("u", web.url_host(F.col("u")).alias("h")).collect()]
+    bad = [(u, h, urlsplit(u).netloc) for u, h in got if h != urlsplit(u).netloc]
+    assert not bad, bad[:5]
+
+
+def test_page_counts_match_stdlib_html_parser(spark):
+    """Word and link counts against the standard library's HTML parser on every
+    page of the sf0.01 table (text outside script/style/template, <a> with href)."""
+    from html.parser import HTMLParser
+
+    from hitweave.sources.tables import read_table
+
+    class Counter(HTMLParser):
+        HIDDEN = {"script", "style", "template"}
+
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.depth, self.pieces, self.links = 0, [], 0
+
+        def handle_starttag(self, tag, attrs):
+            if tag in self.HIDDEN:
+                self.depth += 1
+            if tag == "a" and any(k == "href" for k, _ in attrs):
+                self.links += 1
+
+        def handle_endtag(self, tag):
+            if tag in self.HIDDEN and self.depth:
+                self.depth -= 1
+
+        def handle_data(self, data):
+            if not self.depth:
+                self.pieces.append(data)
+
+    pages = read_table(spark, "/root/testdata/sf0.01", "pages")
+    got = pages.select("page_id", "html", web.word_count(web.visible_text(F.col("html"))).alias("w"),
+                       web.link_count(F.col("html")).alias("l")).collect()
+    bad = []
+    for r in got:
+        c = Counter()
+        c.feed(r.html)
+        c.close()
+        words = len(" ".join(p.strip() for p in c.pieces if p.strip()).split())
+        if (words, c.links) != (r.w, r.l):
+            bad.append((r.page_id, words, r.w, c.links, r.l))
+    assert not bad, bad[:5]
