@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from hitweave.operators import feedback as fb
 from hitweave.operators import merge as mg
