@@ -2,7 +2,8 @@
 
 requests -> clean + cache key -> valid snapshot? reuse its list
                                : stored hits in the request's time window (T1 order)
-                                 U fresh hits of the query (M1, no time filter)
+                                 U fresh hits of the query (a valid 'fresh' snapshot of the
+                                   query, else M1 search; no time filter)
                                  -> merge + rank (M4, per cache key) -> format (F10)
 The result carries ``from_cache``; the computed lists can be written back with
 ``snapshots.snapshot_write``.
@@ -40,11 +41,19 @@ def answer_requests(requests: DataFrame, stored: DataFrame, items: DataFrame, fe
     # the stored order only orders rows here: a sort key, no dense numbering pass
     st = st.withColumn("pos", merge.stored_sort_key())
 
-    # fresh side: hits of the missed queries only (cut to 10 before pages are joined)
-    wanted = items.join(miss.select("query").distinct(), "query", "left_semi")
-    fresh = search_hits(wanted, fetched).select(
-        "query", merge.position_sort_key(F.col("rank") - 1).alias("pos"), "title", "link", "snippet", "ml_rank", "rag_summary",
-        F.lit(0).alias("click_count"), F.lit(False).alias("relevance"))
+    # fresh side: a missed query's fresh hit list comes from a valid 'fresh' snapshot
+    # (keyed by the query) when there is one; only the other queries are searched
+    # (and cut to 10 before pages are joined)
+    missed_queries = miss.select("query").distinct()
+    cached = (snapshots.snapshot_read(snapshot_table, missed_queries.select(F.col("query").alias("cache_key")),
+                                      now, kind="fresh")
+              .select(F.col("cache_key").alias("query"), "rank", "title", "link", "snippet", "ml_rank", "rag_summary"))
+    to_search = missed_queries.join(cached.select("query").distinct(), "query", "left_anti")
+    wanted = items.join(to_search, "query", "left_semi")
+    searched = search_hits(wanted, fetched).select("query", "rank", "title", "link", "snippet", "ml_rank", "rag_summary")
+    fresh = searched.unionByName(cached).select(
+        "query", merge.position_sort_key(F.col("rank") - 1).alias("pos"), "title", "link", "snippet", "ml_rank",
+        "rag_summary", F.lit(0).alias("click_count"), F.lit(False).alias("relevance"))
     fr = miss.join(fresh, "query")
 
     merged = merge.merge_rank(st, fr, key="cache_key")

@@ -629,10 +629,12 @@ READ_NOW = "2024-02-01 00:05:00"
 # ttl seconds, list): a valid one, an expired one, and an older valid one that
 # the valid one supersedes; plus a year-old version that feedback invalidates.
 SNAPSHOT_VERSIONS = (
-    (":month", "2024-02-01 00:00:00", 0, "stored"),
-    (":day", "2024-01-31 23:00:00", 600, "stored"),
-    (":month", "2024-01-31 23:58:00", 3600, "fresh"),
-    (":year", "2024-01-10 00:00:00", 31536000, "stored"),
+    (":month", "2024-02-01 00:00:00", 0, "stored", "final"),
+    (":day", "2024-01-31 23:00:00", 600, "stored", "final"),
+    (":month", "2024-01-31 23:58:00", 3600, "fresh", "final"),
+    (":year", "2024-01-10 00:00:00", 31536000, "stored", "final"),
+    # the fresh hit lists of the queries searched before (those with stored results)
+    ("", "2024-02-01 00:01:00", 0, "searched", "fresh"),
 )
 
 
@@ -646,7 +648,8 @@ def _lists(spark, sf, stored=None, items=None, fetched=None):
     fresh = srch.search_hits(items, fetched).select(
         "query", "rank", "title", "link", "snippet", "ml_rank", "rag_summary",
         F.lit(0).alias("click_count"), F.lit(False).alias("relevance"))
-    return {"stored": st, "fresh": fresh}
+    searched = fresh.join(stored.select("query").distinct(), "query", "left_semi")
+    return {"stored": st, "fresh": fresh, "searched": searched}
 
 
 def _fixture_snapshots(spark, sf, **inputs):
@@ -654,9 +657,9 @@ def _fixture_snapshots(spark, sf, **inputs):
     be at rest)."""
     lists = _lists(spark, sf, **inputs)
     out = None
-    for suffix, at, ttl, kind in SNAPSHOT_VERSIONS:
+    for suffix, at, ttl, kind, snap_kind in SNAPSHOT_VERSIONS:
         src = lists[kind].withColumn("cache_key", F.concat(F.col("query"), F.lit(suffix)))
-        w = snap.snapshot_write(src, at, ttl_seconds=ttl)
+        w = snap.snapshot_write(src, at, kind=snap_kind, ttl_seconds=ttl)
         out = w if out is None else out.unionByName(w)
     return materialize(out)
 
@@ -666,14 +669,16 @@ _LIST_SQL = {
                          ml_rank, rag_summary, click_count, relevance FROM stored""",
     "fresh": f"""SELECT query, rank, title, link, snippet, ml_rank, rag_summary, 0 AS click_count, false AS relevance
                  FROM ({_SEARCH_HITS})""",
+    "searched": f"""SELECT query, rank, title, link, snippet, ml_rank, rag_summary, 0 AS click_count,
+                           false AS relevance FROM ({_SEARCH_HITS}) WHERE query IN (SELECT query FROM stored)""",
 }
 
 
 def _snap_sql():
     parts = []
-    for suffix, at, ttl, kind in SNAPSHOT_VERSIONS:
+    for suffix, at, ttl, kind, snap_kind in SNAPSHOT_VERSIONS:
         secs = ttl or snap.DEFAULT_TTL_SECONDS
-        parts.append(f"""SELECT query || '{suffix}' AS cache_key, 'final' AS kind, {o.ts(at)} AS cached_at,
+        parts.append(f"""SELECT query || '{suffix}' AS cache_key, '{snap_kind}' AS kind, {o.ts(at)} AS cached_at,
                                 {o.ts(at)} + INTERVAL {secs} SECOND AS expires_at, CAST(rank AS BIGINT) AS rank, title,
                                 link, snippet, CAST(ml_rank AS DOUBLE) AS ml_rank, rag_summary,
                                 CAST(click_count AS BIGINT) AS click_count, relevance
@@ -683,10 +688,12 @@ def _snap_sql():
 
 _SNAP = {
     "snap": (_snap_sql(), ()),
-    "vsnap": (f"""SELECT s.* FROM snap s JOIN (
+    "vall": (f"""SELECT s.* FROM snap s JOIN (
                     SELECT cache_key, kind, max(cached_at) AS latest FROM snap
                     WHERE cached_at <= {o.ts(READ_NOW)} AND {o.ts(READ_NOW)} < expires_at GROUP BY cache_key, kind) l
                   ON s.cache_key = l.cache_key AND s.kind = l.kind AND s.cached_at = l.latest""", ("snap",)),
+    "vsnap": ("SELECT * FROM vall WHERE kind = 'final'", ("vall",)),
+    "vfresh": ("SELECT * FROM vall WHERE kind = 'fresh'", ("vall",)),
     "req": ("""SELECT DISTINCT query, time_filter,
                       CASE WHEN time_filter = '' THEN query ELSE query || ':' || time_filter END AS cache_key
                FROM (SELECT regexp_replace(query, '^\\s+|\\s+$', '', 'g') AS query, coalesce(time_filter, '') AS time_filter
@@ -769,9 +776,13 @@ def _answer_sql():
                              AS pos, s.title, s.link, s.snippet, s.ml_rank, s.rag_summary, s.click_count, s.relevance
                       FROM {miss} m JOIN stored s ON m.query = s.query
                       WHERE (CASE {cut} END) IS NULL OR s.created >= (CASE {cut} END)"""
+    fresh_lists = f"""SELECT query, rank, title, link, snippet, ml_rank, rag_summary FROM ({_SEARCH_HITS}) x
+                      WHERE NOT EXISTS (SELECT 1 FROM vfresh f WHERE f.cache_key = x.query)
+                      UNION ALL
+                      SELECT cache_key AS query, rank, title, link, snippet, ml_rank, rag_summary FROM vfresh"""
     fresh_side = f"""SELECT m.cache_key, h.rank - 1 AS pos, h.title, h.link, h.snippet, h.ml_rank, h.rag_summary,
                             0 AS click_count, false AS relevance
-                     FROM {miss} m JOIN ({_SEARCH_HITS}) h ON m.query = h.query"""
+                     FROM {miss} m JOIN ({fresh_lists}) h ON m.query = h.query"""
     merge_ctes = _merge_sql(stored_side, fresh_side, "cache_key", "ans_")
     body = f"""SELECT r.cache_key, r.query, r.time_filter, a.rank, coalesce(a.title, 'Untitled') AS title,
                       coalesce(a.link, '#') AS link, coalesce(a.snippet, 'No description available') AS snippet,

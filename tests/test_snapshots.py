@@ -55,3 +55,24 @@ def test_answer_then_refresh_serves_from_cache(spark):
     assert again.filter(~F.col("from_cache")).count() == 0
     cols = ["cache_key", "rank", "link", "title", "click_count", "relevance"]
     assert sorted(map(tuple, first.select(*cols).collect())) == sorted(map(tuple, again.select(*cols).collect()))
+
+
+def test_fresh_lists_come_from_valid_fresh_snapshots(spark):
+    """A query with a valid 'fresh' snapshot is not searched again: with no landed
+    hits at all, its answers are unchanged; the never-searched query loses its hits."""
+    from conftest import SMALL
+    from hitweave.plans import registry as R
+    from hitweave.plans.answer import answer_requests
+    from hitweave.sources import fixtures as fx
+    stored, items, fetched = fx.stored(spark, SMALL), fx.items(spark, SMALL), fx.page_fetch(spark, SMALL)
+    snaps = R._fixture_snapshots(spark, SMALL, stored=stored, items=items, fetched=fetched)
+    reqs = fx.requests(spark, SMALL)
+    cols = ["cache_key", "rank", "link", "title"]
+    full = answer_requests(reqs, stored, items, fetched, snaps, R.READ_NOW)
+    no_hits = answer_requests(reqs, stored, items.limit(0), fetched, snaps, R.READ_NOW)
+    searched = [r.query for r in stored.select("query").distinct().collect()]
+    keep = F.col("query").isin(searched)
+    assert sorted(map(tuple, full.filter(keep).select(*cols).collect())) == \
+        sorted(map(tuple, no_hits.filter(keep).select(*cols).collect()))
+    computed = ~keep & ~F.col("from_cache")   # 'es:month' is served from a final snapshot
+    assert full.filter(computed).count() > 0 and no_hits.filter(computed).count() == 0
