@@ -99,3 +99,12 @@ def test_conform_results_defaults(spark):
     assert (r.created, r.relevance, r.ml_rank, r.click_count, r.snippet, r.last_clicked) == \
         (dt.datetime(2024, 2, 1), False, 0.0, 0, None, None)
     assert fb.conform_results(df, "2024-02-01").schema.names == list(fb.RESULT_COLUMNS)
+
+
+def test_feedback_echo_changed_keys_only(spark):
+    results = spark.createDataFrame([("q", "a", "A", "", 3, _t(0), False, 0.1, "", 5, None),
+                                     ("q", "z", "Z", "", 1, _t(0), False, 0.0, "", 0, None)], RES)
+    events = spark.createDataFrame([(1, _t(5), "q", "a", "A new", "", 0.7, "", 1),
+                                    (2, _t(6), "q", "n", "N", "", 0.3, "", 4)], EV)
+    got = sorted(map(tuple, fb.feedback_echo(results, events).collect()))
+    assert got == [("q", "a", "A new", 6, True), ("q", "n", "N", 1, True)]

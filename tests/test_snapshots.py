@@ -76,3 +76,10 @@ def test_fresh_lists_come_from_valid_fresh_snapshots(spark):
         sorted(map(tuple, no_hits.filter(keep).select(*cols).collect()))
     computed = ~keep & ~F.col("from_cache")   # 'es:month' is served from a final snapshot
     assert full.filter(computed).count() > 0 and no_hits.filter(computed).count() == 0
+
+
+def test_clear_keeps_schema(spark):
+    lists = spark.createDataFrame([("k", 1, "t", "l", "", 0.0, None, 0, False)], LIST)
+    table = snap.snapshot_write(lists, "2024-01-01 00:00:00")
+    cleared = snap.snapshot_clear(table)
+    assert cleared.count() == 0 and cleared.schema == table.schema
