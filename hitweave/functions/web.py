@@ -23,6 +23,10 @@ META_TAG = r"(?i)<meta[^>]*>"
 META_DATE_TAG = (r"\s(?i:property)\s*=\s*[\"']?(?:article|og):published_time(?:[\"'\s/>]|$)"
                  r"|\s(?i:name)\s*=\s*[\"']?(?:date|publish-date|article\.published)(?:[\"'\s/>]|$)")
 META_CONTENT = r"\s(?i:content)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+# a non-breaking space (as an entity or the character itself) separates words, as
+# it does once a parser has decoded the text
+NBSP_ENTITY = r"(?i)&nbsp;|&#160;|&#x0*a0;"
+WS_RUN = "[\\s\u00a0]+"
 
 
 def _c(x) -> Column:
@@ -50,7 +54,8 @@ def strip_non_visible(html) -> Column:
 def visible_text(html) -> Column:
     """Text of the page: tags removed, whitespace runs collapsed to one space, trimmed."""
     no_tags = F.regexp_replace(strip_non_visible(html), ANY_TAG, " ")
-    return F.trim(F.regexp_replace(no_tags, r"\s+", " "))
+    spaced = F.regexp_replace(no_tags, NBSP_ENTITY, " ")
+    return F.trim(F.regexp_replace(spaced, WS_RUN, " "))
 
 
 def word_count(text) -> Column:

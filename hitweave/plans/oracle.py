@@ -23,8 +23,10 @@ def strip_ws(x: str) -> str:
 
 
 def visible_text(html: str) -> str:
-    return (f"trim(regexp_replace(regexp_replace(regexp_replace(coalesce({html}, ''), {q(_web.NON_VISIBLE)}, ' ', 'g'),"
-            f" {q(_web.ANY_TAG)}, ' ', 'g'), '\\s+', ' ', 'g'))")
+    no_tags = (f"regexp_replace(regexp_replace(coalesce({html}, ''), {q(_web.NON_VISIBLE)}, ' ', 'g'),"
+               f" {q(_web.ANY_TAG)}, ' ', 'g')")
+    spaced = f"regexp_replace({no_tags}, {q(_web.NBSP_ENTITY)}, ' ', 'g')"
+    return f"trim(regexp_replace({spaced}, {q(_web.WS_RUN)}, ' ', 'g'))"
 
 
 def word_count(text: str) -> str:

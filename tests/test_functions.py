@@ -182,3 +182,12 @@ def test_page_counts_match_stdlib_html_parser(spark):
         if (words, c.links) != (r.w, r.l):
             bad.append((r.page_id, words, r.w, c.links, r.l))
     assert not bad, bad[:5]
+
+
+def test_nbsp_separates_words(spark):
+    html = "<p>a&nbsp;b&#160;c&NBSP;d e</p><p>f</p>"
+    df = spark.createDataFrame([(html,)], "html string")
+    r = df.select(web.visible_text(F.col("html")).alias("t"), web.word_count(web.visible_text(F.col("html"))).alias("w"))
+    row = r.collect()[0]
+    assert (row.t, row.w) == ("a b c d e f", 6)
+    assert row.w == len("a b c d e f".split())
