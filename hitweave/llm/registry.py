@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hitweave.llm import decontam, exact, quality, simhash, spm, toxicity, warc
+from hitweave.llm import decontam, exact, html_text, quality, simhash, spm, toxicity, warc
 
 # The vocabulary file of op6 and the pipeline; an operator takes any path.
 PIECES = "piece_bpe_32k.model"
@@ -77,6 +77,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.encoded(table(spark, sf_dir, "documents"), pieces_model())
 
 
+@query("op7_html_text")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
 @query("op8_quality")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
