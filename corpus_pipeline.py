@@ -2,31 +2,53 @@
 
 Each stage is a function ``(spark, docs, sf_dir) -> DataFrame``; its result is written as Parquet
 below ``spark.checkpoint.dir`` and read again as the next stage's ``docs``.  All stages but the
-last return the columns of ``documents``.
+last return the columns of ``documents``; the last returns ``doc_id, n_tokens, ids_sha256,
+decoded_sha256`` of what is left.  Empty tables pass through every stage.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hitweave.llm import decontam, exact
+from hitweave.llm import decontam, exact, simhash, spm, toxicity
 from hitweave.llm.common import stored
-from hitweave.llm.registry import table
+from hitweave.llm.registry import pieces_model, table
 
 
-def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one row stays."""
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier rejects go."""
+    return toxicity.clean(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays."""
     return exact.deduplicate(docs)
 
 
-def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked fingerprints the row with the smallest doc_id stays."""
+    return simhash.deduplicate(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents contaminated by the benchmark go."""
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("exact dedup", exact_dedup), ("benchmark decontamination", decontaminate)]
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of what is left, and what they decode to."""
+    return spm.encoded(docs, pieces_model())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_exact_copies),
+    ("SimHash near-dedup", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("SentencePiece encoding and decoding", tokenise),
+]
 
-# Classifier scores and tokens are not SQL; tests compare with brute force.
+# Classifier scores, fingerprints and tokens are not SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
