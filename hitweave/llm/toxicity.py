@@ -1,7 +1,7 @@
 """Toxicity by subword-bag embeddings.
 
-A text is the bag of its words' byte n-grams (3 to 5 bytes, a space marking the word's ends) and of
-the words whole, each hashed to one of 2^16 vectors; a word said several times in a row counts
+A text is the bag of its words' byte n-grams (4, 6 and 8 bytes, a space marking the word's ends) and of
+the words whole, each hashed to one of 2^18 vectors; a word said several times in a row counts
 once.  Their average, with ``PRIOR``
 zero vectors so that a few n-grams alone do not decide, goes to a linear softmax whose bias is the
 share of the classes; vectors and softmax are trained together in numpy by gradient descent.  A
@@ -20,17 +20,22 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hitweave.llm.common import text_or_empty
-from hitweave.llm.labelled import Adam, held_out, scored, sigmoid, training_rows, weights
+from hitweave.llm.common import importable, text_or_empty
+from hitweave.llm.labelled import Adam, grouped, scored, sigmoid, training_rows, weights
 
 PER_CLASS = 3000  # the bound of the training sample
-BUCKETS = 1 << 16
+BUCKET_BITS = 18
+BUCKETS = 1 << BUCKET_BITS
 DIM = 6
-SIZES = (3, 4, 5)
+SIZES = (4, 6, 8)
 EPOCHS = 6
+STEPS = 300  # at least, however few rows there are
+RATE = 3.0
+FLOOR = 1e-7  # rare n-grams learn slowly, or the training texts would be learnt by heart
 PRIOR = 200
 BATCH = 64
 
@@ -98,7 +103,7 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     h = np.concatenate(ids)
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x85EBCA6B)
-    return (h >> np.uint32(16)).astype(np.int32), of[np.concatenate(at)]
+    return (h >> np.uint32(32 - BUCKET_BITS)).astype(np.int32), of[np.concatenate(at)]
 
 
 @dataclass
@@ -128,8 +133,8 @@ def train(rows: list[tuple[bytes, int]], counts: dict[int, int], seed: int = 1)
     vectors = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     softmax, bias = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.array([0, prior], np.float32)
     adam = Adam([softmax], 0.05)
-    squares = np.full(BUCKETS, 1e-10, np.float32)  # AdaGrad, one rate per vector
-    for _ in range(EPOCHS):
+    squares = np.full(BUCKETS, FLOOR, np.float32)  # AdaGrad, one rate per vector
+    for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(bags)))):
         order = rng.permutation(len(bags))
         for at in range(0, len(order), BATCH):
             pick = order[at:at + BATCH]
@@ -146,7 +151,7 @@ def train(rows: list[tuple[bytes, int]], counts: dict[int, int], seed: int = 1)
             used, slot = np.unique(ids, return_inverse=True)
             grad = np.stack([np.bincount(slot, part * to_mean[row, d], len(used)) for d in range(DIM)], 1)
             squares[used] += (grad * grad).mean(1)
-            vectors[used] -= (0.3 / np.sqrt(squares[used]))[:, None] * grad
+            vectors[used] -= (RATE / np.sqrt(squares[used]))[:, None] * grad
             adam.step([mean.T @ p])
     return Model((vectors @ (softmax[:, 1] - softmax[:, 0])).astype(np.float32), prior)
 
@@ -160,17 +165,11 @@ def scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 def clean(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", per_class: int = PER_CLASS) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with all their columns."""
     model = train(*training_rows(docs, labels, "toxic", per_class, doc_id, text))
-    toxic = _flag(docs, model, text)
-    return docs.filter(toxic == 0)
+    importable(docs.sparkSession)
 
-
-def _flag(docs: DataFrame, model: Model, text: str):
     @F.pandas_udf("int")
-    def predicted(t):
-        import pandas as pd
-        from hitweave.llm.labelled import grouped
-        raw = t.tolist()
-        s = np.concatenate([model.score(g) for g in grouped([bytes(x) for x in raw])]) if raw else np.zeros(0)
-        return pd.Series((s >= 0.5).astype(np.int32))
-
-    return predicted(text_or_empty(F.col(f"`{text}`")).cast("binary"))
+    def predicted(texts: pd.Series) -> pd.Series:
+        groups = [model.score(g) for g in grouped([bytes(x) for x in texts])]
+        return pd.Series((np.concatenate([np.zeros(0), *groups]) >= 0.5).astype(np.int32))
+
+    return docs.filter(predicted(text_or_empty(F.col(f"`{text}`")).cast("binary")) == 0)
