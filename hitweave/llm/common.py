@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import string
+import os
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitweave.session import scratch_path
 
-# Longest byte string Python code takes from Spark in one Arrow batch is one row; batches
-# are kept small so a batch of very long texts still fits beside the JVM heap.
-ARROW_ROWS = "64"
-
-
 def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
@@ -57,3 +53,19 @@ def unique_name(taken: list[str], name: str) -> str:
     while name.lower() in {c.lower() for c in taken}:
         name += "_"
     return name
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers on this machine import this package, wherever it was imported from.
+    (On a cluster it is installed on the executors.)"""
+    here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if here not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, here])
+
+
+def mapped(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` with this package importable in the workers."""
+    importable(df.sparkSession)
+    return df.mapInArrow(run, schema)

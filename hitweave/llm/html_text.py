@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hitweave.llm.common import mapped
+
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -296,5 +298,5 @@ def extracted(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()),
                                                   pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html_col).alias("html")).mapInArrow(
-        run, f"page_id {types[page_id]}, url {types[url]}, text string, n_chars bigint")
+    return pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html_col).alias("html")).transform(
+        mapped, run, f"page_id {types[page_id]}, url {types[url]}, text string, n_chars bigint")

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hitweave.llm.common import mapped
+
 GROUP_BYTES = 1 << 18  # texts are put through numpy together up to this size
 
 
@@ -73,8 +75,8 @@ def scored(docs: DataFrame, score: Callable[[list[bytes]], np.ndarray], threshol
 
     whole = F.coalesce(F.col(text), F.lit(""))
     return docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.xxhash64(whole).alias("key"),
-                       whole.cast("binary").alias("text")).mapInArrow(
-        run, f"doc_id {kind}, held_out boolean, key bigint, score double, predicted int")
+                       whole.cast("binary").alias("text")).transform(
+        mapped, run, f"doc_id {kind}, held_out boolean, key bigint, score double, predicted int")
 
 
 class Adam:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hitweave.llm import decontam, exact, html_text, quality, simhash, spm, substring, toxicity, warc
+from hitweave.llm import decontam, exact, html_text, quality, simhash, spm, substring, suffix, toxicity, warc
 
 # The vocabulary file of op6 and the pipeline; an operator takes any path.
 PIECES = "piece_bpe_32k.model"
@@ -85,6 +85,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.copies(table(spark, sf_dir, "documents"))
 
 
+@query("op5_suffix_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query("op6_sentencepiece")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.encoded(table(spark, sf_dir, "documents"), pieces_model())

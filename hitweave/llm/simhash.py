@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hitweave.llm.common import stored, text_or_empty
+from hitweave.llm.common import mapped, stored, text_or_empty
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
 
     kind = dict(docs.dtypes)[doc_id]
     return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text_or_empty(text)).alias("key"), F.col(text).alias("text")) \
-               .mapInArrow(run, f"doc_id {kind}, key bigint, fp bigint")
+               .transform(mapped, run, f"doc_id {kind}, key bigint, fp bigint")
 
 
 def band_masks(level: int, bands: int) -> list[int]:
@@ -164,7 +164,7 @@ def links(distinct: DataFrame, bits: int = MAX_BITS, bucket: int = BUCKET) -> Da
     out = None
     for part in done:
         found = part.repartition("mask", "value").sortWithinPartitions("mask", "value") \
-                    .mapInArrow(_links_in_task(bits, 16 * bucket), "u bigint, v bigint")
+                    .transform(mapped, _links_in_task(bits, 16 * bucket), "u bigint, v bigint")
         out = found if out is None else out.unionByName(found)
     return out.distinct()
 

@@ -29,6 +29,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hitweave.llm.common import mapped
+
 MARK = "▁"  # fixed value: the white-space mark
 REMEMBERED = 200_000  # words, in each of two generations
 PAIRS = 500_000  # compatibility answers
@@ -302,5 +304,5 @@ def encoded(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "te
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     more = ", ids array<int>, decoded string" if with_ids else ""
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).transform(
+        mapped, run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}")

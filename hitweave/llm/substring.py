@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hitweave.llm.anchors import BLANKS, Rolling, first_of, merged, segments, word_units
-from hitweave.llm.common import stored, text_or_empty
+from hitweave.llm.common import mapped, stored, text_or_empty
 
 WINDOW = 20
 GRAM = 5
@@ -77,7 +77,7 @@ def occurrences(docs: DataFrame, units, gram: int, window: int, settle_first: bo
                     pa.array(np.concatenate((times[keep], np.ones(len(texts), np.int64))).astype(np.int64))],
                     ["anchor", "content", "id", "key", "start", "count", "times"])
 
-    return docs.mapInArrow(run, "anchor bigint, content bigint, id bigint, key bigint, start bigint, count bigint, times bigint")
+    return docs.transform(mapped, run, "anchor bigint, content bigint, id bigint, key bigint, start bigint, count bigint, times bigint")
 
 
 def repeated_anchors(found: DataFrame) -> DataFrame:
@@ -105,8 +105,8 @@ def _window_hashes(rows: DataFrame) -> DataFrame:
                     pa.array(anchor, mask=~first), pa.array(window), pa.array(np.full(n, id_.as_py())), pa.array(np.full(n, key.as_py())),
                     pa.array(start), pa.array(np.ones(n, np.int64))], ["anchor", "window", "id", "key", "start", "count"])
 
-    return rows.select("id", "key", "text", "spans").mapInArrow(
-        run, "anchor bigint, window bigint, id bigint, key bigint, start bigint, count bigint")
+    return rows.select("id", "key", "text", "spans").transform(
+        mapped, run, "anchor bigint, window bigint, id bigint, key bigint, start bigint, count bigint")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -165,7 +165,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     base = keyed(docs, doc_id, text)
     spans = repeats(base).groupBy("id", "key").agg(F.collect_set(F.struct("start", "count")).alias("spans"))
     rows = _with_text(base, spans, "left").select(_unkeyed(F.col("id")).alias("doc_id"), "text", "spans")
-    return rows.mapInArrow(_kept, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
+    return rows.transform(mapped, _kept, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
 
 
 def _unkeyed(id_: Column) -> Column:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitweave.llm.common import stored
+from hitweave.llm.common import mapped, stored
 from hitweave.session import scratch_path
 
 # Fixed values of the formats.
@@ -125,7 +125,7 @@ def write_arc(pages: DataFrame, path: str, version: int = 1, date: str = "200001
                     yield (f"{where} {ip} {date} text/html{more} {len(head) + n}\n{head}{body}",)
         yield from _batched(lines(), LINE)
 
-    return _write(pages.select("page_id", "url", "html").mapInArrow(run, "value string"), path, "\n")
+    return _write(pages.select("page_id", "url", "html").transform(mapped, run, "value string"), path, "\n")
 
 
 def parse_arc(stream: Stream) -> Iterator[dict]:
@@ -177,7 +177,7 @@ def read_arc(spark: SparkSession, path: str, with_block: bool = True) -> DataFra
                            hashlib.sha256(payload).hexdigest(), len(payload), r["block"] if with_block else None)
         yield from _batched(rows(), ARC_ROW)
 
-    return _lines(spark, path).mapInArrow(run, "rid bigint, key bigint, url string, ip string, date string, mime string, "
+    return _lines(spark, path).transform(mapped, run, "rid bigint, key bigint, url string, ip string, date string, mime string, "
                                                "digest string, payload_bytes bigint, block binary")
 
 
@@ -228,7 +228,7 @@ def write_warc(records: DataFrame, path: str) -> str:
                     yield (_warc_record([("WARC-Type", kind), *headers], block),)
         yield from _batched(lines(), LINE)
 
-    return _write(records.mapInArrow(run, "value string"), path, "\r\n\r\n")
+    return _write(records.transform(mapped, run, "value string"), path, "\r\n\r\n")
 
 
 def parse_warc(stream: Stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -267,7 +267,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                            h["warc-target-uri"], h["warc-date"])
         yield from _batched(rows(), WARC_ROW)
 
-    return _lines(spark, path).mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, "
+    return _lines(spark, path).transform(mapped, run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, "
                                                "refers_to bigint, record_id string, url string, date string")
 
 
