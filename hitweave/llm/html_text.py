@@ -13,7 +13,8 @@ node with one tag).  The subtree with the largest sum of child densities holds t
 least density on its path to the body is the threshold: nodes of at least that density have their
 own best subtree marked, and the main text is the lowest node above all marks.  If an ``article``
 element holds the best subtree, it is the main text whole; marks outside a ``main`` that holds the
-best subtree do not count.
+best subtree do not count.  As short blocks miss the threshold, the node then grows to its parent
+while less than ``LINKED`` of what that adds is link text, up to below the body.
 
 Text: character references are decoded, white space (line breaks by ``br`` too) becomes one space,
 block elements begin and end blocks, blocks are joined by a line feed in page order.
@@ -53,9 +54,10 @@ DROP = frozenset("script style noscript template head title nav footer aside for
 UNSEEN = frozenset("script style noscript template head title iframe object embed svg canvas audio video".split())
 DROP_ROLE = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 DROP_WORD = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar "
-                      "navigation menu sidebar breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice "
+                      "navigation header topbar menu sidebar breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice "
                       "notices popup modal newsletter subscribe share sharing social related recommended comment comments "
                       "disqus respond replies pagination pager widget login signup".split())
+LINKED = 0.3
 HOLDS_ARTICLE = frozenset({"article", "main", "h1"})
 
 _TAG = re.compile(r"""<(?:!--(?:>|->|.*?(?:--!?>|\Z))|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
@@ -183,6 +185,7 @@ def article(root: Node) -> Node:
     index = {id(x): i for i, x in enumerate(nodes)}
     size = len(nodes)
     chars, tags, link_chars, link_tags = [0] * size, [1] * size, [0] * size, [0] * size
+    kept, kept_links = [0] * size, [0] * size  # characters, without what is dropped
     runs: list[list[int]] = [[] for _ in range(size)]
     for i in range(size - 1, -1, -1):
         x = nodes[i]
@@ -191,11 +194,14 @@ def article(root: Node) -> Node:
                 if c := len(" ".join(k.split())):
                     runs[i].append(c)
                     chars[i] += c
+                    kept[i] += 0 if x.drop else c
         if x.tag == "a":
-            link_chars[i], link_tags[i] = chars[i], link_tags[i] + 1
+            link_chars[i], link_tags[i], kept_links[i] = chars[i], link_tags[i] + 1, kept[i]
         if x.parent is not None:
             p = index[id(x.parent)]
             chars[p] += chars[i]
+            kept[p] += kept[i]
+            kept_links[p] += kept_links[i]
             tags[p] += tags[i]
             link_chars[p] += link_chars[i]
             link_tags[p] += link_tags[i]
@@ -249,7 +255,14 @@ def article(root: Node) -> Node:
             x = x.parent
         path.reverse()
         above = path if above is None else [a for a, b in zip(above, path) if a is b]
-    return above[-1]
+    x = above[-1]
+    while x.parent is not None and x is not nodes[body] and x.parent is not nodes[body]:
+        i, p = index[id(x)], index[id(x.parent)]
+        more = kept[p] - kept[i]
+        if more and kept_links[p] - kept_links[i] >= LINKED * more:
+            break
+        x = x.parent
+    return x
 
 
 def blocks(node: Node) -> list[str]:

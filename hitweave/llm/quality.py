@@ -54,8 +54,10 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         return x, text_of
     place = np.arange(len(begin)) - (np.cumsum(words) - words)[of]  # a word's number in its text
     passage = base[of] + place // PASSAGE
-    # Bytes belong to the passage of the word they are in or precede.
+    # Bytes belong to the passage of the word they are in or precede, after a text's last word to its last passage.
     byte_of = passage[np.minimum(np.searchsorted(end, np.arange(len(raw) - 1), "right"), len(begin) - 1)]
+    own = np.searchsorted(ends, np.arange(len(raw) - 1), "right")
+    byte_of = np.where(text_of[byte_of] == own, byte_of, (base + count - 1)[own])
     pairs = np.bincount(byte_of * 64 + kind[:-1] * 8 + kind[1:], minlength=len(x) * 64).reshape(len(x), 64)
     x[:, :64] = np.sqrt(pairs / np.maximum(pairs.sum(1, keepdims=True), 1))
     powers = np.cumprod(np.full(len(raw), _ODD, np.uint64))
