@@ -20,6 +20,8 @@ TIME_FILTER_DAYS = {"day": 1, "month": 30, "year": 365}
 AGE_STEPS = ((7, 1.0), (30, 0.9), (90, 0.8), (365, 0.7))
 AGE_OLDER = 0.6
 AGE_UNKNOWN = 0.5
+# A time of day alone is no date (the parser would take the day from the wall clock).
+DATE_PREFIX = r"^\s*\d{4}-\d"
 
 
 def _c(x) -> Column:
@@ -62,7 +64,7 @@ def window_cutoff_col(time_filter, now) -> Column:
 
 def parse_published(text) -> Column:
     """ISO date/time text -> TIMESTAMP; a trailing ``Z`` or offset is honoured, bad text -> null."""
-    return F.try_to_timestamp(_c(text))
+    return F.when(_c(text).rlike(DATE_PREFIX), F.try_to_timestamp(_c(text)))
 
 
 def age_score(ts, now) -> Column:

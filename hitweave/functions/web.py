@@ -11,11 +11,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed patterns (Java regex; the SQL oracle uses the same text with RE2).
-URL_AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
+URL_AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)"
 NON_VISIBLE = (r"(?is)<!--.*?-->|<!doctype[^>]*>"
                r"|<(?:script|style|template)\b[^>]*>.*?</(?:script|style|template)>")
 ANY_TAG = r"(?s)<[^>]+>"
-ANCHOR_WITH_HREF = r"(?i)<a\s[^>]*\bhref\s*="
+ANCHOR_WITH_HREF = r"(?i)<a(?:\s[^>]*)?\shref(?:\s*=|[\s/>])"
 META_TAG = r"(?i)<meta[^>]*>"
 # a <meta> naming a publication date: property article:/og:published_time, or
 # name date / publish-date / article.published (attribute names case-insensitive,
@@ -34,7 +34,7 @@ def _c(x) -> Column:
 
 
 def url_host(url) -> Column:
-    """Network location of a URL as written (keeps port, userinfo, case); no scheme -> ''."""
+    """Network location of a URL as written (keeps port, userinfo, case); neither scheme nor //: ''."""
     return F.coalesce(F.regexp_extract(_c(url), URL_AUTHORITY, 1), F.lit(""))
 
 
@@ -75,7 +75,7 @@ def content_score(words, links) -> Column:
 
 def meta_published_date(html) -> Column:
     """``content`` of the first <meta> naming a publication date; null if none/empty."""
-    tags = F.regexp_extract_all(F.coalesce(_c(html), F.lit("")), F.lit(META_TAG), 0)
+    tags = F.regexp_extract_all(strip_non_visible(html), F.lit(META_TAG), 0)
     first = F.try_element_at(F.filter(tags, lambda m: m.rlike(META_DATE_TAG)), F.lit(1))
     content = F.concat(F.regexp_extract(first, META_CONTENT, 1), F.regexp_extract(first, META_CONTENT, 2),
                        F.regexp_extract(first, META_CONTENT, 3))

@@ -8,22 +8,27 @@ from pyspark.sql import functions as F
 from hitweave.functions import timefn, web
 from hitweave.operators.ordinal import ordinal
 
-# Largest blocklist broadcast to every task; larger lists are joined by shuffle.
-BLOCKLIST_BROADCAST_ROWS = 1_000_000
+def _trimmed(requests: DataFrame) -> DataFrame:
+    return (requests.withColumn("query", F.regexp_replace(F.coalesce("query", F.lit("")), r"^\s+|\s+$", ""))
+                    .withColumn("time_filter", F.coalesce("time_filter", F.lit(""))))
 
 
-def _bounded(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (a cheap, bounded action)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+_KNOWN_FILTERS = ("", *timefn.TIME_FILTER_DAYS)
 
 
 def clean_queries(requests: DataFrame) -> DataFrame:
-    """Trimmed, non-blank queries with their cache key ``query[:time_filter]``."""
-    q = F.regexp_replace(F.col("query"), r"^\s+|\s+$", "")
-    tf = F.coalesce(F.col("time_filter"), F.lit(""))
-    return (requests.withColumn("query", q).filter(F.col("query") != "")
-                    .withColumn("time_filter", tf)
-                    .withColumn("cache_key", F.concat_ws(":", F.col("query"), F.nullif(tf, F.lit("")))))
+    """Trimmed, non-blank queries with a known time filter (or none), and their cache key
+    ``query[:time_filter]``.  The others are in :func:`request_rejects`."""
+    ok = _trimmed(requests).filter((F.col("query") != "") & F.col("time_filter").isin(*_KNOWN_FILTERS))
+    return ok.withColumn("cache_key", F.concat_ws(":", F.col("query"), F.nullif(F.col("time_filter"), F.lit(""))))
+
+
+def request_rejects(requests: DataFrame) -> DataFrame:
+    """Requests that cannot be answered, with the ``reason``."""
+    return (_trimmed(requests)
+            .withColumn("reason", F.when(F.col("query") == "", F.lit("blank query"))
+                        .when(~F.col("time_filter").isin(*_KNOWN_FILTERS), F.lit("unknown time filter")))
+            .filter(F.col("reason").isNotNull()))
 
 
 def blocklist_filter(hits: DataFrame, blocklist: DataFrame, match: str = "exact",
@@ -32,11 +37,9 @@ def blocklist_filter(hits: DataFrame, blocklist: DataFrame, match: str = "exact"
 
     ``match='exact'``: host equals an entry.  ``match='suffix'``: the host or any
     parent domain equals an entry (``ads.x.com`` is blocked by ``x.com``); the
-    host's suffixes are exploded so it stays an equi anti join.  The list is
-    broadcast after its size is checked."""
+    host's suffixes are exploded so it stays an equi anti join.  Spark
+    broadcasts the list while its measured size allows."""
     bl = blocklist.select(F.col("host").alias("__bl_host")).distinct()
-    if _bounded(bl, BLOCKLIST_BROADCAST_ROWS):
-        bl = F.broadcast(bl)
     h = hits.withColumn("__host", web.url_host(F.col(link_col)))
     if match == "exact":
         out = h.join(bl, h["__host"] == bl["__bl_host"], "left_anti")
@@ -84,8 +87,7 @@ def content_filter(hits: DataFrame, blocklist: DataFrame, min_words: float = 50,
     time window on ``created`` (if asked), then the words-per-link floor; the
     survivors are renumbered ``final_rank`` 1..n in their previous order.
 
-    Cheap tests first: the anti join is broadcast, so the HTML regexes only run
-    on the survivors."""
+    Cheap tests first, so the HTML regexes only run on the survivors."""
     kept = blocklist_filter(hits, blocklist)
     if time_filter:
         if now is None:

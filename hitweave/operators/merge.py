@@ -14,11 +14,11 @@ a key holding a third of all rows is still spread over many tasks.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hitweave.operators.ordinal import ordinal
+from hitweave.session import materialize
 
 ORDER_DIGITS = 9
 WEIGHTS = (2.0, 1.0, 1.0)   # relevance, clicks, ml_rank
@@ -91,9 +91,8 @@ def merge_rank(stored: DataFrame, fresh: DataFrame, key: str = "query", weights=
 
     ``stored`` and ``fresh`` carry ``key``, ``pos`` (their own order) and the hit
     fields; fields missing on a side are null (F11)."""
-    # the union feeds four branches (both/one-sided rows, normalisers, scores): keep it
-    # cached for the one eager numbering pass below, which materialises the result
-    u = union_sides(stored, fresh, key).persist(StorageLevel.MEMORY_AND_DISK)
+    # the union feeds four branches (both/one-sided rows, normalisers, scores): written once
+    u = materialize(union_sides(stored, fresh, key), "merge-sides")
     both = (F.col("__n_db") > 0) & (F.col("__n_new") > 0)
     merged = keep_first(u.filter(both).drop("__n_db", "__n_new"), key)
     merged = merged.withColumns({
@@ -113,7 +112,6 @@ def merge_rank(stored: DataFrame, fresh: DataFrame, key: str = "query", weights=
     allrows = scored.unionByName(single)
     ranked = ordinal(allrows, [key], [F.round("rank_score", ORDER_DIGITS).desc_nulls_last(), F.col("__prio"),
                                       F.col("pos"), F.col("link")], out="rank", base=1)
-    u.unpersist()  # ``ranked`` reads the checkpoint written by ``ordinal``
     return ranked.drop("__prio")
 
 

@@ -7,10 +7,9 @@ on ``(k, o)`` (Spark samples the bounds, so a hot ``k`` is spread over many
 tasks), each task numbers its rows in order, and a small table of per-task
 counts turns the local numbers into group-wide ones.
 
-* one range exchange of the rows, materialised once with ``checkpoint()``
-  (number narrow projections and join wide columns back); the count table has at most
-  ``partitions + groups`` rows and is joined back (broadcast by AQE when small,
-  otherwise a balanced hash join on ``(k, partition)``).
+* one range exchange of the rows, written once as Parquet (number narrow projections and join
+  wide columns back); the count table has at most ``partitions + groups`` rows and is joined back
+  (broadcast by AQE when small, otherwise a balanced hash join on ``(k, partition)``).
 * ``order`` must be a total order within a group (add a unique tie-break),
   otherwise the numbering of equal rows is arbitrary, as with ``row_number``.
 """
@@ -19,82 +18,37 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hitweave.session import checkpoint_root
+from hitweave.session import materialize
 
-_P, _M, _N, _OG, _OP = "__hw_part", "__hw_mono", "__hw_n", "__hw_off_group", "__hw_off_part"
+_P, _M, _N, _OG, _OP = "__hw_part", "__hw_mono", "__hw_n", "__hw_off_group", "__hw_first"
 
 
 def _sort_key(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-# Largest group numbered by a plain window (one task sorts it); bigger groups are
-# range-split.  The size is checked on the data before the plan is chosen.
-WINDOW_GROUP_ROWS = 1_000_000
-
-
 def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence, out: str = "rn",
-            base: int = 1, partitions: int | None = None,
-            window_group_rows: int | None | str = "default") -> DataFrame:
+            base: int = 1, partitions: int | None = None) -> DataFrame:
     """Add ``out`` = position of the row inside its ``keys`` group under ``order``
-    (``base`` for the first row), as bigint.
-
-    The largest group is counted first (a partial aggregate, one number to the
-    driver).  If it is at most ``window_group_rows``, ``row_number()`` over the
-    group is bounded per task and is used; otherwise the range-split path below.
-    Either way the result is written once (checkpoint) so nested numberings stay
-    linear.  ``window_group_rows=None`` forces the range path; the default reads
-    the module setting ``WINDOW_GROUP_ROWS`` at call time."""
-    if window_group_rows == "default":
-        window_group_rows = WINDOW_GROUP_ROWS
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (``base`` for the first row), as bigint.  One path for all sizes; null keys form a group."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key_cols = [F.col(k) for k in keys]
     order_cols = [_sort_key(o) for o in order]
-    checkpoint_root(spark)  # the shared folder named by spark.checkpoint.dir (set only if unset)
-    # The input is read more than once below (size check, sampling, shuffle):
-    # keep it cached for the duration of this one pass.
-    src = df.persist(StorageLevel.MEMORY_AND_DISK)
-    if window_group_rows is not None:
-        biggest = src.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-        if biggest <= window_group_rows:
-            w = Window.partitionBy(*key_cols).orderBy(*order_cols)
-            res = src.withColumn(out, (F.row_number().over(w) + F.lit(base - 1)).cast("bigint"))
-            res = res.checkpoint(eager=True)
-            src.unpersist()
-            return res
-    # One reliable checkpoint cuts the lineage: the task/row ids become plain
-    # data, both consumers below read the same files (no recomputation, and
-    # nested calls stay linear), and a lost executor re-reads them.
-    ranged = (src.repartitionByRange(n, *key_cols, *order_cols)
-                 .sortWithinPartitions(*key_cols, *order_cols)
-                 .withColumn(_P, F.spark_partition_id())
-                 .withColumn(_M, F.monotonically_increasing_id())
-                 .checkpoint(eager=True))
-    src.unpersist()
-    # Counts per (group, task) do not depend on the order inside the task.
-    counts = ranged.groupBy(*keys, _P).agg(F.count(F.lit(1)).alias(_N))
-    before = Window.unboundedPreceding
-    offsets = counts.select(
-        *keys, _P,
-        # rows of the same group in earlier tasks
-        F.coalesce(F.sum(_N).over(Window.partitionBy(*keys).orderBy(_P).rowsBetween(before, -1)),
-                   F.lit(0)).alias(_OG),
-        # rows of earlier groups in the same task
-        F.coalesce(F.sum(_N).over(Window.partitionBy(_P).orderBy(*keys).rowsBetween(before, -1)),
-                   F.lit(0)).alias(_OP),
-    )
+    # Written once: the task and row ids become plain data and both consumers read the same files.
+    ranged = materialize(df.repartitionByRange(n, *key_cols, *order_cols)
+                           .sortWithinPartitions(*key_cols, *order_cols)
+                           .withColumn(_P, F.spark_partition_id())
+                           .withColumn(_M, F.monotonically_increasing_id()), "ordinal")
+    # Counts per (group, task), and the row id each group begins with in its task.
+    counts = ranged.groupBy(*keys, _P).agg(F.count(F.lit(1)).alias(_N), F.min(_M).alias(_OP))
+    earlier = Window.partitionBy(*keys).orderBy(_P).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*[F.col(k).alias(f"__hw_k{i}") for i, k in enumerate(keys)], F.col(_P).alias("__hw_p"), _OP,
+                            F.coalesce(F.sum(_N).over(earlier), F.lit(0)).alias(_OG))
     # null-safe on the group keys, so a null group is numbered like any other
-    renamed = offsets.select(*[F.col(k).alias(f"__hw_k{i}") for i, k in enumerate(keys)],
-                             F.col(_P).alias("__hw_p"), _OG, _OP)
-    cond = [F.col(_P) == F.col("__hw_p")] + [F.col(k).eqNullSafe(F.col(f"__hw_k{i}"))
-                                              for i, k in enumerate(keys)]
-    joined = ranged.join(renamed, cond, "inner").drop("__hw_p", *[f"__hw_k{i}" for i in range(len(keys))])
-    # monotonically_increasing_id = (task << 33) + index of the row in the task
-    local = F.col(_M) - F.shiftleft(F.col(_P).cast("bigint"), 33) - F.col(_OP)
-    return (joined.withColumn(out, (F.col(_OG) + local + F.lit(base)).cast("bigint"))
+    cond = [F.col(_P) == F.col("__hw_p")] + [F.col(k).eqNullSafe(F.col(f"__hw_k{i}")) for i, k in enumerate(keys)]
+    joined = ranged.join(offsets, cond, "inner").drop("__hw_p", *[f"__hw_k{i}" for i in range(len(keys))])
+    return (joined.withColumn(out, (F.col(_OG) + F.col(_M) - F.col(_OP) + F.lit(base)).cast("bigint"))
                   .drop(_P, _M, _OG, _OP))

@@ -7,9 +7,9 @@ A snapshot table has one row per ``(cache_key, kind, version, chunk)``::
     cached_at timestamp, expires_at timestamp
 
 A list is cut into chunks of ``CHUNK`` ranks, so no single row (and no single
-aggregation group) holds a whole list of unbounded length.  Reading keeps the
-unexpired rows (``cached_at <= now < expires_at``) of the latest version per
-key.  ``kind`` separates a query's fresh hits from its merged list, which the
+aggregation group) holds a whole list of unbounded length.  A newer version
+replaces an older one, as writing a cache key does: reading takes the latest
+version (``cached_at <= now``) of a key, and finds nothing if that has expired.  ``kind`` separates a query's fresh hits from its merged list, which the
 reference stored under the same key.
 """
 
@@ -64,14 +64,18 @@ def snapshot_write(results: DataFrame, now, key_col: str = "cache_key", kind: st
 
 
 def valid_snapshots(snapshots: DataFrame, now, kind: str | None = "final") -> DataFrame:
-    """Unexpired rows of the latest version of each (key, kind)."""
+    """Rows of the latest version of each (key, kind), unless that has expired."""
     at = timefn.ts_lit(now)
-    s = snapshots.filter((F.col("cached_at") <= at) & (at < F.col("expires_at")))
+    s = snapshots.filter(F.col("cached_at") <= at)
     if kind is not None:
         s = s.filter(F.col("kind") == kind)
-    latest = s.groupBy("cache_key", "kind").agg(F.max("cached_at").alias("__latest"))
-    return (s.join(latest, ["cache_key", "kind"])
-             .filter(F.col("cached_at") == F.col("__latest")).drop("__latest"))
+    return _latest(s).filter(at < F.col("expires_at"))
+
+
+def _latest(snapshots: DataFrame) -> DataFrame:
+    latest = snapshots.groupBy("cache_key", "kind").agg(F.max("cached_at").alias("__latest"))
+    return (snapshots.join(latest, ["cache_key", "kind"])
+                     .filter(F.col("cached_at") == F.col("__latest")).drop("__latest"))
 
 
 def snapshot_read(snapshots: DataFrame, keys: DataFrame, now, kind: str | None = "final") -> DataFrame:
@@ -116,8 +120,11 @@ def snapshot_invalidate(snapshots: DataFrame, events: DataFrame, ts_col: str | N
 
 
 def snapshot_purge(snapshots: DataFrame, now) -> DataFrame:
-    """The snapshot table without expired rows (``expires_at <= now``)."""
-    return snapshots.filter(F.col("expires_at") > timefn.ts_lit(now))
+    """The snapshot table without what no reader can get any more at ``now``: versions that a
+    newer one replaced, and expired ones.  (Versions dated after ``now`` stay.)"""
+    at = timefn.ts_lit(now)
+    past, future = snapshots.filter(F.col("cached_at") <= at), snapshots.filter(F.col("cached_at") > at)
+    return _latest(past).filter(F.col("expires_at") > at).select(*snapshots.columns).unionByName(future)
 
 
 def snapshot_clear(snapshots: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ def days_ago(now: str, days: int) -> str:
 
 
 def parse_ts(x: str) -> str:
-    return f"timezone('UTC', try_cast({x} AS TIMESTAMPTZ))"
+    return f"CASE WHEN regexp_matches({x}, {q(_tf.DATE_PREFIX)}) THEN timezone('UTC', try_cast({x} AS TIMESTAMPTZ)) END"
 
 
 def age_score(t: str, now: str) -> str:
@@ -82,7 +82,7 @@ def age_score(t: str, now: str) -> str:
 
 def meta_first(html: str) -> str:
     """First <meta> tag naming a publication date (null if none)."""
-    tags = f"regexp_extract_all(coalesce({html}, ''), {q(_web.META_TAG)}, 0)"
+    tags = f"regexp_extract_all(regexp_replace(coalesce({html}, ''), {q(_web.NON_VISIBLE)}, ' ', 'g'), {q(_web.META_TAG)}, 0)"
     return f"list_filter({tags}, lambda m: regexp_matches(m, {q(_web.META_DATE_TAG)}))[1]"
 
 
@@ -110,17 +110,21 @@ _day = "CAST(DATE '2024-01-31' - CAST(page_id * 7 % 800 AS INTEGER) AS VARCHAR)"
 
 CTES: dict[str, tuple[str, tuple[str, ...]]] = {
     "page_base": (f"""SELECT page_id, url, html,
-        regexp_extract(html, '<html lang="([a-z]+)"', 1) AS query,
+        {url_host('url')} AS query,
         regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title,
         {visible_text('html')} AS body
       FROM pages""", ()),
     "hits_with_pages": ("""SELECT query, row_number() OVER (PARTITION BY query ORDER BY page_id) - 1 AS pos,
-        CASE WHEN page_id % 37 = 5 THEN '' ELSE title END AS title, url AS link, substr(body, 1, 300) AS snippet,
+        CASE WHEN page_id % 37 = 5 THEN '' ELSE title END AS title, url AS link, body AS snippet,
         page_id, html
       FROM page_base""", ("page_base",)),
     "items": ("SELECT query, pos, title, link, snippet FROM hits_with_pages", ("hits_with_pages",)),
-    "page_fetch": ("SELECT url, CAST(CASE WHEN page_id % 9 = 4 THEN 404 ELSE 200 END AS INTEGER) AS status, html FROM pages",
+    "page_fetch": ("""SELECT url, CAST(CASE WHEN page_id % 9 = 4 THEN 404 ELSE 200 END AS INTEGER) AS status, html, page_id * 2 + 1 AS fetch_id
+                      FROM pages UNION ALL
+                      SELECT url, 200 AS status, '<p>old</p>' || html AS html, page_id * 2 AS fetch_id FROM pages WHERE page_id % 6 = 1""",
                    ()),
+    "last_fetch": ("SELECT url, arg_max(html, fetch_id) AS html FROM page_fetch WHERE status = 200 AND url IS NOT NULL GROUP BY url",
+                   ("page_fetch",)),
     "dated_pages": (f"""SELECT page_id, url, query,
         CASE WHEN page_id % 10 = 0 THEN html
              WHEN page_id % 11 = 0 THEN '<meta property="article:published_time" content="not a date">' || html
@@ -129,7 +133,7 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
         END AS html
       FROM page_base""", ("page_base",)),
     "act": ("""SELECT e.event_id, e.event_type, e.ts, p.query, p.url AS link, p.title,
-        substr(p.body, 1, 120) AS snippet, round(e.value / 500, 4) AS ml_rank
+        p.body AS snippet, round(e.value / 500, 4) AS ml_rank
       FROM (SELECT ev.event_id, ev.event_type, ev.ts, ev.value,
                    (ev.user_id * 7 + CAST(json_extract_string(ev.props, '$.k') AS BIGINT)) % (SELECT count(*) FROM pages) AS pid
             FROM events ev) e
@@ -142,10 +146,10 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
         '' AS rag_summary, CAST(count(*) AS INTEGER) AS click_count, max(ts) AS last_clicked,
         CAST(1 + min(event_id) % 10 AS INTEGER) AS "rank"
       FROM act
-      WHERE event_type = 'purchase' AND ts < TIMESTAMP '2024-01-21 00:00:00' AND event_id % 6 = 0 AND query <> 'es'
+      WHERE event_type = 'purchase'
       GROUP BY query, link""", ("act",)),
-    "requests": ("""SELECT DISTINCT query, tf AS time_filter
-      FROM items, (VALUES ('day'), ('month'), ('')) AS t(tf)""", ("items",)),
+    "requests": (f"""SELECT DISTINCT query, tf AS time_filter
+      FROM (SELECT {url_host('url')} AS query FROM pages UNION ALL SELECT '  '), (VALUES ('day'), ('month'), (''), ('decade')) AS t(tf)""", ()),
     "blocklist": (f"SELECT * FROM (VALUES {_bl_values}) AS t(host)", ()),
     "search_queries": (f"SELECT * FROM (VALUES {_sq_values}) AS t(query_id, text)", ()),
 }

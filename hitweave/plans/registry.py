@@ -99,25 +99,46 @@ def q_html_unescape(spark, sf):
 @register("clean_queries", o.with_ctes(
     """SELECT query, time_filter, CASE WHEN time_filter = '' THEN query ELSE query || ':' || time_filter END AS cache_key
        FROM (SELECT regexp_replace(query, '^\\s+|\\s+$', '', 'g') AS query, coalesce(time_filter, '') AS time_filter
-             FROM requests) WHERE query <> ''""", "requests"))
+             FROM requests) WHERE query <> '' AND time_filter IN ('', 'day', 'month', 'year')""", "requests"))
 def q_clean_queries(spark, sf):
-    """Trimmed non-blank queries and their cache keys."""
+    """Trimmed non-blank queries with a known time filter, and their cache keys."""
     return flt.clean_queries(fx.requests(spark, sf)).select("query", "time_filter", "cache_key")
 
 
+@register("request_rejects", o.with_ctes(
+    """SELECT query, time_filter, CASE WHEN query = '' THEN 'blank query' ELSE 'unknown time filter' END AS reason
+       FROM (SELECT regexp_replace(query, '^\\s+|\\s+$', '', 'g') AS query, coalesce(time_filter, '') AS time_filter
+             FROM requests) WHERE query = '' OR time_filter NOT IN ('', 'day', 'month', 'year')""", "requests"))
+def q_request_rejects(spark, sf):
+    """F8/F2: requests that cannot be answered: blank queries and unknown time filters."""
+    return flt.request_rejects(fx.requests(spark, sf)).select("query", "time_filter", "reason")
+
+
+@register("blocklist_scan", f"""SELECT DISTINCT h AS host FROM (SELECT regexp_replace({o.url_host('url')}, '^\\s+|\\s+$', '', 'g') AS h FROM pages)
+                                WHERE h <> ''""")
+def q_blocklist_scan(spark, sf):
+    """A blocklist file of the pages' hosts, with blank lines, spaces and repeats, read back."""
+    path = scratch_path(spark, "blocklist")
+    host = web.url_host("url")
+    lines = read_table(spark, sf, "pages").select(F.explode(F.array(host, F.concat(F.lit("  "), host, F.lit("\t")), F.lit(""))).alias("value"))
+    lines.write.text(path)
+    return landed.read_blocklist(spark, path)
+
+
 # ---------------------------------------------------------------------------
 # Pages attached, summaries, ranked hits
 
 _FIRST_VALID = f"SELECT * FROM ({_NORM_ITEMS}) WHERE pos BETWEEN 0 AND 9 AND link <> '' AND title <> ''"
 _ATTACHED = (f"SELECT v.query, v.pos, v.title, v.link, v.snippet, coalesce(f.html, '') AS html FROM ({_FIRST_VALID}) v "
-             "LEFT JOIN (SELECT url, html FROM page_fetch WHERE status = 200) f ON v.link = f.url")
+             "LEFT JOIN last_fetch f ON v.link = f.url")
 
 
 @register("attach_pages", o.with_ctes(
-    f"SELECT query, pos, link, html FROM ({_ATTACHED})", "items", "page_fetch"))
+    f"""SELECT v.query, v.pos, v.link, coalesce(f.html, '') AS html FROM ({_NORM_ITEMS}) v LEFT JOIN last_fetch f ON v.link = f.url
+        WHERE v.link <> '' AND v.title <> ''""", "items", "last_fetch"))
 def q_attach_pages(spark, sf):
-    """First ten valid hits per query with their fetched page ('' when the fetch failed)."""
-    hits = landed.valid_items(landed.result_page(fx.items(spark, sf), 1, 10))
+    """Every valid hit with its last successful fetch ('' when there is none)."""
+    hits = landed.valid_items(fx.items(spark, sf))
     return landed.attach_pages(hits, fx.page_fetch(spark, sf)).select("query", "pos", "link", "html")
 
 
@@ -126,7 +147,7 @@ _SEARCH_HITS = (f"SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER
                 f"CAST(1.0 AS DOUBLE) AS ml_rank FROM ({_ATTACHED})")
 
 
-@register("search_hits", o.with_ctes(f"SELECT * FROM ({_SEARCH_HITS})", "items", "page_fetch"))
+@register("search_hits", o.with_ctes(f"SELECT * FROM ({_SEARCH_HITS})", "items", "last_fetch"))
 def q_search_hits(spark, sf):
     """M1: cleaned, page-attached, summarised, ranked hits for every query."""
     h = srch.search_hits(fx.items(spark, sf), fx.page_fetch(spark, sf))
@@ -221,7 +242,7 @@ def q_time_relevance(spark, sf):
 
 def _dist_sql(now):
     t = "published_ts"
-    cnt = lambda cond, name: f"CAST(count_if({cond}) AS BIGINT) AS {name}"
+    cnt = lambda cond, name: f"CAST(count_if(coalesce({cond}, false)) AS BIGINT) AS {name}"
     cols = [cnt(f"{t} >= {o.days_ago(now, d)}", n) for d, n in
             ((1, "last_day"), (7, "last_week"), (30, "last_month"), (365, "last_year"))]
     cols += [cnt(f"{t} < {o.days_ago(now, 365)}", "older"), cnt(f"{t} IS NULL", "unknown")]
@@ -468,7 +489,7 @@ def q_feedback_upsert(spark, sf):
           UNION ALL
           SELECT query, link, title, snippet, CAST(rank AS INTEGER), {o.ts(fx.NOW_FEEDBACK)}, false, ml_rank,
                  coalesce(rag_summary, ''), 0, CAST(NULL AS TIMESTAMP)
-          FROM ({_SEARCH_HITS}))""", "stored", "items", "page_fetch"))
+          FROM ({_SEARCH_HITS}))""", "stored", "items", "last_fetch"))
 def q_results_replace(spark, sf):
     """Fresh hits written replace-on-key into the results table."""
     hits = srch.search_hits(fx.items(spark, sf), fx.page_fetch(spark, sf))
@@ -557,7 +578,7 @@ def _merge_sql(stored_sql: str, fresh_sql: str, key: str, p: str) -> dict:
 
 _STORED_SIDE = f"SELECT query, row_number() OVER (PARTITION BY query ORDER BY {_T1}) - 1 AS pos, {_HIT_FIELDS_SQL} FROM stored"
 _FRESH_SIDE = (f"SELECT query, rank - 1 AS pos, title, link, snippet, ml_rank, rag_summary, 0 AS click_count, "
-               f"false AS relevance FROM ({_SEARCH_HITS}) WHERE query <> 'de'")
+               f"false AS relevance FROM ({_SEARCH_HITS})")
 _MERGE = _merge_sql(_STORED_SIDE, _FRESH_SIDE, "query", "m")
 
 
@@ -565,11 +586,9 @@ def _stored_side(spark, sf):
     return mg.stored_order(fx.stored(spark, sf), "query", out="pos", base=0)
 
 
-def _fresh_side(spark, sf, exclude_de: bool = True):
-    """Fresh hits of every query but 'de' (FIXTURES: exercises the empty-fresh branch)."""
+def _fresh_side(spark, sf):
+    """Fresh hits of every query."""
     h = srch.search_hits(fx.items(spark, sf), fx.page_fetch(spark, sf))
-    if exclude_de:
-        h = h.filter(F.col("query") != "de")
     return h.select("query", (F.col("rank") - 1).alias("pos"), "title", "link", "snippet", "ml_rank", "rag_summary",
                     F.lit(0).alias("click_count"), F.lit(False).alias("relevance"))
 
@@ -577,7 +596,7 @@ def _fresh_side(spark, sf, exclude_de: bool = True):
 @register("merge_dedup", o.with_ctes(
     f"""SELECT query, link, source, pos FROM (
           SELECT *, row_number() OVER (PARTITION BY query, link ORDER BY prio, pos) AS rn FROM mu) WHERE rn = 1""",
-    "stored", "items", "page_fetch", extra=_MERGE))
+    "stored", "items", "last_fetch", extra=_MERGE))
 def q_merge_dedup(spark, sf):
     """Stored and fresh hits unioned, first row per (query, link) kept."""
     d = mg.merge_dedup(_stored_side(spark, sf), _fresh_side(spark, sf))
@@ -586,7 +605,7 @@ def q_merge_dedup(spark, sf):
 
 @register("merge_rank", o.with_ctes(
     "SELECT query, rank, link, source, round(rank_score, 4) AS rank_score FROM mmr",
-    "stored", "items", "page_fetch", extra=_MERGE))
+    "stored", "items", "last_fetch", extra=_MERGE))
 def q_merge_rank(spark, sf):
     """M4 (A6, C16, W2, T2): merged and ranked lists; one-sided queries keep their own order."""
     m = mg.merge_rank(_stored_side(spark, sf), _fresh_side(spark, sf))
@@ -606,7 +625,7 @@ def _formatted(spark, sf):
 
 @register("format_results", o.with_ctes(
     f"""SELECT query, rank, title, link, snippet, round(ml_rank, 4) AS ml_rank, rag_summary, click_count, relevance
-        FROM ({_FORMAT})""", "stored", "items", "page_fetch", extra=_MERGE))
+        FROM ({_FORMAT})""", "stored", "items", "last_fetch", extra=_MERGE))
 def q_format_results(spark, sf):
     """The merged lists in display shape, ranks 1..n."""
     return _formatted(spark, sf).select("query", "rank", "title", "link", "snippet", r4("ml_rank").alias("ml_rank"),
@@ -615,7 +634,7 @@ def q_format_results(spark, sf):
 
 @register("score_text", o.with_ctes(
     f"SELECT query, rank, printf('%.2f', ml_rank) AS score_text FROM ({_FORMAT})",
-    "stored", "items", "page_fetch", extra=_MERGE))
+    "stored", "items", "last_fetch", extra=_MERGE))
 def q_score_text(spark, sf):
     """The two-decimal score text shown (and sent back) per displayed hit."""
     return _formatted(spark, sf).select("query", "rank", tx.score_text("ml_rank").alias("score_text"))
@@ -635,6 +654,9 @@ SNAPSHOT_VERSIONS = (
     (":year", "2024-01-10 00:00:00", 31536000, "stored", "final"),
     # the fresh hit lists of the queries searched before (those with stored results)
     ("", "2024-02-01 00:01:00", 0, "searched", "fresh"),
+    # a list with a long life, replaced by one that has expired: nothing may be served
+    ("", "2024-01-31 23:30:00", 36000, "stored", "final"),
+    ("", "2024-01-31 23:40:00", 60, "fresh", "final"),
 )
 
 
@@ -690,16 +712,17 @@ _SNAP = {
     "snap": (_snap_sql(), ()),
     "vall": (f"""SELECT s.* FROM snap s JOIN (
                     SELECT cache_key, kind, max(cached_at) AS latest FROM snap
-                    WHERE cached_at <= {o.ts(READ_NOW)} AND {o.ts(READ_NOW)} < expires_at GROUP BY cache_key, kind) l
-                  ON s.cache_key = l.cache_key AND s.kind = l.kind AND s.cached_at = l.latest""", ("snap",)),
+                    WHERE cached_at <= {o.ts(READ_NOW)} GROUP BY cache_key, kind) l
+                  ON s.cache_key = l.cache_key AND s.kind = l.kind AND s.cached_at = l.latest
+                  WHERE {o.ts(READ_NOW)} < expires_at""", ("snap",)),
     "vsnap": ("SELECT * FROM vall WHERE kind = 'final'", ("vall",)),
     "vfresh": ("SELECT * FROM vall WHERE kind = 'fresh'", ("vall",)),
     "req": ("""SELECT DISTINCT query, time_filter,
                       CASE WHEN time_filter = '' THEN query ELSE query || ':' || time_filter END AS cache_key
                FROM (SELECT regexp_replace(query, '^\\s+|\\s+$', '', 'g') AS query, coalesce(time_filter, '') AS time_filter
-                     FROM requests) WHERE query <> ''""", ()),
+                     FROM requests) WHERE query <> '' AND time_filter IN ('', 'day', 'month', 'year')""", ()),
 }
-_SNAP_NEEDS = ("stored", "items", "page_fetch", "requests")
+_SNAP_NEEDS = ("stored", "items", "last_fetch", "requests")
 _HIT_OUT_SQL = ("rank, title, link, snippet, round(ml_rank, 4) AS ml_rank, rag_summary, click_count, relevance")
 
 
@@ -761,8 +784,9 @@ def q_snapshot_invalidate(spark, sf):
 @register("snapshot_purge", o.with_ctes(
     f"""SELECT cache_key, kind, chunk, cached_at, n_items FROM (
           SELECT cache_key, kind, CAST((rank - 1) // 100 AS BIGINT) AS chunk, cached_at, expires_at,
-                 count(*) AS n_items FROM snap GROUP BY cache_key, kind, (rank - 1) // 100, cached_at, expires_at)
-        WHERE expires_at > {o.ts(READ_NOW)}""", *_SNAP_NEEDS, extra=_SNAP))
+                 count(*) AS n_items FROM snap GROUP BY cache_key, kind, (rank - 1) // 100, cached_at, expires_at) p
+        WHERE expires_at > {o.ts(READ_NOW)} AND cached_at = (SELECT max(cached_at) FROM snap s
+              WHERE s.cache_key = p.cache_key AND s.kind = p.kind AND s.cached_at <= {o.ts(READ_NOW)})""", *_SNAP_NEEDS, extra=_SNAP))
 def q_snapshot_purge(spark, sf):
     """The snapshot table without the rows expired at the read time."""
     s = snap.snapshot_purge(_fixture_snapshots(spark, sf), READ_NOW)
@@ -826,11 +850,8 @@ def q_feedback_stream(spark, sf):
     for part, n in ((early, 2), (late, 2), (redelivered, 1)):
         part.repartition(n).write.mode("append").parquet(f"{root}/source")
     q = fstream.start_feedback_stream(spark, f"{root}/source", f"{root}/rollup", f"{root}/state",
-                                      watermark="1 hour", files_per_batch=2)
-    q.awaitTermination(900)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError("feedback stream did not finish")
+                                      files_per_batch=2)
+    q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     return _results_out(fstream.results_from_stream(spark, fx.stored(spark, sf), f"{root}/rollup"))

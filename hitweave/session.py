@@ -6,7 +6,6 @@ import os
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 # Conf every job of the library relies on.  Time-of-day logic compares instants
@@ -27,8 +26,6 @@ RECOMMENDED_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    # delete checkpoint files once their DataFrames are garbage collected
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -59,18 +56,16 @@ def prepare(spark: SparkSession) -> SparkSession:
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (tests, a bare local session)
-    a private folder is created and registered.  Jobs write their durable
-    intermediate tables and streaming checkpoints below this root."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
+    Read from the session.  Where it is unset, a local session (tests) gets a private folder;
+    on a cluster, whose machines do not share one, that is an error.  Jobs write their durable
+    intermediate tables and streaming state below this root."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = tempfile.mkdtemp(prefix="hitweave-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
@@ -79,14 +74,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/hitweave/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as a reliable checkpoint in the shared folder and return
-    the DataFrame reading it (lineage cut; survives lost executors).
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back: the lineage ends there,
+    scans of it prune columns and take pushed filters, and a lost executor re-reads files."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
-    An eager checkpoint runs its input twice (a count, then the write); the input
-    is cached for that pass only, so it is computed once."""
-    checkpoint_root(df.sparkSession)
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = cached.checkpoint(eager=True)
-    cached.unpersist()
-    return out
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the tables written below this session's scratch folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_root(spark)}/hitweave")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

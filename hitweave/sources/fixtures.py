@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitweave.functions.web import visible_text
+from hitweave.functions.web import url_host, visible_text
 from hitweave.operators.ordinal import ordinal
 from hitweave.session import materialize
 from hitweave.sources.tables import read_events, read_table
@@ -32,14 +32,13 @@ NOW_STORED = "2024-01-20 00:00:00"
 NOW_FEEDBACK = "2024-02-01 00:00:00"
 
 
-LANG = r'<html lang="([a-z]+)"'
 TITLE = r"(?s)<title>(.*?)</title>"
 
 
 def page_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages with the page language as the query, title and visible text."""
+    """Pages with the URL's host as the query (a key that grows with the data), title and visible text."""
     return _with_text(read_table(spark, sf_dir, "pages").select(
-        "page_id", "url", "html", F.regexp_extract("html", LANG, 1).alias("query")))
+        "page_id", "url", "html", url_host("url").alias("query")))
 
 
 def _with_text(pages: DataFrame) -> DataFrame:
@@ -53,14 +52,14 @@ def hits_with_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined back and the title/body regexes run after the join, so a filter on
     ``pos`` (the first ten hits) reaches the join before any text work."""
     pages = read_table(spark, sf_dir, "pages")
-    keys = pages.select("page_id", F.regexp_extract("html", LANG, 1).alias("query"))
+    keys = pages.select("page_id", url_host("url").alias("query"))
     pos = ordinal(keys, ["query"], ["page_id"], out="pos", base=0)
     numbered = _with_text(pages.select("page_id", "url", "html").join(pos, "page_id"))
     return numbered.select(
         "query", "pos",
         F.when(F.col("page_id") % 37 == 5, F.lit("")).otherwise(F.col("title")).alias("title"),
         F.col("url").alias("link"),
-        F.substring("body", 1, 300).alias("snippet"),
+        F.col("body").alias("snippet"),
         "page_id", "html",
     )
 
@@ -85,10 +84,13 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fetched pages; some fetches failed with 404."""
+    """Fetched pages; some fetches failed with 404, some URLs were fetched before with another body."""
     pages = read_table(spark, sf_dir, "pages")
-    return pages.select("url", F.when(F.col("page_id") % 9 == 4, F.lit(404)).otherwise(F.lit(200))
-                        .cast("int").alias("status"), "html")
+    now = pages.select("url", F.when(F.col("page_id") % 9 == 4, F.lit(404)).otherwise(F.lit(200)).cast("int").alias("status"),
+                       "html", (F.col("page_id") * 2 + 1).alias("fetch_id"))
+    before = pages.filter(F.col("page_id") % 6 == 1).select(
+        "url", F.lit(200).alias("status"), F.concat(F.lit("<p>old</p>"), "html").alias("html"), (F.col("page_id") * 2).alias("fetch_id"))
+    return now.unionByName(before)
 
 
 def dated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +113,7 @@ def act(spark: SparkSession, sf_dir: str) -> DataFrame:
     # once per page below the exchange (a one-to-many hash join would otherwise
     # re-evaluate them per matching event), and the join reuses this partitioning.
     pb = (page_base(spark, sf_dir)
-          .select("page_id", "query", "url", "title", F.substring("body", 1, 120).alias("snippet"))
+          .select("page_id", "query", "url", "title", F.col("body").alias("snippet"))
           .repartition("page_id"))
     n_pages = read_table(spark, sf_dir, "pages").select(F.count(F.lit(1))).scalar()  # scalar subquery
     k = F.get_json_object("props", "$.k").cast("bigint")
@@ -130,17 +132,16 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored ``results`` table, keyed (query, link); query 'es' has nothing stored.
+    """The stored ``results`` table, keyed (query, link), from all purchases; queries whose pages
+    nobody bought from have nothing stored.
 
-    A table at rest in real use: it is written once (checkpoint in the shared
-    folder) so the jobs reading it several times do not re-derive it."""
+    A table at rest in real use: it is written once (Parquet in the shared folder),
+    so the jobs reading it several times do not re-derive it."""
     return materialize(_stored(spark, sf_dir))
 
 
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = act(spark, sf_dir).filter((F.col("event_type") == "purchase")
-                                   & (F.col("ts") < F.to_timestamp(F.lit("2024-01-21 00:00:00")))
-                                   & (F.col("event_id") % 6 == 0) & (F.col("query") != "es"))
+    a = act(spark, sf_dir).filter(F.col("event_type") == "purchase")
     return (a.groupBy("query", "link")
              .agg(F.min("title").alias("title"), F.min("snippet").alias("snippet"), F.min("ts").alias("created"),
                   (F.max(F.when(F.col("event_id") % 5 == 0, 1).otherwise(0)) == 1).alias("relevance"),
@@ -150,9 +151,11 @@ def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search requests: every query with the time filters day, month and none."""
-    q = read_table(spark, sf_dir, "pages").select(F.regexp_extract("html", LANG, 1).alias("query")).distinct()
-    return q.select("query", F.explode(F.array(F.lit("day"), F.lit("month"), F.lit(""))).alias("time_filter"))
+    """Search requests: every query with the time filters day, month, none and an unknown one;
+    also blank queries."""
+    q = read_table(spark, sf_dir, "pages").select(url_host("url").alias("query")).distinct()
+    q = q.unionByName(spark.createDataFrame([("  ",)], "query string"))
+    return q.select("query", F.explode(F.array(F.lit("day"), F.lit("month"), F.lit(""), F.lit("decade"))).alias("time_filter"))
 
 
 def blocklist(spark: SparkSession) -> DataFrame:

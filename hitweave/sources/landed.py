@@ -65,11 +65,12 @@ def valid_items(hits: DataFrame) -> DataFrame:
 def attach_pages(hits: DataFrame, fetched: DataFrame) -> DataFrame:
     """Attach the fetched page body to each hit; a failed or missing fetch gives ''.
 
-    ``fetched`` is ``(url, status, html)`` with one row per URL (the page store's
-    key).  Only the successful fetches take part (the status filter reaches the
-    scan); the hit side is small (10 per query), so AQE broadcasts it when its
-    measured size allows, otherwise the join shuffles both sides on the URL."""
-    ok = fetched.filter(F.col("status") == 200).select(F.col("url").alias("__url"), F.col("html").alias("__html"))
+    ``fetched`` is ``(url, status, html, fetch_id)``; of several successful fetches of a URL the
+    one with the largest ``fetch_id`` counts (found on narrow columns, so no page is aggregated).
+    Only successful fetches take part (the status filter reaches the scan)."""
+    ok = fetched.filter((F.col("status") == 200) & F.col("url").isNotNull())
+    last = ok.groupBy("url").agg(F.max("fetch_id").alias("fetch_id"))
+    ok = ok.join(last, ["url", "fetch_id"], "left_semi").select(F.col("url").alias("__url"), F.col("html").alias("__html"))
     j = hits.join(ok, hits["link"] == ok["__url"], "left")
     return j.withColumn("html", F.coalesce(F.col("__html"), F.lit(""))).drop("__url", "__html")
 

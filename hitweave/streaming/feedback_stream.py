@@ -1,15 +1,15 @@
 """Relevance feedback as a Structured Streaming job.
 
-feedback files --readStream--> watermark on ts --> dropDuplicatesWithinWatermark(event_id)
-   --> foreachBatch: partial rollup of the micro-batch, written to ``<out>/batch=<id>``
-       (overwrite: a retried batch replaces its own output, so the sink is idempotent)
+feedback files --readStream--> foreachBatch: events not delivered before (anti join on the stored
+   event keys), their partial rollup written to ``<out>/batch=<id>`` and their keys to
+   ``<out>_seen/batch=<id>`` (overwrite: a retried batch replaces its own output and ignores its
+   own keys, so the sink is idempotent)
 results table = re-aggregation of all partials (counts summed, first/last times,
 latest fields by (ts, event_id)), folded into the stored table by the batch twin's
 keyed merge.  Equal to ``feedback.feedback_upsert`` over the de-duplicated events.
 
-The watermark delay bounds how far apart two copies of an event may arrive and
-still be recognised; a copy older than the watermark is dropped as late.  State
-and output live below the shared checkpoint folder (``spark.checkpoint.dir``).
+There is no watermark: a click counts however late it is delivered, and a second copy is recognised
+however late.  State and output live below the shared checkpoint folder (``spark.checkpoint.dir``).
 """
 
 from __future__ import annotations
@@ -17,8 +17,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.errors import AnalysisException
 
 from hitweave.operators.feedback import apply_rollup, valid_feedback
+from hitweave.session import materialize
 
 FEEDBACK_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()),
@@ -61,30 +63,43 @@ def combine_partials(partials: DataFrame) -> DataFrame:
 
 
 def start_feedback_stream(spark: SparkSession, source_dir: str, out_dir: str, checkpoint_dir: str,
-                          watermark: str = "1 hour", files_per_batch: int | None = 1, available_now: bool = True):
+                          files_per_batch: int | None = 1, available_now: bool = True):
     """Start the stream; returns the ``StreamingQuery``."""
     stream = (spark.readStream.schema(FEEDBACK_SCHEMA)
               .option("maxFilesPerTrigger", files_per_batch or 1000)
               .parquet(source_dir))
-    deduped = stream.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["event_id"])
+    seen_dir = f"{out_dir.rstrip('/')}_seen"
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        partial_rollup(batch).write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
-
-    w = deduped.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint_dir)
+        session = batch.sparkSession
+        # copies within the batch: the row itself decides, so a retry takes the same one
+        rest = [c for c in batch.columns if c != "event_id"]
+        once = batch.groupBy("event_id").agg(F.min(F.struct(*rest)).alias("e")).select("event_id", "e.*").select(*batch.columns)
+        seen = _read_or_none(session, seen_dir)
+        if seen is not None:
+            once = once.join(seen.filter(F.col("batch") != batch_id).select("event_id"), "event_id", "left_anti")
+        new = materialize(once, "feedback-batch")
+        new.select("event_id").write.mode("overwrite").parquet(f"{seen_dir}/batch={batch_id}")
+        partial_rollup(new).write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
+
+    w = stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
 def read_rollup(spark: SparkSession, out_dir: str) -> DataFrame:
     """The combined rollup of everything the stream has folded so far."""
+    parts = _read_or_none(spark, out_dir)
+    return combine_partials(partial_rollup(spark.createDataFrame([], FEEDBACK_SCHEMA)) if parts is None else parts)
+
+
+def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        parts = spark.read.parquet(out_dir)
-    except Exception as exc:  # noqa: BLE001 - nothing folded yet
+        return spark.read.parquet(path)
+    except AnalysisException as exc:  # nothing folded yet
         if "PATH_NOT_FOUND" not in str(exc) and "UNABLE_TO_INFER_SCHEMA" not in str(exc):
             raise
-        parts = partial_rollup(spark.createDataFrame([], FEEDBACK_SCHEMA))
-    return combine_partials(parts)
+        return None
 
 
 def results_from_stream(spark: SparkSession, stored: DataFrame, out_dir: str) -> DataFrame:

@@ -36,3 +36,23 @@ def test_stream_equals_batch_and_replay_is_noop(spark):
     s = fs.start_feedback_stream(spark, f"{root}/in", f"{root}/out", f"{root}/state", files_per_batch=100)
     s.awaitTermination(300)
     assert rows(fs.results_from_stream(spark, stored, f"{root}/out")) == rows(batch)
+
+
+def test_late_click_counts_and_late_copy_does_not(spark):
+    root = scratch_path(spark, "test-late")
+    day = "timestamp'2024-01-10 12:00:00'"
+
+    def deliver(*events):
+        rows_ = spark.createDataFrame([(i, h) for i, h in events], "event_id bigint, hours int").selectExpr(
+            "event_id", f"{day} - make_interval(0, 0, 0, 0, hours) AS ts", "'q' AS query", "'l' AS link", "'t' AS title",
+            "'s' AS snippet", "CAST(0.5 AS double) AS ml_rank", "'' AS rag_summary", "1 AS rank")
+        rows_.write.mode("append").parquet(f"{root}/in")
+        s = fs.start_feedback_stream(spark, f"{root}/in", f"{root}/out", f"{root}/state", files_per_batch=100)
+        s.awaitTermination()
+        assert s.exception() is None
+
+    deliver((1, 0))
+    deliver((2, 24 * 9), (1, 0))      # a click nine days late, and a copy of the first
+    deliver((2, 24 * 9), (2, 24 * 9))  # its copies
+    got = fs.read_rollup(spark, f"{root}/out").collect()
+    assert [(r.query, r.link, r.clicks) for r in got] == [("q", "l", 2)]
