@@ -6,18 +6,22 @@ smaller doc_id, or in the same document at an earlier place) is a repeat, and it
 1. Seeds: every document's winnowed anchors (``anchors``), each with the run of windows that
    select it, extended both ways into a *segment* and written once as (anchor, content hash,
    document, place).  Within a document a segment's repeats are settled at once.
-2. Documents are joined on anchors that occur twice; others cannot be in a repeat.  Segments of
-   equal content are whole maximal matches: all but the least document's are repeats.
+2. Documents are joined on anchors.  Segments of equal content are whole maximal matches: all but
+   the least document's are repeats.
 3. Where one anchor has segments of different content, the first of each kind is extended window
    by window: windows are joined on (anchor, window hash), and all but the least document's are
    repeats.  Copies never come this far, and no pair of documents is ever made.
 4. Repeats that touch are merged into maximal ones and their words removed.
 
-Equality is that of two 64-bit hashes, of the anchor and of all words.  Every aggregation combines
-before its shuffle; joins are plain, so Spark splits skewed ones.
+The joins of 2 and 3 are windows over the anchor: one shuffle each.  Anchors that would make a task
+much larger than the mean (found by counting seeds in hash buckets, before any is shuffled) go
+another way: aggregations that combine before the shuffle, and joins that Spark can split.  Both
+ways give the same rows.
+
+Equality is that of two 64-bit hashes, of the anchor and of all words.
 
 Defined results: a null text has no words; a null doc_id counts as larger than any other; rows
-with the same doc_id are not earlier than each other.
+with the same doc_id are not earlier than each other (they are told apart by a 32-bit hash of the text).
 """
 
 from __future__ import annotations
@@ -27,10 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hitweave.llm.anchors import BLANKS, Rolling, first_of, merged, segments, word_units
+from hitweave.llm.anchors import Rolling, first_of, merged, segments, word_units
 from hitweave.llm.common import mapped, stored, text_or_empty
 
 WINDOW = 20
@@ -39,10 +43,10 @@ MAX_LONG = 2**63 - 1
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``id`` (null as the largest), ``key`` (a hash of the text) and ``text`` as bytes."""
+    """``id`` (null as the largest), ``key`` (a 32-bit hash of the text) and ``text`` as bytes."""
     whole = text_or_empty(F.col(f"`{text}`"))
     return docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("bigint"), F.lit(MAX_LONG)).alias("id"),
-                       F.xxhash64(whole).alias("key"), whole.cast("binary").alias("text"))
+                       F.hash(whole).alias("key"), whole.cast("binary").alias("text"))
 
 
 def occurrences(docs: DataFrame, units, gram: int, window: int, settle_first: bool) -> DataFrame:
@@ -77,19 +81,39 @@ def occurrences(docs: DataFrame, units, gram: int, window: int, settle_first: bo
                     pa.array(np.concatenate((times[keep], np.ones(len(texts), np.int64))).astype(np.int64))],
                     ["anchor", "content", "id", "key", "start", "count", "times"])
 
-    return docs.transform(mapped, run, "anchor bigint, content bigint, id bigint, key bigint, start bigint, count bigint, times bigint")
+    return docs.transform(mapped, run, "anchor bigint, content bigint, id bigint, key int, start bigint, count bigint, times bigint")
+
+
+BUCKETS = 64  # hash buckets per shuffle partition, for finding hot anchors
+HOT = 8  # times the mean bucket
+
 
+def with_hot(seeds: DataFrame) -> DataFrame:
+    """Add ``hot``: whether the anchor's hash bucket is ``HOT`` times the mean or more."""
+    buckets = BUCKETS * int(seeds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucket = F.pmod("anchor", F.lit(buckets))
+    counts = seeds.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    mean = counts.agg(F.sum("n")).first()[0] or 0
+    hot = stored(counts.filter(F.col("n") > max(64, HOT * mean / buckets)).select("bucket", F.lit(True).alias("hot")), "hot-anchors")
+    return seeds.withColumn("bucket", bucket).join(hot, "bucket", "left").withColumn("hot", F.coalesce("hot", F.lit(False))).drop("bucket")
 
-def repeated_anchors(found: DataFrame) -> DataFrame:
-    """Rows of ``occurrences`` whose anchor occurs in another row or several times in its own."""
-    often = found.filter("anchor is not null").groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("times").alias("t")) \
-                 .filter("n > 1 or t > 1").select("anchor")
-    return found.join(often, "anchor", "left_semi")
+
+def _firsts(seeds: DataFrame) -> DataFrame:
+    """Seeds that matter (``with_hot`` rows), with ``least``, the least id of equal content, and
+    ``open``, whether the anchor has other contents."""
+    by_anchor, by_content = Window.partitionBy("anchor"), Window.partitionBy("anchor", "content")
+    cold = seeds.filter("not hot").withColumn("least", F.min("id").over(by_content)) \
+                .withColumn("open", F.min("content").over(by_anchor) < F.max("content").over(by_anchor))
+    hot = seeds.filter("hot")
+    kinds = hot.groupBy("anchor", "content").agg(F.min("id").alias("least"))
+    several = kinds.groupBy("anchor").agg((F.min("content") < F.max("content")).alias("open"))
+    hot = hot.join(kinds, ["anchor", "content"]).join(several, "anchor")
+    return cold.unionByName(hot).filter("id > least or open")
 
 
 def _window_hashes(rows: DataFrame) -> DataFrame:
-    """Windows of listed segments: ``anchor, window, id, key, start, count``; with a null anchor
-    those that come again in the same document."""
+    """Windows of listed segments, one row a segment: ``anchor, hot, id, key, start, windows``.
+    The windows that come again later in the same document have a null anchor."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for id_, key, text, spans in zip(*(b.column(i) for i in range(4))):
@@ -100,42 +124,49 @@ def _window_hashes(rows: DataFrame) -> DataFrame:
                 anchor = np.repeat(np.array([s["anchor"] for s in spans], np.int64), count)
                 window = Rolling(units).spans(start, start + WINDOW).view(np.int64)
                 first, _ = first_of(anchor.view(np.uint64), window.view(np.uint64))
-                n = len(start)
+                again = np.flatnonzero(~first)
+                out = [(s["anchor"], s["hot"], s["start"], w) for s, w in zip(spans, np.split(window, np.cumsum(count)[:-1]))]
+                out += [(None, False, p, None) for p in start[again].tolist()]
+                n = len(out)
+                anchors, hot, starts, windows = zip(*out)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(anchor, mask=~first), pa.array(window), pa.array(np.full(n, id_.as_py())), pa.array(np.full(n, key.as_py())),
-                    pa.array(start), pa.array(np.ones(n, np.int64))], ["anchor", "window", "id", "key", "start", "count"])
+                    pa.array(anchors, pa.int64()), pa.array(hot), pa.array(np.full(n, id_.as_py())),
+                    pa.array(np.full(n, key.as_py(), np.int32)), pa.array(starts, pa.int64()), pa.array(windows, pa.list_(pa.int64()))],
+                    ["anchor", "hot", "id", "key", "start", "windows"])
 
     return rows.select("id", "key", "text", "spans").transform(
-        mapped, run, "anchor bigint, window bigint, id bigint, key bigint, start bigint, count bigint")
+        mapped, run, "anchor bigint, hot boolean, id bigint, key int, start bigint, windows array<bigint>")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """Ranges of repeated windows, ``id, key, start, count``, of ``keyed`` documents."""
     found = stored(occurrences(docs, word_units, GRAM, WINDOW, settle_first=False), "segments")
-    near = stored(repeated_anchors(found), "repeated-segments")
-    first = stored(near.groupBy("anchor", "content").agg(F.min("id").alias("least")), "first-segments")
-    kinds = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
-    same = near.join(first, ["anchor", "content"])
+    seeds = found.filter("anchor is not null").select(
+        "anchor", "content", "id", "key", F.shiftleft("start", 8).bitwiseOR(F.col("count")).alias("place"))  # at most 16 windows
+    start, count = F.shiftright("place", 8).alias("start"), F.col("place").bitwiseAND(F.lit(255)).alias("count")
+    near = stored(_firsts(with_hot(seeds)).select("anchor", "hot", "id", "key", start, count, (F.col("id") > F.col("least")).alias("later")),
+                  "repeated-segments")
     span = ["id", "key", "start", "count"]
-    out = found.filter("anchor is null").select(*span).unionByName(same.filter("id > least").select(*span))
-    open_ = same.filter("id = least").join(kinds, "anchor", "left_semi") \
-                .groupBy("id", "key").agg(F.collect_set(F.struct("start", "count", "anchor")).alias("spans"))
-    windows = stored(_window_hashes(_with_text(docs, open_, "inner")), "open-windows")
-    least = windows.filter("anchor is not null").groupBy("anchor", "window").agg(F.min("id").alias("least"))
-    later = windows.join(least, ["anchor", "window"]).filter("id > least").select(*span)
-    return out.unionByName(windows.filter("anchor is null").select(*span)).unionByName(later)
+    open_ = near.filter("not later").groupBy("id", "key").agg(
+        F.collect_set(F.struct("start", "count", "anchor", "hot")).alias("spans"))
+    segments = _window_hashes(_with_text(docs, open_, "inner"))
+    one = F.lit(1).cast("bigint").alias("count")
+    again = segments.filter("anchor is null").select("id", "key", "start", one)
+    exploded = lambda df: df.select("anchor", "id", "key", "start", F.posexplode("windows").alias("pos", "window")) \
+        .select("anchor", "window", "id", "key", (F.col("start") + F.col("pos")).alias("start"))
+    cold = exploded(segments.filter("anchor is not null and not hot").repartition("anchor")) \
+        .withColumn("least", F.min("id").over(Window.partitionBy("anchor", "window")))
+    hot = exploded(segments.filter("anchor is not null and hot"))
+    hot = hot.join(hot.groupBy("anchor", "window").agg(F.min("id").alias("least")), ["anchor", "window"])
+    later = [w.filter("id > least").select("id", "key", "start", one) for w in (cold, hot)]
+    out = found.filter("anchor is null").select(*span).unionByName(near.filter("later").select(*span))
+    return out.unionByName(again).unionByName(later[0]).unionByName(later[1])
 
 
 def _with_text(docs: DataFrame, side: DataFrame, how: str) -> DataFrame:
     return docs.join(side, ["id", "key"], how)
 
 
-def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Where the words of a text begin and end."""
-    blank = BLANKS[np.frombuffer(b" " + data + b" ", np.uint8)]
-    return np.flatnonzero(blank[:-1] & ~blank[1:]), np.flatnonzero(~blank[:-1] & blank[1:])
-
-
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, 256):

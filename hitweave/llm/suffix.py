@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from hitweave.llm.anchors import Rolling, _least, byte_units, merged, mixed
 from hitweave.llm.common import mapped, stored
 from hitweave.llm.sais import permuted_lcp, suffix_array
-from hitweave.llm.substring import MAX_LONG, keyed, occurrences, repeated_anchors
+from hitweave.llm.substring import MAX_LONG, keyed, occurrences
 
 WINDOW = 400
 GRAM = 200
@@ -68,14 +68,14 @@ def _segment_texts(rows: DataFrame) -> DataFrame:
                     n = len(s)
                     yield pa.RecordBatch.from_arrays([
                         pa.array([x["anchor"] for x in s], pa.int64()), pa.array(np.zeros(n, np.int64)), pa.array(np.full(n, id_)),
-                        pa.array(np.full(n, key)), pa.array([x["start"] for x in s], pa.int64()), pa.array([x["count"] for x in s], pa.int64()),
+                        pa.array(np.full(n, key, np.int32)), pa.array([x["start"] for x in s], pa.int64()), pa.array([x["count"] for x in s], pa.int64()),
                         pa.array([text[x["start"]:x["start"] + x["count"] + WINDOW - 1] for x in s], pa.binary()),
                         pa.array([x["alone"] for x in s], pa.bool_())], SEGMENT_NAMES)
     return rows.select("id", "key", "text", "spans").transform(mapped, run, SEGMENT)
 
 
 SEGMENT_NAMES = ["anchor", "shard", "id", "key", "start", "count", "bytes", "alone"]
-SEGMENT = "anchor bigint, shard bigint, id bigint, key bigint, start bigint, count bigint, bytes binary, alone boolean"
+SEGMENT = "anchor bigint, shard bigint, id bigint, key int, start bigint, count bigint, bytes binary, alone boolean"
 
 
 def _end_keys(data: bytes) -> np.ndarray:
@@ -96,7 +96,7 @@ def _dealt_again(segments: DataFrame) -> DataFrame:
                 n = len(cut) - 1
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.full(n, row["anchor"])), pa.array(keys[cut[:-1]].view(np.int64)), pa.array(np.full(n, row["id"])),
-                    pa.array(np.full(n, row["key"])), pa.array([row["start"] + a for a in cut[:-1]], pa.int64()),
+                    pa.array(np.full(n, row["key"], np.int32)), pa.array([row["start"] + a for a in cut[:-1]], pa.int64()),
                     pa.array(np.diff(cut).astype(np.int64)),
                     pa.array([row["bytes"][a:e + WINDOW - 1] for a, e in zip(cut, cut[1:])], pa.binary()),
                     pa.array([row["alone"]] * n, pa.bool_())], SEGMENT_NAMES)
@@ -112,7 +112,8 @@ def _sorted_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 edge = np.flatnonzero(np.diff(np.concatenate(([0], again.astype(np.int8), [0]))))
                 out += [(id_, key, start + a, e - a) for a, e in zip(edge[::2].tolist(), edge[1::2].tolist())]
         columns = zip(*out) if out else ([],) * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["id", "key", "start", "count"])
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["id", "key", "start", "count"])
 
     held, size = [], 0
     for b in batches:
@@ -128,6 +129,12 @@ def _sorted_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield found(held)
 
 
+def repeated_anchors(found: DataFrame) -> DataFrame:
+    """Rows of ``occurrences`` whose anchor is in another row too."""
+    often = found.filter("anchor is not null").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    return found.join(often, "anchor", "left_semi")
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """Ranges of repeated strings, ``id, key, start, count``, of ``keyed`` documents."""
     found = stored(occurrences(docs, byte_units, GRAM, WINDOW, settle_first=True), "segments")
@@ -149,7 +156,7 @@ def repeats(docs: DataFrame) -> DataFrame:
         segments = stored(segments.join(large, "anchor", "left_anti").unionByName(
             _dealt_again(segments.join(large, "anchor", "left_semi"))).select(*SEGMENT_NAMES), "open-segments")
     ordered = segments.repartition("anchor", "shard").sortWithinPartitions("anchor", "shard")
-    return out.unionByName(ordered.transform(mapped, _sorted_shards, "id bigint, key bigint, start bigint, count bigint"))
+    return out.unionByName(ordered.transform(mapped, _sorted_shards, "id bigint, key int, start bigint, count bigint"))
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
