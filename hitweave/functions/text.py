@@ -13,6 +13,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# White space as str.strip() and str.split() see it (Java's and RE2's \s are ASCII).
+WS = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
 # The entities decoded natively, in application order.  ``&amp;``
 # goes last so that "&amp;lt;" decodes to "&lt;" in a single pass, as a one-pass
 # decoder does.
@@ -57,7 +60,7 @@ def html_unescape_full(s: pd.Series) -> pd.Series:
 
 def strip_ws(col) -> Column:
     """Trim all leading/trailing whitespace (``trim`` only removes spaces)."""
-    return F.regexp_replace(_c(col), r"^\s+|\s+$", "")
+    return F.regexp_replace(_c(col), f"^{WS}+|{WS}+$", "")
 
 
 def ranking_text(title, snippet) -> Column:
@@ -87,7 +90,7 @@ def is_stop_word(term, stop_words=DEFAULT_STOP_WORDS) -> Column:
 
 def query_words(query) -> Column:
     """Whitespace-separated words of a query (no empty pieces)."""
-    return F.filter(F.split(F.coalesce(_c(query), F.lit("")), r"\s+", -1), lambda t: t != "")
+    return F.filter(F.split(F.coalesce(_c(query), F.lit("")), f"{WS}+", -1), lambda t: t != "")
 
 
 def extractive_summary(query, context, max_sentences: int = 2, min_chars: int = 20,

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hitweave.functions.text import WS
+
 # Fixed patterns (Java regex; the SQL oracle uses the same text with RE2).
 URL_AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)"
 NON_VISIBLE = (r"(?is)<!--.*?-->|<!doctype[^>]*>"
@@ -26,7 +28,7 @@ META_CONTENT = r"\s(?i:content)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
 # a non-breaking space (as an entity or the character itself) separates words, as
 # it does once a parser has decoded the text
 NBSP_ENTITY = r"(?i)&nbsp;|&#160;|&#x0*a0;"
-WS_RUN = "[\\s\u00a0]+"
+WS_RUN = f"{WS}+"
 
 
 def _c(x) -> Column:
@@ -60,7 +62,7 @@ def visible_text(html) -> Column:
 
 def word_count(text) -> Column:
     """Number of whitespace-separated words."""
-    return F.size(F.filter(F.split(_c(text), r"\s+", -1), lambda w: w != "")).cast("bigint")
+    return F.size(F.filter(F.split(_c(text), WS_RUN, -1), lambda w: w != "")).cast("bigint")
 
 
 def link_count(html) -> Column:

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hitweave.functions import timefn, web
+from hitweave.functions.text import strip_ws
 from hitweave.operators.ordinal import ordinal
 
 def _trimmed(requests: DataFrame) -> DataFrame:
-    return (requests.withColumn("query", F.regexp_replace(F.coalesce("query", F.lit("")), r"^\s+|\s+$", ""))
+    return (requests.withColumn("query", strip_ws(F.coalesce("query", F.lit(""))))
                     .withColumn("time_filter", F.coalesce("time_filter", F.lit(""))))
 
 

@@ -19,7 +19,7 @@ def q(s: str) -> str:
 
 
 def strip_ws(x: str) -> str:
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return f"regexp_replace({x}, '^{_text.WS}+|{_text.WS}+$', '', 'g')"
 
 
 def visible_text(html: str) -> str:
@@ -30,7 +30,7 @@ def visible_text(html: str) -> str:
 
 
 def word_count(text: str) -> str:
-    return f"CAST(len(list_filter(string_split_regex({text}, '\\s+'), lambda w: w <> '')) AS BIGINT)"
+    return f"CAST(len(list_filter(string_split_regex({text}, '{_text.WS}+'), lambda w: w <> '')) AS BIGINT)"
 
 
 def link_count(html: str) -> str:
@@ -50,7 +50,7 @@ def unescape(x: str) -> str:
 
 
 def query_words(x: str) -> str:
-    return f"list_filter(string_split_regex(coalesce({x}, ''), '\\s+'), lambda t: t <> '')"
+    return f"list_filter(string_split_regex(coalesce({x}, ''), '{_text.WS}+'), lambda t: t <> '')"
 
 
 def summary(query: str, context: str) -> str:

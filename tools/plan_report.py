@@ -40,23 +40,22 @@ def main() -> None:
     spark = build_session("local[8]", 16)
     print("# Physical plans (final AQE plans, executed at", os.path.basename(a.sf) + ")\n")
     print("Counts of operators in each query's final plan.  Inputs written once by a numbering pass, a fit or a")
-    print("table at rest (results, snapshots) appear as checkpoint reads (`Scan ExistingRDD`); their own jobs ran")
-    print("when the DataFrame was built.  `top-k limit` counts `WindowGroupLimit` nodes (k rows kept per task")
-    print("before the shuffle).  Broadcasts are either size-checked explicitly (blocklist, query terms, IDF of an")
-    print("index) or chosen by AQE from measured sizes; every other join is a keyed shuffle join.  Regenerate with")
+    print("table at rest (results, snapshots) appear as parquet scans; their own jobs ran when the DataFrame was")
+    print("built.  `top-k limit` counts `WindowGroupLimit` nodes (k rows kept per task before the shuffle).")
+    print("Broadcasts are chosen by Spark from measured sizes; every other join is a keyed shuffle join.  Regenerate with")
     print("`python tools/plan_report.py > PLANS.md`.\n")
     print("| key | shuffles | broadcasts | BHJ | SMJ | windows | top-k limit | partial+final aggs | parquet scans | "
-          "checkpoint reads | joins |")
-    print("|---|---|---|---|---|---|---|---|---|---|---|")
+          "joins |")
+    print("|---|---|---|---|---|---|---|---|---|---|")
     for k, fn in QUERIES.items():
         df = fn(spark, a.sf)
         df.write.format("noop").mode("overwrite").save()
-        plan = df._jdf.queryExecution().executedPlan().toString()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
         s = summarise(plan)
         joins = ", ".join(f"{j} {t}" for j, t in s["joins"])
         print(f"| {k} | {s['Exchange']} | {s['BroadcastExchange']} | {s['BroadcastHashJoin']} | {s['SortMergeJoin']} | "
               f"{s['Window']} | {s['WindowGroupLimit']} | {s['HashAggregate']} | "
-              f"{s['FileScan parquet']} | {s['Scan ExistingRDD']} | {joins} |", flush=True)
+              f"{s['FileScan parquet']} | {joins} |", flush=True)
     spark.stop()
 
 
