@@ -101,6 +101,6 @@ def _groups(rows: DataFrame) -> DataFrame:
 
 
 def _marked(rows: DataFrame) -> DataFrame:
-    groups = _groups(rows)
+    groups = stored(_groups(rows), "recipe-groups")  # so that both sides of the join are plain, and Spark can split a hot recipe
     return rows.join(groups, "recipe").withColumn(
         "tied", (F.col("n_largest") > 1) & F.col("doc_id").eqNullSafe(F.col("keep_id")))
