@@ -64,8 +64,9 @@ def r4(c):
 @register("scan_items", o.with_ctes(
     "SELECT query, pos, title, link, snippet FROM items WHERE (pos // 10) % 5 <> 3", "items"))
 def q_scan_items(spark, sf):
-    """Hits of the successful landed responses (every fifth response page failed)."""
-    return landed.scan_items(fx.responses(spark, sf))
+    """Hits of the successful responses landed as JSON lines (every fifth response page
+    failed, and of every query one line is malformed)."""
+    return landed.scan_items(_landed_responses(spark, sf))
 
 
 @register("result_page", o.with_ctes(
@@ -73,7 +74,15 @@ def q_scan_items(spark, sf):
     "items"))
 def q_result_page(spark, sf):
     """T4: the second page of hits (start=11, num=10) of every query."""
-    return landed.result_page(landed.scan_items(fx.responses(spark, sf)), start=11, num=10)
+    return landed.result_page(landed.scan_items(_landed_responses(spark, sf)), start=11, num=10)
+
+
+def _landed_responses(spark, sf):
+    path = scratch_path(spark, "responses")
+    r = fx.responses(spark, sf).select("start", F.to_json(F.struct("query", "start", "status", "items")).alias("value"))
+    bad = r.filter("start = 1").select(F.concat(F.lit("{"), "value").alias("value"))
+    r.select("value").unionByName(bad).write.text(path)
+    return landed.read_responses(spark, path)
 
 
 _T, _S = "coalesce(title, '')", "coalesce(snippet, '')"
