@@ -27,7 +27,7 @@ from hitweave.plans import oracle as o
 from hitweave.plans import search as srch
 from hitweave.session import materialize, prepare, scratch_path
 from hitweave.sources import fixtures as fx
-from hitweave.sources import landed
+from hitweave.sources import landed, versions
 from hitweave.sources.tables import read_table
 from hitweave.streaming import feedback_stream as fstream
 
@@ -491,6 +491,15 @@ def q_feedback_upsert(spark, sf):
     return _results_out(fb.feedback_upsert(fx.stored(spark, sf), fx.feedback(spark, sf)))
 
 
+@register("results_version", ORACLE["feedback_upsert"])
+def q_results_version(spark, sf):
+    """The stored table and then its update written as two versions; the latest read back."""
+    root = scratch_path(spark, "results")
+    versions.write_version(fx.stored(spark, sf), root)
+    versions.write_version(fb.feedback_upsert(versions.read_version(spark, root), fx.feedback(spark, sf)), root)
+    return _results_out(versions.read_version(spark, root))
+
+
 @register("results_replace", o.with_ctes(
     f"""SELECT {_RESULTS_OUT_SQL} FROM (
           SELECT query, link, title, snippet, "rank", created, relevance, ml_rank, rag_summary, click_count, last_clicked
@@ -802,6 +811,15 @@ def q_snapshot_purge(spark, sf):
     return s.select("cache_key", "kind", "chunk", ntz("cached_at").alias("cached_at"), "n_items")
 
 
+@register("snapshot_version", ORACLE["snapshot_purge"])
+def q_snapshot_version(spark, sf):
+    """The snapshot table written as a version, purged into the next; the latest read back."""
+    root = scratch_path(spark, "snapshots")
+    versions.write_version(_fixture_snapshots(spark, sf), root)
+    versions.write_version(snap.snapshot_purge(versions.read_version(spark, root), READ_NOW), root)
+    return versions.read_version(spark, root).select("cache_key", "kind", "chunk", ntz("cached_at").alias("cached_at"), "n_items")
+
+
 def _answer_sql():
     cut = " ".join(f"WHEN m.time_filter = '{n}' THEN {o.days_ago(READ_NOW, d)}" for n, d in tf.TIME_FILTER_DAYS.items())
     miss = "(SELECT * FROM req r WHERE NOT EXISTS (SELECT 1 FROM vsnap v WHERE v.cache_key = r.cache_key))"

@@ -51,3 +51,14 @@ def test_one_fetch_per_url(spark):
                                     "url string, status int, html string, fetch_id int")
     assert rows(landed.attach_pages(hits, fetched), "pos", "html") == [(0, "new"), (1, ""), (2, "")]
     assert F is not None
+
+
+def test_versions(spark):
+    from hitweave.session import scratch_path
+    from hitweave.sources import versions
+    root = scratch_path(spark, "versions")
+    assert versions.versions(spark, root) == []
+    assert versions.write_version(spark.range(3), root) == 1 and versions.write_version(spark.range(5), root) == 2
+    spark.range(9).write.parquet(f"{root}/v3/unfinished")  # a writer that never finished
+    assert versions.read_version(spark, root).count() == 5 and versions.read_version(spark, root, 1).count() == 3
+    assert versions.write_version(versions.read_version(spark, root, 1), root) == 3 and versions.versions(spark, root) == [1, 2, 3]
