@@ -112,8 +112,9 @@ def _firsts(seeds: DataFrame) -> DataFrame:
 
 
 def _window_hashes(rows: DataFrame) -> DataFrame:
-    """Windows of listed segments, one row a segment: ``anchor, hot, id, key, start, windows``.
-    The windows that come again later in the same document have a null anchor."""
+    """Windows of listed segments, one row a segment: ``anchor, again, id, key, start, windows``,
+    and one row more for each window that came before in the same document (``again``; its anchor
+    is only a number that spreads such rows)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for id_, key, text, spans in zip(*(b.column(i) for i in range(4))):
@@ -125,17 +126,17 @@ def _window_hashes(rows: DataFrame) -> DataFrame:
                 window = Rolling(units).spans(start, start + WINDOW).view(np.int64)
                 first, _ = first_of(anchor.view(np.uint64), window.view(np.uint64))
                 again = np.flatnonzero(~first)
-                out = [(s["anchor"], s["hot"], s["start"], w) for s, w in zip(spans, np.split(window, np.cumsum(count)[:-1]))]
-                out += [(None, False, p, None) for p in start[again].tolist()]
+                out = [(s["anchor"], False, s["start"], w) for s, w in zip(spans, np.split(window, np.cumsum(count)[:-1]))]
+                out += [(w, True, p, np.array([w])) for p, w in zip(start[again].tolist(), (window[again] ^ start[again]).tolist())]
                 n = len(out)
-                anchors, hot, starts, windows = zip(*out)
+                anchors, repeated, starts, windows = zip(*out)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(anchors, pa.int64()), pa.array(hot), pa.array(np.full(n, id_.as_py())),
+                    pa.array(anchors, pa.int64()), pa.array(repeated), pa.array(np.full(n, id_.as_py())),
                     pa.array(np.full(n, key.as_py(), np.int32)), pa.array(starts, pa.int64()), pa.array(windows, pa.list_(pa.int64()))],
-                    ["anchor", "hot", "id", "key", "start", "windows"])
+                    ["anchor", "again", "id", "key", "start", "windows"])
 
     return rows.select("id", "key", "text", "spans").transform(
-        mapped, run, "anchor bigint, hot boolean, id bigint, key int, start bigint, windows array<bigint>")
+        mapped, run, "anchor bigint, again boolean, id bigint, key int, start bigint, windows array<bigint>")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -147,20 +148,23 @@ def repeats(docs: DataFrame) -> DataFrame:
     near = stored(_firsts(with_hot(seeds)).select("anchor", "hot", "id", "key", start, count, (F.col("id") > F.col("least")).alias("later")),
                   "repeated-segments")
     span = ["id", "key", "start", "count"]
-    open_ = near.filter("not later").groupBy("id", "key").agg(
-        F.collect_set(F.struct("start", "count", "anchor", "hot")).alias("spans"))
-    segments = _window_hashes(_with_text(docs, open_, "inner"))
-    one = F.lit(1).cast("bigint").alias("count")
-    again = segments.filter("anchor is null").select("id", "key", "start", one)
-    exploded = lambda df: df.select("anchor", "id", "key", "start", F.posexplode("windows").alias("pos", "window")) \
-        .select("anchor", "window", "id", "key", (F.col("start") + F.col("pos")).alias("start"))
-    cold = exploded(segments.filter("anchor is not null and not hot").repartition("anchor")) \
+    def open_segments(which: str) -> DataFrame:
+        spans = near.filter("not later").filter(which).groupBy("id", "key").agg(
+            F.collect_set(F.struct("start", "count", "anchor")).alias("spans"))
+        return _window_hashes(_with_text(docs, spans, "inner"))
+
+    def exploded(segments: DataFrame) -> DataFrame:
+        each = segments.select("anchor", "again", "id", "key", "start", F.posexplode("windows").alias("pos", "window"))
+        return each.select("anchor", "window", "again", "id", "key", (F.col("start") + F.col("pos")).alias("start"))
+
+    cold = exploded(open_segments("not hot").repartition("anchor")) \
         .withColumn("least", F.min("id").over(Window.partitionBy("anchor", "window")))
-    hot = exploded(segments.filter("anchor is not null and hot"))
+    hot = exploded(open_segments("hot"))
     hot = hot.join(hot.groupBy("anchor", "window").agg(F.min("id").alias("least")), ["anchor", "window"])
-    later = [w.filter("id > least").select("id", "key", "start", one) for w in (cold, hot)]
     out = found.filter("anchor is null").select(*span).unionByName(near.filter("later").select(*span))
-    return out.unionByName(again).unionByName(later[0]).unionByName(later[1])
+    for w in (cold, hot):
+        out = out.unionByName(w.filter("again or id > least").select("id", "key", "start", F.lit(1).cast("bigint").alias("count")))
+    return out
 
 
 def _with_text(docs: DataFrame, side: DataFrame, how: str) -> DataFrame:
