@@ -37,8 +37,8 @@ from hitweave.llm.substring import MAX_LONG, keyed, occurrences
 
 WINDOW = 400
 GRAM = 200
-SHARD = 1 << 20
-BATCH = 1 << 20  # bytes put into one array
+SHARD = 1 << 19
+BATCH = 1 << 18  # bytes put into one array; a sort takes some hundred bytes of memory for each
 END_GRAM, END = 16, 64
 
 
@@ -145,7 +145,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     often = kinds.filter("times > 1").select("anchor", "content")
     out = found.filter("anchor is null").select(*span).unionByName(near.join(often, ["anchor", "content"], "left_semi").select(*span))
     # Anchors with different segments, one of which occurs once: one of each kind goes into the shard.
-    mixed_shards = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("times").alias("least")).filter("n > 1 and least = 1")
+    # (Written, so that both sides of the join are plain, and Spark can split a hot anchor.)
+    mixed_shards = stored(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("times").alias("least"))
+                          .filter("n > 1 and least = 1"), "mixed-shards")
     ones = kinds.join(mixed_shards.select("anchor"), "anchor", "left_semi").select("anchor", "content", "one.*", (F.col("times") == 1).alias("alone"))
     listed = near.join(ones, ["anchor", "content", "id", "key", "start"], "inner").groupBy("id", "key").agg(
         F.collect_set(F.struct("anchor", "start", "count", "alone")).alias("spans"))
