@@ -149,6 +149,34 @@ def test_main_text(spark):
     assert html_text.extracted(pages.limit(0)).isEmpty()
 
 
+LONG = "A sentence of the article that goes on for some time, with commas, and ends. " * 4
+DOUBTED = [
+    # wrappers that name themselves after what they hold or lack, and a page in one form
+    (f"<body><div class='layout sidebar-right'><h2>Head</h2><p>{LONG}</p></div></body>", f"Head\n{LONG.strip()}"),
+    (f"<body><div class='layout has-sidebar'><h2>Head</h2><p>{LONG}</p></div><div class=sidebar><a href=x>more of it</a></div></body>",
+     f"Head\n{LONG.strip()}"),
+    (f"<body><form id=f><div id=header>Site</div><h2>Head</h2><p>{LONG}</p><div class=share><a href=x>Share</a></div></form></body>",
+     f"Head\n{LONG.strip()}"),
+    (f"<body><div class='widget text'><p>{LONG}</p></div><div class='widget text'><p>{LONG}</p></div><div class='widget'><a href=x>a</a></div></body>",
+     f"{LONG.strip()}\n{LONG.strip()}"),
+    # headings and sections with ids made from their title, inside an article
+    (f"<body><article><h1>T</h1><p>{LONG}</p><h2 id=cookies class=section-header>Cookies</h2><section id=social-impact><h2>Social impact</h2><p>Some words.</p>"
+     "</section><section id=related-posts><h2>Related posts</h2><a href=x>another page of this site</a></section>"
+     "<section id=comments><h2>Comments</h2><p>I like it.</p></section></article></body>",
+     f"T\n{LONG.strip()}\nCookies\nSocial impact\nSome words."),
+    # an article of a comment does not spare the comments
+    (f"<body><div class=post><h1>T</h1><p>{LONG}</p><div class=comments><article><p>{LONG * 2}</p></article></div></div></body>",
+     f"T\n{LONG.strip()}"),
+]
+
+
+def test_main_text_in_doubted_elements():
+    for page, want in DOUBTED:
+        assert html_text.main_text(page) == want
+    deep = "<div class=widget>" * 3000 + "deep text" + "</div>" * 3000
+    assert html_text.main_text(deep) == "deep text"
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_archives(spark, version):
     long = "<p>é\r\n\r\nWARC/1.0\r\n" + "text \n" * 40
