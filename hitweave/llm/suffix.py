@@ -14,7 +14,9 @@ here each shard gets an array, and shards are made so that equal strings share o
    shares with another one.  A string is repeated if that is ``WINDOW`` or more.
 4. A shard of over ``SHARD`` bytes (a passage shorter than a string, in very many documents) is
    dealt again by the least 16-gram hashes of a string's first and last 64 bytes, which equal
-   strings share too.
+   strings share too.  Pieces of equal content are merged again, and pieces alone in their shard end there.
+5. A shard still over ``SHARD`` (a passage almost as long as a string) gets no array: its strings are
+   counted by their 64-bit hash, in an aggregation that combines before the shuffle.
 
 Defined results: null is the empty text; every row is a document, so a repeated row repeats all of
 its strings; a null doc_id is an ordinary document.
@@ -103,6 +105,45 @@ def _dealt_again(segments: DataFrame) -> DataFrame:
     return segments.select(*SEGMENT_NAMES).transform(mapped, run, SEGMENT)
 
 
+def _string_hashes(pieces: DataFrame) -> DataFrame:
+    """Hash of each window of the pieces, one row a piece: ``anchor, shard, id, key, start, alone, windows``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes = []
+            for data in b.column(6):
+                at = np.arange(len(data.as_py()) - WINDOW + 1)
+                hashes.append(Rolling(byte_units(data.as_py())).spans(at, at + WINDOW).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(hashes, pa.list_(pa.int64()))],
+                                             ["anchor", "shard", "id", "key", "start", "alone", "windows"])
+    return pieces.select("anchor", "shard", "id", "key", "start", "alone", "bytes").transform(
+        mapped, run, "anchor bigint, shard bigint, id bigint, key int, start bigint, alone boolean, windows array<bigint>")
+
+
+def _counted_strings(pieces: DataFrame) -> DataFrame:
+    """Repeated windows, ``id, key, start, count``, of the pieces that occur once."""
+    hashed = stored(_string_hashes(pieces), "string-hashes")
+    each = hashed.select("anchor", "shard", "id", "key", "start", "alone", F.posexplode("windows").alias("pos", "window"))
+    again = stored(each.groupBy("anchor", "shard", "window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "repeated-strings")
+    return each.filter("alone").join(again, ["anchor", "shard", "window"], "left_semi").select(
+        "id", "key", (F.col("start") + F.col("pos")).alias("start"), F.lit(1).cast("bigint").alias("count"))
+
+
+def _large_shards(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Segments of shards over ``SHARD``: pieces for arrays, and ranges already found repeated."""
+    shard, span = ["anchor", "shard"], ["id", "key", "start", "count"]
+    dealt = stored(_dealt_again(segments).withColumn("content", F.xxhash64("bytes")), "dealt-segments")
+    # Pieces of equal content enter their shard once: two are repeated, whichever it is.
+    kinds = stored(dealt.groupBy(*shard, "content").agg(
+        F.count(F.lit(1)).alias("n"), F.first(F.struct(*span, "bytes", "alone")).alias("one"))
+        .select(*shard, "content", "n", "one.*").withColumn("alone", F.expr("alone and n = 1")), "dealt-kinds")
+    found = dealt.filter("alone").join(kinds.filter("n > 1").select(*shard, "content"), [*shard, "content"], "left_semi").select(*span)
+    sizes = stored(kinds.groupBy(*shard).agg(F.sum(F.length("bytes")).alias("n"), F.count(F.lit(1)).alias("pieces"),
+                                             F.max("alone").alias("open")).filter("pieces > 1 and open"), "dealt-shards")
+    small = kinds.join(sizes.filter(F.col("n") <= SHARD).select(*shard), shard, "left_semi")
+    large = kinds.join(sizes.filter(F.col("n") > SHARD).select(*shard), shard, "left_semi")
+    return small.select(*SEGMENT_NAMES), found.unionByName(_counted_strings(large))
+
+
 def _sorted_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Repeated windows of the segments that occur once, as ranges; rows come shard by shard."""
     def found(rows: list[tuple]) -> pa.RecordBatch:
@@ -155,8 +196,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     large = segments.groupBy("anchor").agg(F.sum(F.length("bytes")).alias("n")).filter(F.col("n") > SHARD).select("anchor")
     large = stored(large, "large-shards")
     if not large.isEmpty():
-        segments = stored(segments.join(large, "anchor", "left_anti").unionByName(
-            _dealt_again(segments.join(large, "anchor", "left_semi"))).select(*SEGMENT_NAMES), "open-segments")
+        pieces, settled = _large_shards(segments.join(large, "anchor", "left_semi"))
+        segments = segments.join(large, "anchor", "left_anti").select(*SEGMENT_NAMES).unionByName(pieces)
+        out = out.unionByName(settled)
     ordered = segments.repartition("anchor", "shard").sortWithinPartitions("anchor", "shard")
     return out.unionByName(ordered.transform(mapped, _sorted_shards, "id bigint, key int, start bigint, count bigint"))
 

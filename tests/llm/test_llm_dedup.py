@@ -136,6 +136,28 @@ def test_suffix_dedup(spark, monkeypatch, shard):
     assert sorted(map(tuple, got), key=key) == sorted(brute_bytes(rows), key=key)
 
 
+def test_suffix_shards_stay_small(spark, monkeypatch):
+    """A passage of almost a window in every document: no array gets more than a shard."""
+    monkeypatch.setattr(suffix, "SHARD", 8000)
+    real, most = suffix.mapped, []
+
+    def measured(df, run, schema):
+        if run is suffix._sorted_shards:
+            most.append(df.groupBy("anchor", "shard").agg(F.sum(F.length("bytes")).alias("n")).agg(F.max("n")).first()[0] or 0)
+        return real(df, run, schema)
+
+    monkeypatch.setattr(suffix, "mapped", measured)
+    rnd = random.Random(5)
+    some = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage, ends = some(385), [some(30) for _ in range(4)]
+    rows = [(i, some(100) + (rnd.choice(ends) if i % 7 == 0 else "") + passage + (rnd.choice(ends) if i % 5 == 0 else "") + some(100))
+            for i in range(120)]
+    rows += [(200, rows[3][1]), (200, rows[3][1]), (None, rows[4][1] + "x")]
+    got = suffix.deduplicated(frame(spark, rows)).drop("kept").collect()
+    assert sorted(map(tuple, got), key=key) == sorted(brute_bytes(rows), key=key)
+    assert most and max(most) <= suffix.SHARD
+
+
 def test_suffix_array_and_common_prefixes(monkeypatch):
     rng = np.random.default_rng(0)
     for trial in range(300):
