@@ -3,10 +3,12 @@
 1. Every text gets a 64-bit fingerprint; only ``(doc_id, fingerprint)`` goes on, written once.
 2. Distinct fingerprints are joined.  Two within 3 bits agree on at least one of four 16-bit
    bands, so they meet in that band's bucket.  A bucket of over ``BUCKET`` members is dealt
-   again by the four bands of its remaining bits (same argument), so no task holds a hot one.
+   again by the four bands of its remaining bits (same argument), so no task holds a hot one; with
+   ``FEW`` bits left a bucket has at most 2^``FEW`` members.
 3. In a task, all its buckets are tries over one sorted array: a node is a range of it.  Node
    pairs go down together one bit at a time, adding up differing bits; a pair over the budget is
-   dropped, a pair of leaves left over is a link.  Of the links a spanning forest is returned.
+   dropped, a pair of leaves left over is a link.  Node pairs go down at most ``PAIRS`` at a time, and
+   links are folded into a spanning forest as they come; that is returned.
 4. Links become components by alternating star contraction; each round is a written table.
 
 Defined results: a text without words has fingerprint zero and links like any other; a null
@@ -29,6 +31,8 @@ from hitweave.llm.common import mapped, stored, text_or_empty
 SHINGLE = 3
 MAX_BITS = 3
 BUCKET = 4096
+FEW = 12
+PAIRS = 1 << 20
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -63,30 +67,39 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
                .transform(mapped, run, f"doc_id {kind}, key bigint, fp bigint")
 
 
-def band_masks(level: int, bands: int) -> list[int]:
-    """Bit masks of the buckets of a level: each of the ``bands`` bands of each mask's free bits."""
-    masks = [0]
-    for _ in range(level):
-        deeper = []
-        for m in masks:
-            free = [i for i in range(64) if not m >> i & 1]
-            size = -(-len(free) // bands)
-            deeper += [m | sum(1 << i for i in free[k * size:(k + 1) * size]) for k in range(bands)]
-        masks = deeper
-    return masks
+def band_masks(mask: int, bands: int) -> list[int]:
+    """Bit masks of the buckets that those of ``mask`` are dealt into: each of the ``bands`` bands of its free bits."""
+    free = [i for i in range(64) if not mask >> i & 1]
+    return [mask | sum(1 << i for i in part.tolist()) for part in np.array_split(np.array(free), bands)]
 
 
-def trie_links(keys: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of linked pairs: rows with equal ``keys`` whose ``fps`` differ in 1 to ``bits``
-    bits.  Rows must be sorted by (key, fp) and distinct."""
+def _dealt(rows: DataFrame, bits: int) -> DataFrame:
+    """Fingerprints ``fp`` of buckets of mask ``m`` in their buckets of the next level: ``mask, value, fp``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps, masks = b.column(0).to_numpy(), b.column(1).to_numpy()
+            each, which = np.unique(masks, return_inverse=True)
+            deeper = np.array([band_masks(m, bits + 1) for m in each.view(np.uint64).tolist()], np.uint64).reshape(len(each), bits + 1)
+            for k in range(bits + 1):
+                mask = deeper[which, k].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(mask), pa.array(mask & fps), b.column(0)], ["mask", "value", "fp"])
+    return rows.select("fp", "m").transform(mapped, run, "mask bigint, value bigint, fp bigint").distinct()
+
+
+def trie_links(keys: np.ndarray, fps: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of linked pairs, some at a time: rows with equal ``keys`` whose ``fps`` differ in 1
+    to ``bits`` bits.  Rows must be sorted by (key, fp) and distinct."""
     edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
     lo, hi = edge[:-1], edge[1:]
     lo, hi = lo[hi - lo > 1], hi[hi - lo > 1]
-    a0, a1, b0, b1, diff = lo, hi, lo, hi, np.zeros(len(lo), np.int8)  # node pairs, at first each root with itself
-    left, right = [], []
-    for bit in range(63, -1, -1):
+    stack = [(63, lo, hi, lo, hi, np.zeros(len(lo), np.int8))]  # node pairs, at first each root with itself
+    while stack:
+        bit, a0, a1, b0, b1, diff = stack.pop()
         if not len(a0):
-            break
+            continue
+        if len(a0) > PAIRS:
+            stack += [(bit, *(x[at:at + PAIRS] for x in (a0, a1, b0, b1, diff))) for at in range(0, len(a0), PAIRS)]
+            continue
         zeros = np.concatenate(([0], np.cumsum((fps >> np.uint64(bit) & np.uint64(1)) == 0)))
         am, bm = a0 + zeros[a1] - zeros[a0], b0 + zeros[b1] - zeros[b0]  # where each node's second child begins
         self_pair = a0 == b0
@@ -99,11 +112,8 @@ def trie_links(keys: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarray
         leaves = (a1 - a0 == 1) & (b1 - b0 == 1)  # what is left of two leaves is compared at once
         x, y = a0[leaves], b0[leaves]
         near = np.bitwise_count(fps[x] ^ fps[y]) <= bits
-        left.append(x[near])
-        right.append(y[near])
-        a0, a1, b0, b1, diff = a0[~leaves], a1[~leaves], b0[~leaves], b1[~leaves], diff[~leaves]
-    none = [np.zeros(0, np.int64)]
-    return np.concatenate(left or none), np.concatenate(right or none)
+        yield x[near], y[near]
+        stack.append((bit - 1, a0[~leaves], a1[~leaves], b0[~leaves], b1[~leaves], diff[~leaves]))
 
 
 def forest(n: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,6 +132,18 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.
     return child, root[child]
 
 
+def trie_forest(keys: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """``forest`` of the ``trie_links``, of which at most ``PAIRS`` and those of one step are held."""
+    held, size = [], 0
+    for pair in trie_links(keys, fps, bits):
+        held.append(pair)
+        size += len(pair[0])
+        if size > PAIRS:
+            held = [forest(len(fps), *map(np.concatenate, zip(*held)))]
+            size = len(held[0][0])
+    return forest(len(fps), *map(np.concatenate, zip(*held))) if size else (np.zeros(0, np.int64),) * 2
+
+
 def _links_in_task(bits: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches]
@@ -137,7 +159,7 @@ def _links_in_task(bits: int, most: int):
             end = min(at + most, len(fps))
             end = np.searchsorted(bucket, bucket[end - 1], "right") if end < len(fps) else end
             b, f = bucket[at:end], fps[at:end]
-            child, root = forest(len(f), *trie_links(b, f, bits))
+            child, root = trie_forest(b, f, bits)
             yield pa.RecordBatch.from_arrays([pa.array(f[child].view(np.int64)), pa.array(f[root].view(np.int64))], ["u", "v"])
             at = end
     return run
@@ -146,16 +168,12 @@ def _links_in_task(bits: int, most: int):
 def links(distinct: DataFrame, bits: int = MAX_BITS, bucket: int = BUCKET) -> DataFrame:
     """Links ``(u, v)`` between the distinct fingerprints of column ``fp``: enough of all pairs
     within ``bits`` bits that the same fingerprints are connected."""
-    rows, level, done = distinct.withColumn("m", F.lit(0).cast("bigint")), 0, []
+    rows, done = distinct.withColumn("m", F.lit(0).cast("bigint")), []
     while True:
-        level += 1
-        masks = band_masks(level, bits + 1)
-        signed = np.array(masks, np.uint64).view(np.int64).tolist()
-        dealt = rows.select("fp", F.explode(F.array(*[F.lit(m) for m in signed])).alias("mask")) if level == 1 else             rows.select("fp", F.explode(F.filter(F.array(*[F.lit(m) for m in signed]),
-                                                 lambda m: m.bitwiseAND(F.col("m")) == F.col("m"))).alias("mask"))
-        dealt = dealt.select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("value"), "fp").distinct()
-        hot = stored(dealt.groupBy("mask", "value").count().filter(F.col("count") > bucket).drop("count"), "hot-buckets")
-        if level == 3 or hot.isEmpty():  # 37 of 64 bits agree by then
+        dealt = _dealt(rows, bits)
+        hot = dealt.filter(F.bit_count("mask") < 64 - max(FEW, bits)).groupBy("mask", "value").count()
+        hot = stored(hot.filter(F.col("count") > bucket).drop("count"), "hot-buckets")
+        if hot.isEmpty():
             done.append(dealt)
             break
         dealt = stored(dealt, "bucket-rows")

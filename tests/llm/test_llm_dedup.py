@@ -234,6 +234,37 @@ def test_links_of_close_fingerprints(spark):
         assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_hot_buckets_are_dealt_on(spark, monkeypatch):
+    """Fingerprints that share 40 bits: no bucket over the limit while it has bits to be dealt by."""
+    real, most = simhash.mapped, []
+
+    def measured(df, run, schema):
+        if schema == "u bigint, v bigint":
+            sizes = df.filter(F.bit_count("mask") < 64 - 12).groupBy("mask", "value").count()
+            most.append(sizes.agg(F.max("count")).first()[0] or 0)
+        return real(df, run, schema)
+
+    monkeypatch.setattr(simhash, "mapped", measured)
+    rnd = random.Random(9)
+    fps = sorted({rnd.getrandbits(24) | 0xABCDEF0123 << 24 for _ in range(400)})
+    fps = sorted({*fps, *(f ^ sum(1 << b for b in rnd.sample(range(24), 3)) for f in fps[::4])})
+    signed = np.array(fps, np.uint64).view(np.int64).tolist()
+    roots = {r.node: r.root for r in simhash.components(simhash.links(spark.createDataFrame([(f,) for f in signed], "fp bigint"), 3, 64)).collect()}
+    want = brute_components([(k, "") for k in range(len(fps))], fps)
+    assert len({(roots.get(s, s), c) for s, c in zip(signed, want)}) == len({roots.get(s, s) for s in signed}) == len(set(want))
+    assert max(most) <= 64
+
+
+def test_links_are_folded(monkeypatch):
+    monkeypatch.setattr(simhash, "PAIRS", 500)
+    real, held = simhash.forest, []
+    monkeypatch.setattr(simhash, "forest", lambda n, left, right: held.append(len(left)) or real(n, left, right))
+    fps = np.arange(1024, dtype=np.uint64)  # all of ten bits: one component, 175 links a member
+    child, root = simhash.trie_forest(np.zeros(1024, np.int64), fps, 3)
+    assert child.tolist() == list(range(1, 1024)) and not root.any()
+    assert max(held) < 10_000
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert exact.copies(none).isEmpty() and exact.deduplicate(none).isEmpty()
