@@ -11,7 +11,8 @@ window's.  So no shared span of ``t`` words can be missed.
 3. Hits are extended in the matched documents only: at each place whose kept hash matched, the
    window's words are compared with the benchmark's; the union of the equal windows is hit.
 
-Hashes are taken of ``lower`` words (cheaper than A-Z lowering, and equal words stay equal);
+Hashes are taken of words each put through ``lower`` by itself (cheaper than A-Z lowering; equal words
+stay equal, which they need not in a text lowered whole: a capital sigma depends on its neighbours);
 the comparison of words is exact.  Words joined by a space are compared as one string.
 
 Defined results: null text has no words; an item without words has no window; a null item_id
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from hitweave.llm.common import ascii_lower, split_words, stored, text_or_empty
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # the same, of a text that is not lowered
 WINDOW = 13
 
 
@@ -70,7 +72,7 @@ def kept_hashes(df: DataFrame, words_col: str, out: str, span: int) -> DataFrame
     """Add ``out``: per place, the least k-gram hash among the ``span`` words that start there
     (empty for shorter texts)."""
     k = max(1, span // 2)
-    df = df.withColumn(out, F.transform(words_col, lambda w: F.xxhash64(w)))
+    df = df.withColumn(out, F.transform(words_col, lambda w: F.xxhash64(F.lower(w))))
     df = _rolled(df, out, k, lambda a, b: F.xxhash64(a, b), False)
     df = df.withColumn(out, F.slice(out, 1, F.greatest(F.size(out) - (k - 1), F.lit(0))))
     df = _rolled(df, out, span - k + 1, lambda a, b: F.least(a, b), True)
@@ -97,7 +99,7 @@ def contamination(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", tex
     # One family of kept hashes for whole windows, one for all shorter items together.
     families = ([(window, [window])] if window in lengths else []) + ([(short[0], short)] if short else [])
 
-    loose = split_words(F.lower(F.col("t")), SEPARATORS)
+    loose = split_words(F.col("t"), ANY_CASE)
     base = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("t")) \
                .withColumn("key", F.xxhash64("t"))
     prints = base.withColumn("w", loose)
@@ -108,9 +110,9 @@ def contamination(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", tex
 
     found = []
     for span, sizes in families:
-        # A window's own hash: that of its first ``span`` words, lowered alike.
+        # A window's own hash: that of its first ``span`` words.
         own = kept_hashes(windows.filter(F.col("n").isin(sizes)).withColumn(
-            "lw", F.split(F.lower("window"), " ")), "lw", "h", span)
+            "lw", F.split("window", " ")), "lw", "h", span)
         own = stored(own.select(F.get("h", 0).alias("h")).distinct(), "bench-prints")
         found.append(prints.select("doc_id", "key", F.explode(f"h{span}").alias("h")).join(own, "h")
                      .groupBy("doc_id", "key").agg(F.collect_set("h").alias("matched"))
@@ -143,7 +145,7 @@ def _extended(base: DataFrame, found: DataFrame, span: int, sizes: list[int], wi
     """Windows that truly occur in the matched documents: ``doc_id, key, start, n, items``."""
     f = found.select(F.col("doc_id").alias("id"), F.col("key").alias("k"), "matched")
     docs = base.join(f, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("k")))
-    docs = kept_hashes(docs.withColumn("lw", split_words(F.lower("t"), SEPARATORS)), "lw", "h", span)
+    docs = kept_hashes(docs.withColumn("lw", split_words(F.col("t"), ANY_CASE)), "lw", "h", span)
     places = docs.select("doc_id", "key", words(F.col("t")).alias("w"), F.filter(
         F.transform("h", lambda h, i: F.when(F.array_contains("matched", h), i)), lambda i: i.isNotNull()).alias("at"))
     spans = places.select("doc_id", "key", F.explode(F.flatten(F.transform("at", lambda i: F.array(*[

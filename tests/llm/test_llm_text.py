@@ -89,6 +89,17 @@ def test_contamination(spark, short):
     assert decontam.contamination(frame(spark, []), items).isEmpty()
 
 
+def test_contamination_of_capital_sigma(spark):
+    """A sigma that ends a word before punctuation, and one beside an apostrophe."""
+    bench = [(1, " ".join(f"\u0391.\u03a3. \u039f'\u03a3 {i}" for i in range(6))), (2, "\u0391.\u03a3. one"), (3, "two \u0391'\u03a3'\u0391")]
+    rows = [(i, f"before it, {t}, and after") for i, t in bench] + [(4, bench[0][1].lower()), (5, bench[0][1])]
+    got = decontam.contamination(frame(spark, rows), spark.createDataFrame(bench, "item_id bigint, text string")).select(
+        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
+    want = brute_contamination(rows, bench)
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    assert sum(r[5] for r in want) == 4
+
+
 ALPHABETS = ["abcdefghijklmnopqrstuvwxyz", "aaaabbbe  ▁", "éèß日本語한ⅣЯжa ", ".,!?()<>/ 0123\n\t\r", "🎉💥‍﻿ ", "thernndinoug ", "▁ "]
 
 
