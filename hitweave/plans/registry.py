@@ -865,20 +865,19 @@ STREAM_SPLIT = "2024-01-16 00:00:00"
 
 @register("feedback_stream", ORACLE["feedback_upsert"])
 def q_feedback_stream(spark, sf):
-    """Clicks delivered as files in three micro-batches (early half, late half,
-    then a redelivery of some events of both), folded by the streaming job; the
-    results table equals the batch fold (``feedback_upsert``)."""
+    """Clicks delivered as files three times (early half, late half, then a
+    redelivery of some events of both), folded by the streaming job after each
+    delivery; the results table equals the batch fold (``feedback_upsert``)."""
     root = scratch_path(spark, "feedback_stream")
     ev = fx.feedback(spark, sf).select(*[f.name for f in fstream.FEEDBACK_SCHEMA.fields])
     mid = tf.ts_lit(STREAM_SPLIT)
     early, late = ev.filter(F.col("ts") < mid), ev.filter(F.col("ts") >= mid)
     redelivered = ev.filter(((F.col("ts") >= mid) & (F.col("event_id") % 7 == 0))
                             | ((F.col("ts") < mid) & (F.col("event_id") % 11 == 0)))
-    for part, n in ((early, 2), (late, 2), (redelivered, 1)):
-        part.repartition(n).write.mode("append").parquet(f"{root}/source")
-    q = fstream.start_feedback_stream(spark, f"{root}/source", f"{root}/rollup", f"{root}/state",
-                                      files_per_batch=2)
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+    for part in (early, late, redelivered):
+        part.write.mode("append").parquet(f"{root}/source")
+        q = fstream.start_feedback_stream(spark, f"{root}/source", f"{root}/rollup", f"{root}/state", files_per_batch=None)
+        q.awaitTermination()
+        if q.exception() is not None:
+            raise RuntimeError(str(q.exception()))
     return _results_out(fstream.results_from_stream(spark, fx.stored(spark, sf), f"{root}/rollup"))

@@ -56,3 +56,21 @@ def test_late_click_counts_and_late_copy_does_not(spark):
     deliver((2, 24 * 9), (2, 24 * 9))  # its copies
     got = fs.read_rollup(spark, f"{root}/out").collect()
     assert [(r.query, r.link, r.clicks) for r in got] == [("q", "l", 2)]
+
+
+def test_deliveries_have_as_many_files_as_partitions(spark, monkeypatch, tmp_path):
+    """The registered job writes each delivery by Spark's own partitioning, and folds it as one micro-batch."""
+    from hitweave.plans import registry
+    paths = iter([str(tmp_path / "stream")])
+    real = registry.scratch_path
+    monkeypatch.setattr(registry, "scratch_path", lambda s, name: next(paths) if name == "feedback_stream" else real(s, name))
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        registry.q_feedback_stream(spark, "/root/testdata/sf0.001").count()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert len(list((tmp_path / "stream" / "source").glob("*.parquet"))) > 5
+    assert sorted(p.name for p in (tmp_path / "stream" / "rollup").glob("batch=*")) == ["batch=0", "batch=1", "batch=2"]
