@@ -1,40 +1,19 @@
-"""String expressions: entity decoding, ranking text, tokens, extractive summary.
+"""String expressions: ranking text, tokens, extractive summary, score text.
 
-All are plain Column -> Column builders that stay inside whole-stage codegen,
-except :func:`html_unescape_full`, an Arrow pandas UDF for the full entity table.
+All are plain Column -> Column builders that stay inside whole-stage codegen.
 """
 
 from __future__ import annotations
 
-import html as _html
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from hitweave.functions.stopwords import listed
 
 # White space as str.strip() and str.split() see it (Java's and RE2's \s are ASCII).
 WS = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
-# The entities decoded natively, in application order.  ``&amp;``
-# goes last so that "&amp;lt;" decodes to "&lt;" in a single pass, as a one-pass
-# decoder does.
-NATIVE_ENTITIES = (
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&nbsp;", "\u00a0"),
-    ("&amp;", "&"),
-)
-
-# Default English stop words removed before TF-IDF.  The list is
-# a parameter of every TF-IDF job; this short default is shared with the SQL oracle.
-DEFAULT_STOP_WORDS = (
-    "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "from", "has",
-    "have", "he", "in", "is", "it", "its", "of", "on", "or", "she", "that", "the",
-    "their", "they", "this", "to", "was", "were", "will", "with",
-)
+DEFAULT_STOP_WORDS = "english"  # removed before TF-IDF; a parameter of every TF-IDF job
 
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"  # words of two or more letters/digits/underscore
 SENTENCE_SPLIT = r"[.!?]+"
@@ -44,20 +23,6 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def html_unescape(col) -> Column:
-    """Decode the common HTML entities with chained native replaces."""
-    out = _c(col)
-    for ent, ch in NATIVE_ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
-
-
-@F.pandas_udf(T.StringType())
-def html_unescape_full(s: pd.Series) -> pd.Series:
-    """Full HTML5 entity table (numeric and named references), Arrow-batched."""
-    return s.map(lambda v: None if v is None else _html.unescape(v))
-
-
 def strip_ws(col) -> Column:
     """Trim all leading/trailing whitespace (``trim`` only removes spaces)."""
     return F.regexp_replace(_c(col), f"^{WS}+|{WS}+$", "")
@@ -71,11 +36,7 @@ def ranking_text(title, snippet) -> Column:
 
 def tokens(text, stop_words=DEFAULT_STOP_WORDS) -> Column:
     """Lower-cased word tokens of >= 2 word characters, stop words removed."""
-    toks = F.regexp_extract_all(F.lower(F.coalesce(_c(text), F.lit(""))), F.lit(TOKEN_PATTERN), 0)
-    if not stop_words:
-        return toks
-    stop = F.array(*[F.lit(w) for w in sorted(set(stop_words))])
-    return F.filter(toks, lambda t: ~F.array_contains(stop, t))
+    return F.filter(raw_tokens(text), lambda t: ~is_stop_word(t, stop_words))
 
 
 def raw_tokens(text) -> Column:
@@ -84,8 +45,9 @@ def raw_tokens(text) -> Column:
 
 
 def is_stop_word(term, stop_words=DEFAULT_STOP_WORDS) -> Column:
-    """Membership test for exploded tokens (an ``InSet``, stays in codegen)."""
-    return _c(term).isin(*sorted(set(stop_words))) if stop_words else F.lit(False)
+    """Membership test for tokens (an ``InSet``, stays in codegen)."""
+    words = listed(stop_words)
+    return _c(term).isin(*words) if words else F.lit(False)
 
 
 def query_words(query) -> Column:

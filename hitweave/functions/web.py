@@ -1,8 +1,9 @@
 """HTML and URL expressions: host, visible text, word/link counts, meta dates.
 
-Regex-based, so they stay in codegen and run where the pages are.  Known limits
-of regex HTML against a real parser: a ``>`` inside a quoted attribute value ends
-the tag early, and an unclosed ``<script>`` is kept as text.
+A page is read as a sequence of tokens by one ordered pattern, so that each place belongs to
+one token only: a comment hides the tags in it, a script its strings, a quoted attribute value its
+``>``.  Comments, scripts, styles and templates that are never closed reach to the end of the page.
+Everything stays in codegen and runs where the pages are.
 """
 
 from __future__ import annotations
@@ -10,25 +11,36 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hitweave.functions.text import WS
+from hitweave.functions.entities import html_unescape
 
-# Fixed patterns (Java regex; the SQL oracle uses the same text with RE2).
+# Fixed pattern: scheme and authority of a URL.
 URL_AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)"
-NON_VISIBLE = (r"(?is)<!--.*?-->|<!doctype[^>]*>"
-               r"|<(?:script|style|template)\b[^>]*>.*?</(?:script|style|template)>")
-ANY_TAG = r"(?s)<[^>]+>"
-ANCHOR_WITH_HREF = r"(?i)<a(?:\s[^>]*)?\shref(?:\s*=|[\s/>])"
-META_TAG = r"(?i)<meta[^>]*>"
-# a <meta> naming a publication date: property article:/og:published_time, or
-# name date / publish-date / article.published (attribute names case-insensitive,
-# values exact, attribute order free)
-META_DATE_TAG = (r"\s(?i:property)\s*=\s*[\"']?(?:article|og):published_time(?:[\"'\s/>]|$)"
-                 r"|\s(?i:name)\s*=\s*[\"']?(?:date|publish-date|article\.published)(?:[\"'\s/>]|$)")
-META_CONTENT = r"\s(?i:content)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
-# a non-breaking space (as an entity or the character itself) separates words, as
-# it does once a parser has decoded the text
-NBSP_ENTITY = r"(?i)&nbsp;|&#160;|&#x0*a0;"
-WS_RUN = f"{WS}+"
+
+# What follows a tag's name: anything but ``>``, where a value after ``=`` may be quoted.  (Possessive:
+# an unclosed quote is a plain character, and no page makes the matcher go back over a tag.)
+_ATTRIBUTES = r"""(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)?+|["'])*+"""
+
+
+def _either_case(name: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" for c in name)
+
+
+def _hidden(name: str) -> str:
+    """The rest of a hidden element, after ``<`` and to its end tag or the end of the page."""
+    name = _either_case(name)
+    return rf"{name}(?:[\s/]{_ATTRIBUTES})?>.*?(?:</{name}(?:[\s/][^>]*+)?>|\z)"
+
+
+TOKEN = (rf"(?s)<(?:!--.*?(?:--!?>|\z)|{_hidden('script')}|{_hidden('style')}|{_hidden('template')}"
+         rf"|[!?][^>]*+>|/?[a-zA-Z]{_ATTRIBUTES}>|/[^a-zA-Z>][^>]*+>|/>)")
+TAG_NAME = r"^<[^\s/>]*"
+ATTRIBUTE = r"""([^\s/>="'][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*))?)?"""
+# What names a publication date in a <meta>.
+DATE_PROPERTIES = ("article:published_time", "og:published_time")
+DATE_NAMES = ("date", "publish-date", "article.published")
+# A run of white space as str.split() sees it.  (The few rare ones are behind a range, which letters do not pass.)
+WS_RUN = (r"[\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x20\x85\xa0"
+          r"[\x{1680}-\x{3000}&&[\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]]]+")
 
 
 def _c(x) -> Column:
@@ -48,26 +60,47 @@ def host_suffixes(host) -> Column:
                        lambda i: F.array_join(F.slice(parts, i, n), "."))
 
 
-def strip_non_visible(html) -> Column:
-    """Remove comments, doctype, script/style/template elements."""
-    return F.regexp_replace(F.coalesce(_c(html), F.lit("")), NON_VISIBLE, " ")
+def tokens(html) -> Column:
+    """Comments, declarations, tags and hidden elements of a page, in order."""
+    return F.regexp_extract_all(F.coalesce(_c(html), F.lit("")), F.lit(TOKEN), F.lit(0))
+
+
+def tags(html, name: str) -> Column:
+    """The start tags of ``name`` outside comments and hidden elements."""
+    return F.filter(tokens(html), lambda t: t.rlike(rf"(?i)^<{name}[\s/>]"))
+
+
+def _attribute_parts(tag: Column, i: int) -> Column:
+    return F.regexp_extract_all(F.regexp_replace(tag, TAG_NAME, ""), F.lit(ATTRIBUTE), F.lit(i))
+
+
+def attribute_names(tag: Column) -> Column:
+    """Names of a tag's attributes in order, in lower case."""
+    return F.transform(_attribute_parts(tag, 1), lambda n: F.lower(n))
+
+
+def attributes(tag: Column) -> Column:
+    """``name, value`` of a tag's attributes in order; values decoded, '' without a value."""
+    both = lambda a, b: F.concat(a, b)
+    value = F.zip_with(F.zip_with(_attribute_parts(tag, 2), _attribute_parts(tag, 3), both), _attribute_parts(tag, 4), both)
+    return F.zip_with(attribute_names(tag), value, lambda n, v: F.struct(n.alias("name"), html_unescape(v).alias("value")))
 
 
 def visible_text(html) -> Column:
-    """Text of the page: tags removed, whitespace runs collapsed to one space, trimmed."""
-    no_tags = F.regexp_replace(strip_non_visible(html), ANY_TAG, " ")
-    spaced = F.regexp_replace(no_tags, NBSP_ENTITY, " ")
-    return F.trim(F.regexp_replace(spaced, WS_RUN, " "))
+    """Text of the page: tokens removed, character references decoded, white-space runs collapsed to one space, trimmed."""
+    text = F.regexp_replace(F.coalesce(_c(html), F.lit("")), TOKEN, " ")
+    return F.trim(F.regexp_replace(html_unescape(text), WS_RUN, " "))
 
 
-def word_count(text) -> Column:
-    """Number of whitespace-separated words."""
-    return F.size(F.filter(F.split(_c(text), WS_RUN, -1), lambda w: w != "")).cast("bigint")
+def word_count(visible) -> Column:
+    """Number of words of a visible text (its words are separated by one space)."""
+    text = _c(visible)
+    return F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1).cast("bigint")
 
 
 def link_count(html) -> Column:
-    """Number of ``<a>`` elements carrying an ``href`` (outside comments/scripts)."""
-    return F.size(F.regexp_extract_all(strip_non_visible(html), F.lit(ANCHOR_WITH_HREF), 0)).cast("bigint")
+    """Number of ``<a>`` tags carrying an ``href`` (outside comments and hidden elements)."""
+    return F.size(F.filter(tags(html, "a"), lambda t: F.array_contains(attribute_names(t), "href"))).cast("bigint")
 
 
 def content_score(words, links) -> Column:
@@ -75,10 +108,14 @@ def content_score(words, links) -> Column:
     return _c(words).cast("double") / F.greatest(_c(links), F.lit(1)).cast("double")
 
 
+def _value(found: Column, name: str) -> Column:
+    """Value of the first attribute of a name, null without one."""
+    return F.try_element_at(F.filter(found, lambda a: a["name"] == name), F.lit(1))["value"]
+
+
 def meta_published_date(html) -> Column:
-    """``content`` of the first <meta> naming a publication date; null if none/empty."""
-    tags = F.regexp_extract_all(strip_non_visible(html), F.lit(META_TAG), 0)
-    first = F.try_element_at(F.filter(tags, lambda m: m.rlike(META_DATE_TAG)), F.lit(1))
-    content = F.concat(F.regexp_extract(first, META_CONTENT, 1), F.regexp_extract(first, META_CONTENT, 2),
-                       F.regexp_extract(first, META_CONTENT, 3))
-    return F.nullif(content, F.lit(""))
+    """``content`` of the first <meta> naming a publication date; null if none or empty."""
+    found = F.transform(tags(html, "meta"), attributes)
+    dated = F.filter(found, lambda a: F.coalesce(_value(a, "property").isin(*DATE_PROPERTIES), F.lit(False))
+                     | F.coalesce(_value(a, "name").isin(*DATE_NAMES), F.lit(False)))
+    return F.nullif(_value(F.try_element_at(dated, F.lit(1)), "content"), F.lit(""))

@@ -64,10 +64,9 @@ def time_window(df: DataFrame, time_filter: str | None, now, ts_col: str = "crea
 
 def page_stats(df: DataFrame, html_col: str = "html") -> DataFrame:
     """Add ``word_count``, ``link_count`` and ``content_score`` (words per link)."""
-    text = web.visible_text(F.col(html_col))
-    return (df.withColumn("word_count", web.word_count(text))
-              .withColumn("link_count", web.link_count(F.col(html_col)))
-              .withColumn("content_score", web.content_score(F.col("word_count"), F.col("link_count"))))
+    counted = df.withColumns({"__text": web.visible_text(F.col(html_col)), "link_count": web.link_count(F.col(html_col))})
+    return (counted.withColumn("word_count", web.word_count("__text")).drop("__text")
+                   .withColumn("content_score", web.content_score(F.col("word_count"), F.col("link_count"))))
 
 
 def page_dates(df: DataFrame, now=None, html_col: str = "html") -> DataFrame:
@@ -86,21 +85,18 @@ def content_filter(hits: DataFrame, blocklist: DataFrame, min_words: float = 50,
                    key_cols=("query",)) -> DataFrame:
     """Quality filter of a result set, per query: blocklisted hosts out, then the
     time window on ``created`` (if asked), then the words-per-link floor; the
-    survivors are renumbered ``final_rank`` 1..n in their previous order.
+    survivors are renumbered ``final_rank`` 1..n in their previous order (null first).
 
-    Cheap tests first, so the HTML regexes only run on the survivors."""
+    ``hits`` have ``html``, which is measured after the cheap tests and goes no further (no
+    later step moves a page); or they were measured where the pages were read and have ``content_score`` already."""
     kept = blocklist_filter(hits, blocklist)
     if time_filter:
         if now is None:
             raise ValueError("a time filter needs `now`")
         kept = time_window(kept, time_filter, now)
-    # Score and number a narrow projection (the HTML regexes run once, and the
-    # numbering pass does not write page HTML out), then join the rows back.
-    keys = [*key_cols, order_col, "link"]
-    scored = (page_stats(kept.select(*keys, "html")).drop("html")
-              .filter(F.col("content_score") >= F.lit(float(min_words))))
-    numbered = ordinal(scored, list(key_cols), [order_col, "link"], out="final_rank", base=1)
-    return kept.join(numbered, keys)
+    measured = kept if "content_score" in kept.columns else page_stats(kept)
+    good = measured.drop("html").filter(F.col("content_score") >= F.lit(float(min_words)))
+    return ordinal(good, list(key_cols), [order_col, "link"], out="final_rank", base=1)
 
 
 def date_distribution(dated: DataFrame, now, key_cols=("query",), ts_col: str = "published_ts") -> DataFrame:

@@ -65,14 +65,17 @@ def stored_order(stored: DataFrame, key: str = "query", out: str = "position", b
                                    F.col("rank").asc_nulls_last(), F.col("link")], out=out, base=base)
 
 
-def union_sides(stored: DataFrame, fresh: DataFrame, key: str = "query") -> DataFrame:
-    """Both sides aligned and tagged, with per-key side sizes."""
-    u = _side(stored, key, "db").unionByName(_side(fresh, key, "new"))
+def with_side_sizes(u: DataFrame, key: str) -> DataFrame:
     sizes = u.groupBy(key).agg(F.count_if(F.col("source") == "db").alias("__n_db"),
                                F.count_if(F.col("source") == "new").alias("__n_new"))
     return u.join(sizes, key)
 
 
+def union_sides(stored: DataFrame, fresh: DataFrame, key: str = "query") -> DataFrame:
+    """Both sides aligned and tagged, with per-key side sizes."""
+    return with_side_sizes(_side(stored, key, "db").unionByName(_side(fresh, key, "new")), key)
+
+
 def keep_first(df: DataFrame, key: str = "query") -> DataFrame:
     """One row per (key, link), the first by (stored before fresh, pos).
     An aggregate with partial aggregation, not a window over the key."""
@@ -91,8 +94,12 @@ def merge_rank(stored: DataFrame, fresh: DataFrame, key: str = "query", weights=
 
     ``stored`` and ``fresh`` carry ``key``, ``pos`` (their own order) and the hit
     fields; fields missing on a side are null (F11)."""
-    # the union feeds four branches (both/one-sided rows, normalisers, scores): written once
-    u = materialize(union_sides(stored, fresh, key), "merge-sides")
+    # Both sides are written once, with a number for each row.  Everything up to the ranks works on
+    # narrow columns; the texts come back at the end, in one join.
+    sides = _side(stored, key, "db").unionByName(_side(fresh, key, "new"))
+    texts = ["title", "snippet", "rag_summary"]
+    written = materialize(sides.withColumn("__row", F.monotonically_increasing_id()), "merge-sides")
+    u = with_side_sizes(written.drop(*texts), key)
     both = (F.col("__n_db") > 0) & (F.col("__n_new") > 0)
     merged = keep_first(u.filter(both).drop("__n_db", "__n_new"), key)
     merged = merged.withColumns({
@@ -112,7 +119,7 @@ def merge_rank(stored: DataFrame, fresh: DataFrame, key: str = "query", weights=
     allrows = scored.unionByName(single)
     ranked = ordinal(allrows, [key], [F.round("rank_score", ORDER_DIGITS).desc_nulls_last(), F.col("__prio"),
                                       F.col("pos"), F.col("link")], out="rank", base=1)
-    return ranked.drop("__prio")
+    return ranked.drop("__prio").join(written.select("__row", *texts), "__row").drop("__row")
 
 
 def format_results(df: DataFrame, key: str = "query", order_col: str = "rank", renumber: bool = True) -> DataFrame:

@@ -2,14 +2,15 @@
 
 A snapshot table has one row per ``(cache_key, kind, version, chunk)``::
 
-    cache_key string, kind string ('final' | 'fresh'), chunk bigint,
+    cache_key string, kind string ('final' | 'fresh'), version bigint, chunk bigint,
     payload string (JSON array of hit structs), n_items bigint,
     cached_at timestamp, expires_at timestamp
 
 A list is cut into chunks of ``CHUNK`` ranks, so no single row (and no single
 aggregation group) holds a whole list of unbounded length.  A newer version
 replaces an older one, as writing a cache key does: reading takes the latest
-version (``cached_at <= now``) of a key, and finds nothing if that has expired.  ``kind`` separates a query's fresh hits from its merged list, which the
+version (``cached_at <= now``; of equal times the larger ``version``) of a key, and finds nothing
+if that has expired.  ``kind`` separates a query's fresh hits from its merged list, which the
 reference stored under the same key.
 """
 
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hitweave.functions import timefn
+from hitweave.operators.asof import asof_join
 
 DEFAULT_TTL_SECONDS = 600
 CHUNK = 100
@@ -36,7 +38,7 @@ HIT_SCHEMA = T.ArrayType(T.StructType([
     T.StructField("relevance", T.BooleanType()),
 ]))
 
-SNAPSHOT_COLUMNS = ("cache_key", "kind", "chunk", "payload", "n_items", "cached_at", "expires_at")
+SNAPSHOT_COLUMNS = ("cache_key", "kind", "version", "chunk", "payload", "n_items", "cached_at", "expires_at")
 
 
 def cache_key(query, time_filter) -> F.Column:
@@ -47,9 +49,10 @@ def cache_key(query, time_filter) -> F.Column:
 
 
 def snapshot_write(results: DataFrame, now, key_col: str = "cache_key", kind: str = "final",
-                   ttl_seconds: int | None = None, chunk: int = CHUNK) -> DataFrame:
+                   ttl_seconds: int | None = None, chunk: int = CHUNK, version: int | F.Column = 1) -> DataFrame:
     """Snapshot rows of formatted result lists (``rank`` 1..n per key).
-    ``ttl_seconds`` falsy (None or 0) means the default of 600 s."""
+    ``ttl_seconds`` falsy (None or 0) means the default of 600 s.  ``version`` decides between lists of
+    one key written at the same time (:func:`next_version` for a table that is added to)."""
     ttl = int(ttl_seconds or DEFAULT_TTL_SECONDS)
     hits = results.select(F.col(key_col).alias("cache_key"),
                           F.floor((F.col("rank") - 1) / chunk).cast("bigint").alias("chunk"),
@@ -58,7 +61,7 @@ def snapshot_write(results: DataFrame, now, key_col: str = "cache_key", kind: st
     at = timefn.ts_lit(now)
     return (hits.groupBy("cache_key", "chunk")
                 .agg(F.sort_array(F.collect_list("hit")).alias("hits"))
-                .select("cache_key", F.lit(kind).alias("kind"), "chunk", F.to_json("hits").alias("payload"),
+                .select("cache_key", F.lit(kind).alias("kind"), (version if isinstance(version, F.Column) else F.lit(version)).cast("bigint").alias("version"), "chunk", F.to_json("hits").alias("payload"),
                         F.size("hits").cast("bigint").alias("n_items"), at.alias("cached_at"),
                         (at + F.make_interval(secs=F.lit(ttl))).alias("expires_at")))
 
@@ -72,10 +75,15 @@ def valid_snapshots(snapshots: DataFrame, now, kind: str | None = "final") -> Da
     return _latest(s).filter(at < F.col("expires_at"))
 
 
+def next_version(snapshots: DataFrame) -> F.Column:
+    """The number after the table's largest, as a scalar subquery."""
+    return snapshots.select(F.coalesce(F.max("version"), F.lit(0)) + 1).scalar()
+
+
 def _latest(snapshots: DataFrame) -> DataFrame:
-    latest = snapshots.groupBy("cache_key", "kind").agg(F.max("cached_at").alias("__latest"))
+    latest = snapshots.groupBy("cache_key", "kind").agg(F.max(F.struct("cached_at", "version")).alias("__latest"))
     return (snapshots.join(latest, ["cache_key", "kind"])
-                     .filter(F.col("cached_at") == F.col("__latest")).drop("__latest"))
+                     .filter(F.struct("cached_at", "version") == F.col("__latest")).drop("__latest"))
 
 
 def snapshot_read(snapshots: DataFrame, keys: DataFrame, now, kind: str | None = "final") -> DataFrame:
@@ -85,6 +93,26 @@ def snapshot_read(snapshots: DataFrame, keys: DataFrame, now, kind: str | None =
              .select("cache_key", "kind", *HIT_FIELDS))
 
 
+def snapshots_at(requests: DataFrame, snapshots: DataFrame, at: str = "asked_at", kind: str = "final") -> DataFrame:
+    """J5/J8 for requests that each have their own time: the rows of ``requests`` (``cache_key`` and
+    ``at``) with ``version``, ``cached_at`` and ``expires_at`` of the list that was served then, and
+    ``status`` 'hit' or 'miss' (those three null).  An as-of join: the last version written by then counts,
+    if it had not expired."""
+    versions = snapshots.filter(F.col("kind") == kind).select("cache_key", "cached_at", "version", "expires_at").distinct()
+    found = asof_join(requests, versions, ["cache_key"], at, "cached_at", ["cached_at", "version", "expires_at"], ["version"])
+    live = F.coalesce(F.col(at) < F.col("expires_at"), F.lit(False))
+    return found.select(*requests.columns, *[F.when(live, F.col(c)).alias(c) for c in ("version", "cached_at", "expires_at")],
+                        F.when(live, F.lit("hit")).otherwise(F.lit("miss")).alias("status"))
+
+
+def snapshot_read_at(requests: DataFrame, snapshots: DataFrame, at: str = "asked_at", kind: str = "final") -> DataFrame:
+    """The decoded hits each request was served at its own time, with the columns of ``requests``."""
+    served = snapshots_at(requests, snapshots, at, kind).filter(F.col("status") == "hit").drop("expires_at", "status")
+    lists = snapshots.filter(F.col("kind") == kind).select("cache_key", "version", "cached_at", "payload")
+    return (served.join(lists, ["cache_key", "version", "cached_at"])
+                  .select(*requests.columns, F.inline(F.from_json("payload", HIT_SCHEMA))))
+
+
 def snapshot_reuse(requests: DataFrame, snapshots: DataFrame, now, kind: str = "final") -> DataFrame:
     """Each requested key marked 'hit' (a valid snapshot exists) or 'miss'
     (to be computed)."""

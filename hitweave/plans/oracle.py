@@ -1,17 +1,26 @@
 """DuckDB SQL twins of the registered queries (the correctness oracle).
 
-The derived inputs are CTEs over the pre-registered raw views; each query's SQL
-pulls in the CTEs it needs.  Patterns are the same text as the Spark side
-(Java regex there, RE2 here); DuckDB needs the ``'g'`` option for global replace.
+The derived inputs are CTEs over the pre-registered raw views; each query's SQL pulls in the CTEs it
+needs.  HTML and character references have their own patterns here (RE2), written apart from the
+library's; DuckDB needs the ``'g'`` option for global replace.
 """
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from hitweave.functions import text as _text
 from hitweave.functions import timefn as _tf
-from hitweave.functions import web as _web
+from hitweave.functions.stopwords import listed as _listed
 from hitweave.sources import fixtures as _fx
 
+_WS = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_URL_AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)"
+_ATTRS = r"""(?:[^>"'=]|=\s*(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*)?|["'])*"""
+_TOKEN = (r"(?is)<!--.*?(?:--!?>|\z)" + "".join(rf"|<{n}(?:[\s/]{_ATTRS})?>.*?(?:</{n}(?:[\s/][^>]*)?>|\z)" for n in ("script", "style", "template"))
+          + rf"|<[!?][^>]*>|</?[a-z]{_ATTRS}>|</[^a-z>][^>]*>|</>")
+_ATTR = r"""([^\s/>="'][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*))?)?"""
+
 
 def q(s: str) -> str:
     """SQL string literal."""
@@ -19,38 +28,69 @@ def q(s: str) -> str:
 
 
 def strip_ws(x: str) -> str:
-    return f"regexp_replace({x}, '^{_text.WS}+|{_text.WS}+$', '', 'g')"
+    return f"regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')"
 
 
 def visible_text(html: str) -> str:
-    no_tags = (f"regexp_replace(regexp_replace(coalesce({html}, ''), {q(_web.NON_VISIBLE)}, ' ', 'g'),"
-               f" {q(_web.ANY_TAG)}, ' ', 'g')")
-    spaced = f"regexp_replace({no_tags}, {q(_web.NBSP_ENTITY)}, ' ', 'g')"
-    return f"trim(regexp_replace({spaced}, {q(_web.WS_RUN)}, ' ', 'g'))"
+    text = f"regexp_replace(coalesce({html}, ''), {q(_TOKEN)}, ' ', 'g')"
+    return f"trim(regexp_replace({unescape(text)}, '{_WS}+', ' ', 'g'))"
 
 
 def word_count(text: str) -> str:
-    return f"CAST(len(list_filter(string_split_regex({text}, '{_text.WS}+'), lambda w: w <> '')) AS BIGINT)"
+    return f"CAST(len(list_filter(string_split_regex({text}, '{_WS}+'), lambda w: w <> '')) AS BIGINT)"
+
+
+def _tags(html: str, name: str) -> str:
+    tokens = f"regexp_extract_all(coalesce({html}, ''), {q(_TOKEN)}, 0)"
+    return f"list_filter({tokens}, lambda t: regexp_matches(t, '(?i)^<{name}[\\s/>]'))"
+
+
+def _names(tag: str) -> str:
+    return f"list_transform(regexp_extract_all(regexp_replace({tag}, '^<[^\\s/>]*', ''), {q(_ATTR)}, 1), lambda n: lower(n))"
+
+
+def _attribute(tag: str, name: str) -> str:
+    inside = f"regexp_replace({tag}, '^<[^\\s/>]*', '')"
+    at = f"list_position({_names(tag)}, '{name}')"
+    return "concat(" + ", ".join(f"regexp_extract_all({inside}, {q(_ATTR)}, {i})[{at}]" for i in (2, 3, 4)) + ")"
 
 
 def link_count(html: str) -> str:
-    stripped = f"regexp_replace(coalesce({html}, ''), {q(_web.NON_VISIBLE)}, ' ', 'g')"
-    return f"CAST(len(regexp_extract_all({stripped}, {q(_web.ANCHOR_WITH_HREF)}, 0)) AS BIGINT)"
+    return f"CAST(len(list_filter({_tags(html, 'a')}, lambda t: list_contains({_names('t')}, 'href'))) AS BIGINT)"
 
 
 def url_host(url: str) -> str:
-    return f"coalesce(regexp_extract({url}, {q(_web.URL_AUTHORITY)}, 1), '')"
+    return f"coalesce(regexp_extract({url}, {q(_URL_AUTHORITY)}, 1), '')"
+
+
+def _literal_map(table: dict[str, str]) -> str:
+    return f"MAP([{', '.join(q(k) for k in table)}], [{', '.join(q(v) for v in table.values())}])"
+
+
+_NAMED = _literal_map(html5)
+_OLD_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)
+_C1 = _literal_map({str(n): bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)})
 
 
 def unescape(x: str) -> str:
-    out = x
-    for ent, ch in _text.NATIVE_ENTITIES:
-        out = f"replace({out}, {q(ent)}, {q(ch)})"
-    return out
+    """Character references of ``x`` decoded: split before each ``&``, then piece by piece."""
+    code = ("CASE WHEN regexp_matches(p, '^&#[0-9]') THEN try_cast(regexp_extract(p, '^&#([0-9]+)', 1) AS HUGEINT) "
+            "ELSE try_cast('0x' || right(lpad(regexp_extract(p, '^&#[xX]([0-9a-fA-F]+)', 1), 12, '0'), 12) AS HUGEINT) END")
+    char = (f"CASE WHEN n IS NULL OR n > 1114111 OR n BETWEEN 55296 AND 57343 OR n = 0 THEN '\ufffd' WHEN n BETWEEN 128 AND 159 THEN {_C1}[CAST(n AS VARCHAR)] "
+            "WHEN n BETWEEN 1 AND 8 OR n BETWEEN 14 AND 31 OR n IN (11, 127) OR n BETWEEN 64976 AND 65007 OR n % 65536 >= 65534 THEN '' "
+            "ELSE chr(CAST(n AS INTEGER)) END")
+    numeric = f"list_transform([{code}], lambda n: {char})[1] || regexp_replace(p, '^&#(?:[0-9]+|[xX][0-9a-fA-F]+);?', '')"
+    name = "regexp_extract(p, '^&([^\\t\\n\\f <&#;]{1,32};?)', 1)"
+    old = f"regexp_extract(p, '^&({'|'.join(_OLD_NAMES)})', 1)"
+    named = (f"list_transform([{_NAMED}], lambda m: CASE WHEN m[{name}] IS NOT NULL THEN m[{name}] || substr(p, 2 + length({name})) "
+             f"WHEN {old} <> '' THEN m[{old}] || substr(p, 2 + length({old})) ELSE p END)[1]")
+    piece = f"CASE WHEN regexp_matches(p, '^&#(?:[0-9]|[xX][0-9a-fA-F])') THEN {numeric} WHEN p LIKE '&_%' THEN {named} ELSE p END"
+    return (f"list_transform([string_split({x}, '&')], lambda s: CASE WHEN len(s) = 1 THEN s[1] ELSE array_to_string(list_transform(s, lambda p0, i: "
+            f"list_transform([CASE WHEN i = 1 THEN p0 ELSE '&' || p0 END], lambda p: CASE WHEN i = 1 THEN p ELSE {piece} END)[1]), '') END)[1]")
 
 
 def query_words(x: str) -> str:
-    return f"list_filter(string_split_regex(coalesce({x}, ''), '{_text.WS}+'), lambda t: t <> '')"
+    return f"list_filter(string_split_regex(coalesce({x}, ''), '{_WS}+'), lambda t: t <> '')"
 
 
 def summary(query: str, context: str) -> str:
@@ -82,18 +122,17 @@ def age_score(t: str, now: str) -> str:
 
 def meta_first(html: str) -> str:
     """First <meta> tag naming a publication date (null if none)."""
-    tags = f"regexp_extract_all(regexp_replace(coalesce({html}, ''), {q(_web.NON_VISIBLE)}, ' ', 'g'), {q(_web.META_TAG)}, 0)"
-    return f"list_filter({tags}, lambda m: regexp_matches(m, {q(_web.META_DATE_TAG)}))[1]"
+    named = f"{_attribute('m', 'property')} IN ('article:published_time', 'og:published_time')"
+    dated = f"{_attribute('m', 'name')} IN ('date', 'publish-date', 'article.published')"
+    return f"list_filter({_tags(html, 'meta')}, lambda m: {named} OR {dated})[1]"
 
 
 def meta_content(tag: str) -> str:
-    c = q(_web.META_CONTENT)
-    return (f"nullif(regexp_extract({tag}, {c}, 1) || regexp_extract({tag}, {c}, 2) "
-            f"|| regexp_extract({tag}, {c}, 3), '')")
+    return f"nullif({_attribute(tag, 'content')}, '')"
 
 
 def stop_list(words=_text.DEFAULT_STOP_WORDS) -> str:
-    return "[" + ", ".join(q(w) for w in sorted(set(words))) + "]"
+    return "[" + ", ".join(q(w) for w in _listed(words)) + "]"
 
 
 def tokens(x: str, words=_text.DEFAULT_STOP_WORDS) -> str:
@@ -105,7 +144,6 @@ def tokens(x: str, words=_text.DEFAULT_STOP_WORDS) -> str:
 # derived inputs (FIXTURES.md §4) as CTEs: name -> (sql, dependencies)
 
 _bl_values = ", ".join(f"({q(h)})" for h in _fx.FIXTURE_BLOCKLIST)
-_sq_values = ", ".join(f"({i}, {q(t)})" for i, t in _fx.FIXTURE_SEARCH_QUERIES)
 _day = "CAST(DATE '2024-01-31' - CAST(page_id * 7 % 800 AS INTEGER) AS VARCHAR)"
 
 CTES: dict[str, tuple[str, tuple[str, ...]]] = {
@@ -138,7 +176,7 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
                    (ev.user_id * 7 + CAST(json_extract_string(ev.props, '$.k') AS BIGINT)) % (SELECT count(*) FROM pages) AS pid
             FROM events ev) e
       JOIN page_base p ON p.page_id = e.pid""", ("page_base",)),
-    "feedback": ("""SELECT event_id, ts, query, CASE WHEN event_id % 97 = 0 THEN NULL ELSE link END AS link,
+    "feedback": ("""SELECT CASE WHEN event_id % 13 <> 0 THEN event_id END AS event_id, ts, query, CASE WHEN event_id % 97 = 0 THEN NULL ELSE link END AS link,
         title, snippet, ml_rank, '' AS rag_summary, CAST(1 AS INTEGER) AS "rank"
       FROM act WHERE event_type = 'click'""", ("act",)),
     "stored": ("""SELECT query, link, min(title) AS title, min(snippet) AS snippet, min(ts) AS created,
@@ -150,8 +188,15 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
       GROUP BY query, link""", ("act",)),
     "requests": (f"""SELECT DISTINCT query, tf AS time_filter
       FROM (SELECT {url_host('url')} AS query FROM pages UNION ALL SELECT '  '), (VALUES ('day'), ('month'), (''), ('decade')) AS t(tf)""", ()),
+    "hosts": (f"SELECT query, row_number() OVER (ORDER BY query) - 1 AS number FROM (SELECT DISTINCT {url_host('url')} AS query FROM pages)", ()),
+    "timed_requests": ("""SELECT event_id, ts AS asked_at, query || ['', ':day', ':month', ':year'][CAST(event_id % 4 + 1 AS INTEGER)] AS cache_key
+      FROM events JOIN hosts ON user_id % (SELECT count(*) FROM hosts) = number""", ("hosts",)),
+    "snapshot_times": ("""SELECT cache_key, 'final' AS kind, version, cached_at, cached_at + to_hours(CAST((day % 3 + version) * 10 AS BIGINT)) AS expires_at FROM (
+        SELECT query || sfx AS cache_key, day, TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(day AS INTEGER)) + to_hours(CAST(day * 7 % 24 AS BIGINT)) AS cached_at,
+               unnest(CASE WHEN day % 5 = 0 THEN [1, 2] ELSE [1] END) AS version
+        FROM hosts, (VALUES (''), (':day'), (':month')) AS s(sfx), (SELECT unnest(range(30)) AS day) WHERE (day + length(query)) % 4 <> 0)""", ("hosts",)),
     "blocklist": (f"SELECT * FROM (VALUES {_bl_values}) AS t(host)", ()),
-    "search_queries": (f"SELECT * FROM (VALUES {_sq_values}) AS t(query_id, text)", ()),
+    "search_queries": ("SELECT doc_id AS query_id, text FROM documents WHERE doc_id % 50 = 0", ()),
 }
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from hitweave.functions import text as tx
 from hitweave.functions import timefn as tf
 from hitweave.functions import web
+from hitweave.functions.entities import html_unescape
 from hitweave.operators import feedback as fb
 from hitweave.operators import filters as flt
 from hitweave.operators import merge as mg
@@ -28,8 +29,9 @@ from hitweave.plans import search as srch
 from hitweave.session import materialize, prepare, scratch_path
 from hitweave.sources import fixtures as fx
 from hitweave.sources import landed, versions
-from hitweave.sources.tables import read_table
+from hitweave.sources.tables import read_pages, read_table
 from hitweave.streaming import feedback_stream as fstream
+from hitweave.streaming import snapshot_stream as sstream
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -102,7 +104,7 @@ def q_valid_items(spark, sf):
 def q_html_unescape(spark, sf):
     """Page titles with their entities decoded."""
     pb = fx.page_base(spark, sf)
-    return pb.select("page_id", F.col("title").alias("raw_title"), tx.html_unescape("title").alias("title"))
+    return pb.select("page_id", F.col("title").alias("raw_title"), html_unescape(F.col("title")).alias("title"))
 
 
 @register("clean_queries", o.with_ctes(
@@ -194,7 +196,7 @@ def q_blocklist_filter(spark, sf):
 @register("page_text", f"SELECT page_id, {o.visible_text('html')} AS text FROM pages")
 def q_page_text(spark, sf):
     """C11: visible text of every page."""
-    return read_table(spark, sf, "pages").select("page_id", web.visible_text("html").alias("text"))
+    return read_pages(spark, sf).select("page_id", web.visible_text("html").alias("text"))
 
 
 _STATS = (f"SELECT page_id, {o.word_count(o.visible_text('html'))} AS word_count, {o.link_count('html')} AS link_count "
@@ -206,7 +208,7 @@ _STATS = (f"SELECT page_id, {o.word_count(o.visible_text('html'))} AS word_count
           f"FROM ({_STATS})")
 def q_page_stats(spark, sf):
     """Words, links and words per link of every page."""
-    s = flt.page_stats(read_table(spark, sf, "pages"))
+    s = flt.page_stats(read_pages(spark, sf))
     return s.select("page_id", "word_count", "link_count", r4("content_score").alias("content_score"))
 
 
@@ -220,8 +222,7 @@ _CF_STATS = (f"SELECT query, pos, link, {o.word_count(o.visible_text('html'))} A
         FROM ({_CF_STATS}) WHERE w / greatest(l, 1) >= 50""", "hits_with_pages", "blocklist"))
 def q_content_filter(spark, sf):
     """M2 (F3, C11-C15, F4, W3): blocklist, words-per-link floor 50, renumbered per query."""
-    hits = fx.hits_with_pages(spark, sf).select("query", "pos", "link", "html")
-    out = flt.content_filter(hits, fx.blocklist(spark), min_words=50)
+    out = flt.content_filter(fx.measured_hits(spark, sf), fx.blocklist(spark), min_words=50)
     return out.select("query", "pos", "link", r4("content_score").alias("content_score"), "final_rank")
 
 
@@ -391,37 +392,74 @@ def q_feature_importance(spark, sf):
     return fi.select("query", "term", r4("idf").alias("idf"), "term_rank")
 
 
-_SEM = {**_INDEX,
-        "post": ("SELECT d AS doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY d)) AS weight FROM iw", ("iw",)),
-        "qtf": (f"SELECT query_id, term, count(*) AS tf FROM (SELECT query_id, unnest({o.tokens('text')}) AS term "
-                "FROM search_queries) GROUP BY query_id, term", ("search_queries",)),
-        "qw": ("SELECT q.query_id, q.term, q.tf * i.idf AS w FROM qtf q JOIN iidf i ON q.term = i.term", ("qtf", "iidf")),
-        "qv": ("SELECT query_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY query_id)) AS qweight FROM qw", ("qw",)),
-        "sem": ("""SELECT qv.query_id, post.doc_id, sum(qv.qweight * post.weight) AS score
-                   FROM qv JOIN post ON qv.term = post.term GROUP BY qv.query_id, post.doc_id""", ("qv", "post"))}
-
-
-def _index(spark, sf):
-    return tfidf.Index(fx.search_docs(spark, sf), "doc_id", "text", tfidf.INDEX_MAX_FEATURES)
+@register("feature_importance_map", o.with_ctes(
+    """SELECT query, string_agg(term, ' ' ORDER BY term_rank) AS terms, count(*) AS n_terms, max(idf) AS best_idf FROM (
+         SELECT g AS query, term, round(idf, 4) AS idf, row_number() OVER (PARTITION BY g ORDER BY df, term) AS term_rank FROM tidf)
+       WHERE term_rank <= 10 GROUP BY query""", extra=_ITEM_DOCS))
+def q_feature_importance_map(spark, sf):
+    """The ten terms of every query as one map and in rank order (shown flat)."""
+    m = tfidf.feature_importance_map(tfidf.feature_importance(_norm_items(spark, sf), corpus="query", doc="pos", top=10))
+    return m.select("query", F.array_join("terms", " ").alias("terms"), F.size("idf_by_term").cast("bigint").alias("n_terms"),
+                    r4(F.array_max(F.map_values("idf_by_term"))).alias("best_idf"))
+
+
+def _similarity(index: dict) -> dict:
+    """CTEs of the similarity of ``search_queries`` with an index's documents; result CTE ``sem``."""
+    return {**index,
+            "post": ("SELECT d AS doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY d)) AS weight FROM iw", ("iw",)),
+            "qtf": (f"SELECT query_id, term, count(*) AS tf FROM (SELECT query_id, unnest({o.tokens('text')}) AS term "
+                    "FROM search_queries) GROUP BY query_id, term", ("search_queries",)),
+            "qw": ("SELECT q.query_id, q.term, q.tf * i.idf AS w FROM qtf q JOIN iidf i ON q.term = i.term", ("qtf", "iidf")),
+            "qv": ("SELECT query_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY query_id)) AS qweight FROM qw", ("qw",)),
+            "sem": ("""SELECT qv.query_id, post.doc_id, sum(qv.qweight * post.weight) AS score
+                       FROM qv JOIN post ON qv.term = post.term GROUP BY qv.query_id, post.doc_id""", ("qv", "post"))}
+
+
+_SEM = _similarity(_INDEX)
+_SEM_ALL_TERMS = _similarity(_tfidf_ctes("SELECT 'index' AS g, doc_id AS d, text AS x FROM documents", (), 2**62, prefix="i"))
+# fitted on the documents with odd ids; those with even ids are weighted by that vocabulary
+_FITTED = _tfidf_ctes("SELECT 'index' AS g, doc_id AS d, text AS x FROM documents WHERE doc_id % 2 = 1", (), tfidf.INDEX_MAX_FEATURES, prefix="i")
+_SEM_ADDED = _similarity({**_FITTED, "alltf": (f"""SELECT doc_id AS d, term, count(*) AS tf FROM (SELECT doc_id, unnest({o.tokens('text')}) AS term
+                                                    FROM documents) GROUP BY doc_id, term""", ()),
+                          "iw": ("SELECT d, t.term, t.tf * i.idf AS w FROM alltf t JOIN iidf i ON t.term = i.term", ("alltf", "iidf"))})
+_TOP5 = """SELECT query_id, doc_id, round(score, 4) AS score, rank FROM (
+             SELECT query_id, doc_id, score,
+                    row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM sem)
+           WHERE rank <= 5"""
+
+
+def _top5(spark, sf, index):
+    t = index.topk(fx.search_queries(spark, sf), k=5)
+    return t.select("query_id", "doc_id", r4("score").alias("score"), "rank")
 
 
 @register("semantic_scores", o.with_ctes(
     "SELECT query_id, doc_id, round(score, 4) AS score FROM sem", extra=_SEM))
 def q_semantic_scores(spark, sf):
     """Cosine similarity of each query with every document sharing a term."""
-    s = _index(spark, sf).scores(fx.search_queries(spark))
+    s = tfidf.Index.fit(fx.search_docs(spark, sf)).scores(fx.search_queries(spark, sf))
     return s.select("query_id", "doc_id", r4("score").alias("score"))
 
 
-@register("semantic_topk", o.with_ctes(
-    """SELECT query_id, doc_id, round(score, 4) AS score, rank FROM (
-         SELECT query_id, doc_id, score,
-                row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM sem)
-       WHERE rank <= 5""", extra=_SEM))
+@register("semantic_topk", o.with_ctes(_TOP5, extra=_SEM))
 def q_semantic_topk(spark, sf):
     """The five most similar documents per query."""
-    t = _index(spark, sf).topk(fx.search_queries(spark), k=5)
-    return t.select("query_id", "doc_id", r4("score").alias("score"), "rank")
+    return _top5(spark, sf, tfidf.Index.fit(fx.search_docs(spark, sf)))
+
+
+@register("semantic_topk_all_terms", o.with_ctes(_TOP5, extra=_SEM_ALL_TERMS))
+def q_semantic_topk_all_terms(spark, sf):
+    """The five most similar documents per query by an index of every term."""
+    return _top5(spark, sf, tfidf.Index.fit(fx.search_docs(spark, sf), max_features=None))
+
+
+@register("semantic_topk_loaded", o.with_ctes(_TOP5, extra=_SEM_ADDED))
+def q_semantic_topk_loaded(spark, sf):
+    """M5: an index fitted on half of the documents is saved, loaded, given the other half, and searched."""
+    root, docs = scratch_path(spark, "saved-index"), fx.search_docs(spark, sf)
+    tfidf.Index.fit(docs.filter(F.col("doc_id") % 2 == 1), root=root)
+    tfidf.Index.load(spark, root).add(docs.filter(F.col("doc_id") % 2 == 0))
+    return _top5(spark, sf, tfidf.Index.load(spark, root))
 
 
 # ---------------------------------------------------------------------------
@@ -491,12 +529,33 @@ def q_feedback_upsert(spark, sf):
     return _results_out(fb.feedback_upsert(fx.stored(spark, sf), fx.feedback(spark, sf)))
 
 
+@register("feedback_echo", o.with_ctes(
+    f"""SELECT query, link, title, click_count, relevance FROM ({_UPSERT}) t
+        WHERE EXISTS (SELECT 1 FROM ({_FB_VALID}) v WHERE v.query = t.query AND v.link = t.link)""", "stored", "feedback"))
+def q_feedback_echo(spark, sf):
+    """M7: what the feedback route answers for each changed row."""
+    return fb.feedback_echo(fx.stored(spark, sf), fx.feedback(spark, sf))
+
+
+@register("results_conform", o.with_ctes(
+    f"""SELECT query, link, title, snippet, "rank", created, relevance, round(coalesce(ml_rank, 0.0), 4) AS ml_rank, rag_summary, click_count, last_clicked
+        FROM (SELECT query, link, title, snippet, "rank", coalesce(CASE WHEN click_count % 2 = 0 THEN created END, {o.ts(fx.NOW_FEEDBACK)}) AS created,
+                     coalesce(CASE WHEN click_count % 3 > 0 THEN relevance END, false) AS relevance, CAST(NULL AS DOUBLE) AS ml_rank, rag_summary,
+                     CAST(0 AS INTEGER) AS click_count, last_clicked FROM stored)""", "stored"))
+def q_results_conform(spark, sf):
+    """Rows with missing fields and columns brought to the results table's schema and defaults."""
+    partial = fx.stored(spark, sf).select(
+        "query", "link", "title", "snippet", F.col("rank").cast("bigint").alias("rank"), F.when(F.col("click_count") % 2 == 0, F.col("created")).alias("created"),
+        F.when(F.col("click_count") % 3 > 0, F.col("relevance")).alias("relevance"), F.lit(None).cast("double").alias("ml_rank"), "rag_summary", "last_clicked")
+    return _results_out(fb.conform_results(partial, fx.NOW_FEEDBACK))
+
+
 @register("results_version", ORACLE["feedback_upsert"])
 def q_results_version(spark, sf):
     """The stored table and then its update written as two versions; the latest read back."""
     root = scratch_path(spark, "results")
-    versions.write_version(fx.stored(spark, sf), root)
-    versions.write_version(fb.feedback_upsert(versions.read_version(spark, root), fx.feedback(spark, sf)), root)
+    base = versions.write_version(fx.stored(spark, sf), root)
+    versions.write_version(fb.feedback_upsert(versions.read_version(spark, root, base), fx.feedback(spark, sf)), root, base=base)
     return _results_out(versions.read_version(spark, root))
 
 
@@ -650,6 +709,18 @@ def q_format_results(spark, sf):
                                         "rag_summary", "click_count", "relevance")
 
 
+@register("format_renumbered", o.with_ctes(
+    f"""SELECT query, row_number() OVER (PARTITION BY query ORDER BY rank, link) AS rank, link, source_rank FROM (
+          SELECT query, rank, rank AS source_rank, link FROM mmr WHERE source = 'new' OR rank % 3 <> 1)""",
+    "stored", "items", "last_fetch", extra=_MERGE))
+def q_format_renumbered(spark, sf):
+    """Displayed lists from which some stored hits were taken out, numbered 1..n again."""
+    m = mg.merge_rank(_stored_side(spark, sf), _fresh_side(spark, sf))
+    left = m.filter((F.col("source") == "new") | (F.col("rank") % 3 != 1)).withColumn("summary", F.col("rank").cast("string"))
+    out = mg.format_results(left, "query", "rank")
+    return out.select("query", "rank", "link", F.col("rag_summary").cast("bigint").alias("source_rank"))
+
+
 @register("score_text", o.with_ctes(
     f"SELECT query, rank, printf('%.2f', ml_rank) AS score_text FROM ({_FORMAT})",
     "stored", "items", "last_fetch", extra=_MERGE))
@@ -663,18 +734,21 @@ def q_score_text(spark, sf):
 
 READ_NOW = "2024-02-01 00:05:00"
 # The prior snapshot versions of the fixture (key suffix, cached_at,
-# ttl seconds, list): a valid one, an expired one, and an older valid one that
+# ttl seconds, list, version): a valid one, an expired one, and an older valid one that
 # the valid one supersedes; plus a year-old version that feedback invalidates.
 SNAPSHOT_VERSIONS = (
-    (":month", "2024-02-01 00:00:00", 0, "stored", "final"),
-    (":day", "2024-01-31 23:00:00", 600, "stored", "final"),
-    (":month", "2024-01-31 23:58:00", 3600, "fresh", "final"),
-    (":year", "2024-01-10 00:00:00", 31536000, "stored", "final"),
+    (":month", "2024-02-01 00:00:00", 0, "stored", "final", 4),
+    (":day", "2024-01-31 23:00:00", 600, "stored", "final", 2),
+    (":month", "2024-01-31 23:58:00", 3600, "fresh", "final", 3),
+    (":year", "2024-01-10 00:00:00", 31536000, "stored", "final", 1),
     # the fresh hit lists of the queries searched before (those with stored results)
-    ("", "2024-02-01 00:01:00", 0, "searched", "fresh"),
+    ("", "2024-02-01 00:01:00", 0, "searched", "fresh", 5),
     # a list with a long life, replaced by one that has expired: nothing may be served
-    ("", "2024-01-31 23:30:00", 36000, "stored", "final"),
-    ("", "2024-01-31 23:40:00", 60, "fresh", "final"),
+    ("", "2024-01-31 23:30:00", 36000, "stored", "final", 2),
+    ("", "2024-01-31 23:40:00", 60, "fresh", "final", 3),
+    # written at the same time as another list of its key: the later version counts
+    (":month", "2024-02-01 00:00:00", 0, "fresh", "final", 3),
+    (":year", "2024-01-10 00:00:00", 31536000, "fresh", "final", 2),
 )
 
 
@@ -697,9 +771,9 @@ def _fixture_snapshots(spark, sf, **inputs):
     be at rest)."""
     lists = _lists(spark, sf, **inputs)
     out = None
-    for suffix, at, ttl, kind, snap_kind in SNAPSHOT_VERSIONS:
+    for suffix, at, ttl, kind, snap_kind, version in SNAPSHOT_VERSIONS:
         src = lists[kind].withColumn("cache_key", F.concat(F.col("query"), F.lit(suffix)))
-        w = snap.snapshot_write(src, at, kind=snap_kind, ttl_seconds=ttl)
+        w = snap.snapshot_write(src, at, kind=snap_kind, ttl_seconds=ttl, version=version)
         out = w if out is None else out.unionByName(w)
     return materialize(out)
 
@@ -716,9 +790,9 @@ _LIST_SQL = {
 
 def _snap_sql():
     parts = []
-    for suffix, at, ttl, kind, snap_kind in SNAPSHOT_VERSIONS:
+    for suffix, at, ttl, kind, snap_kind, version in SNAPSHOT_VERSIONS:
         secs = ttl or snap.DEFAULT_TTL_SECONDS
-        parts.append(f"""SELECT query || '{suffix}' AS cache_key, '{snap_kind}' AS kind, {o.ts(at)} AS cached_at,
+        parts.append(f"""SELECT query || '{suffix}' AS cache_key, '{snap_kind}' AS kind, {version} AS version, {o.ts(at)} AS cached_at,
                                 {o.ts(at)} + INTERVAL {secs} SECOND AS expires_at, CAST(rank AS BIGINT) AS rank, title,
                                 link, snippet, CAST(ml_rank AS DOUBLE) AS ml_rank, rag_summary,
                                 CAST(click_count AS BIGINT) AS click_count, relevance
@@ -728,11 +802,9 @@ def _snap_sql():
 
 _SNAP = {
     "snap": (_snap_sql(), ()),
-    "vall": (f"""SELECT s.* FROM snap s JOIN (
-                    SELECT cache_key, kind, max(cached_at) AS latest FROM snap
-                    WHERE cached_at <= {o.ts(READ_NOW)} GROUP BY cache_key, kind) l
-                  ON s.cache_key = l.cache_key AND s.kind = l.kind AND s.cached_at = l.latest
-                  WHERE {o.ts(READ_NOW)} < expires_at""", ("snap",)),
+    "vlatest": (f"""SELECT * EXCLUDE (place) FROM (SELECT *, dense_rank() OVER (PARTITION BY cache_key, kind ORDER BY cached_at DESC, version DESC) AS place
+                    FROM snap WHERE cached_at <= {o.ts(READ_NOW)}) WHERE place = 1""", ("snap",)),
+    "vall": (f"SELECT * FROM vlatest WHERE {o.ts(READ_NOW)} < expires_at", ("vlatest",)),
     "vsnap": ("SELECT * FROM vall WHERE kind = 'final'", ("vall",)),
     "vfresh": ("SELECT * FROM vall WHERE kind = 'fresh'", ("vall",)),
     "req": ("""SELECT DISTINCT query, time_filter,
@@ -782,42 +854,87 @@ def q_snapshot_reuse(spark, sf):
     return snap.snapshot_reuse(keys, _fixture_snapshots(spark, sf), READ_NOW)
 
 
-_SNAP_KEYS_SQL = ("SELECT cache_key, kind, CAST((rank - 1) // 100 AS BIGINT) AS chunk, cached_at, count(*) AS n_items "
-                  "FROM snap GROUP BY cache_key, kind, (rank - 1) // 100, cached_at")
+_CHUNKS_SQL = ("SELECT cache_key, kind, CAST(version AS BIGINT) AS version, CAST((rank - 1) // 100 AS BIGINT) AS chunk, cached_at, count(*) AS n_items "
+               "FROM {} GROUP BY cache_key, kind, version, (rank - 1) // 100, cached_at")
+# the last feedback on each cache key
+_TOUCHED_SQL = """SELECT query || sfx AS cache_key, max(ts) AS last_ts FROM feedback, (VALUES (''), (':day'), (':month'), (':year')) AS x(sfx)
+                  WHERE query IS NOT NULL GROUP BY query || sfx"""
+
+
+def _chunks_out(df):
+    return df.select("cache_key", "kind", "version", "chunk", ntz("cached_at").alias("cached_at"), "n_items")
 
 
 @register("snapshot_invalidate", o.with_ctes(
-    f"""SELECT s.* FROM ({_SNAP_KEYS_SQL}) s
-        WHERE NOT EXISTS (
-          SELECT 1 FROM (SELECT query, max(ts) AS last_ts FROM feedback WHERE query IS NOT NULL GROUP BY query) f,
-                        (VALUES (''), (':day'), (':month'), (':year')) AS x(sfx)
-          WHERE f.query || x.sfx = s.cache_key AND s.cached_at <= f.last_ts)""",
+    f"""SELECT s.* FROM ({_CHUNKS_SQL.format('snap')}) s LEFT JOIN ({_TOUCHED_SQL}) f USING (cache_key)
+        WHERE last_ts IS NULL OR cached_at > last_ts""",
     *_SNAP_NEEDS, "feedback", extra=_SNAP))
 def q_snapshot_invalidate(spark, sf):
     """Snapshots left after the clicks invalidate the keys of their queries."""
-    s = snap.snapshot_invalidate(_fixture_snapshots(spark, sf), fx.feedback(spark, sf))
-    return s.select("cache_key", "kind", "chunk", ntz("cached_at").alias("cached_at"), "n_items")
+    return _chunks_out(snap.snapshot_invalidate(_fixture_snapshots(spark, sf), fx.feedback(spark, sf)))
 
 
-@register("snapshot_purge", o.with_ctes(
-    f"""SELECT cache_key, kind, chunk, cached_at, n_items FROM (
-          SELECT cache_key, kind, CAST((rank - 1) // 100 AS BIGINT) AS chunk, cached_at, expires_at,
-                 count(*) AS n_items FROM snap GROUP BY cache_key, kind, (rank - 1) // 100, cached_at, expires_at) p
-        WHERE expires_at > {o.ts(READ_NOW)} AND cached_at = (SELECT max(cached_at) FROM snap s
-              WHERE s.cache_key = p.cache_key AND s.kind = p.kind AND s.cached_at <= {o.ts(READ_NOW)})""", *_SNAP_NEEDS, extra=_SNAP))
+@register("snapshot_purge", o.with_ctes(_CHUNKS_SQL.format("vall"), *_SNAP_NEEDS, extra=_SNAP))
 def q_snapshot_purge(spark, sf):
-    """The snapshot table without the rows expired at the read time."""
-    s = snap.snapshot_purge(_fixture_snapshots(spark, sf), READ_NOW)
-    return s.select("cache_key", "kind", "chunk", ntz("cached_at").alias("cached_at"), "n_items")
+    """The snapshot table without the rows expired or replaced at the read time."""
+    return _chunks_out(snap.snapshot_purge(_fixture_snapshots(spark, sf), READ_NOW))
 
 
 @register("snapshot_version", ORACLE["snapshot_purge"])
 def q_snapshot_version(spark, sf):
     """The snapshot table written as a version, purged into the next; the latest read back."""
     root = scratch_path(spark, "snapshots")
-    versions.write_version(_fixture_snapshots(spark, sf), root)
-    versions.write_version(snap.snapshot_purge(versions.read_version(spark, root), READ_NOW), root)
-    return versions.read_version(spark, root).select("cache_key", "kind", "chunk", ntz("cached_at").alias("cached_at"), "n_items")
+    base = versions.write_version(_fixture_snapshots(spark, sf), root)
+    versions.write_version(snap.snapshot_purge(versions.read_version(spark, root, base), READ_NOW), root, base=base)
+    return _chunks_out(versions.read_version(spark, root))
+
+
+@register("snapshot_stream", o.with_ctes(
+    f"""SELECT s.* FROM ({_CHUNKS_SQL.format('vall')}) s LEFT JOIN ({_TOUCHED_SQL}) f USING (cache_key)
+        WHERE last_ts IS NULL OR cached_at > last_ts""",
+    *_SNAP_NEEDS, "feedback", extra=_SNAP))
+def q_snapshot_stream(spark, sf):
+    """Snapshots dropped by a stream of clicks and by timers, delivered in three turns (half of the
+    clicks before the snapshots are written, the others after, then the read time); what is left."""
+    root, table = scratch_path(spark, "snapshot_stream"), _fixture_snapshots(spark, sf)
+    clicks = fx.feedback(spark, sf).select("query", "ts", F.xxhash64("link").alias("part"))
+    heads = table.select("cache_key", "kind", "version", "cached_at", "expires_at").distinct()
+    clock = spark.range(1).select(tf.ts_lit("2024-01-01 00:00:00").alias("now"))
+    turns = ((None, clicks.filter("part % 2 = 0"), clock), (heads, clicks.filter("part % 2 <> 0 OR part IS NULL"), clock),
+             (None, None, clock.select(tf.ts_lit(READ_NOW).alias("now"))))
+    heads.limit(0).write.parquet(f"{root}/writes")
+    for turn in turns:
+        for name, rows in zip(("writes", "clicks", "clock"), turn):
+            if rows is not None:
+                rows.write.mode("append").parquet(f"{root}/{name}")
+        sstream.start_snapshot_stream(spark, *(f"{root}/{p}" for p in ("writes", "clicks", "clock", "drops", "state"))).awaitTermination()
+    return _chunks_out(sstream.live_snapshots(table, sstream.read_drops(spark, f"{root}/drops")))
+
+
+_SERVED = {"served": ("""SELECT r.*, version, cached_at, expires_at, row_number() OVER (PARTITION BY event_id ORDER BY cached_at DESC, version DESC) AS place
+                     FROM timed_requests r LEFT JOIN snapshot_times s ON r.cache_key = s.cache_key AND cached_at <= asked_at""", ())}
+
+
+@register("request_status_at", o.with_ctes(
+    """SELECT event_id, cache_key, CASE WHEN asked_at < expires_at THEN version END AS version, CASE WHEN asked_at < expires_at THEN cached_at END AS cached_at,
+              CASE WHEN asked_at < expires_at THEN 'hit' ELSE 'miss' END AS status FROM served WHERE place = 1""",
+    "timed_requests", "snapshot_times", extra=_SERVED))
+def q_request_status_at(spark, sf):
+    """Every request at its own time: the version that was served then, or a miss."""
+    served = snap.snapshots_at(fx.timed_requests(spark, sf), fx.snapshot_times(spark, sf))
+    return served.select("event_id", "cache_key", "version", ntz("cached_at").alias("cached_at"), "status")
+
+
+@register("snapshot_read_at", o.with_ctes(
+    """SELECT event_id, cache_key, link, rank FROM (
+         SELECT event_id, r.cache_key, link, rank, expires_at, asked_at,
+                dense_rank() OVER (PARTITION BY event_id ORDER BY cached_at DESC, version DESC) AS place
+         FROM timed_requests r JOIN snap s ON r.cache_key = s.cache_key AND cached_at <= asked_at WHERE kind = 'final') WHERE place = 1 AND asked_at < expires_at""",
+    *_SNAP_NEEDS, "timed_requests", extra=_SNAP))
+def q_snapshot_read_at(spark, sf):
+    """The decoded lists that requests were served at their own times."""
+    r = snap.snapshot_read_at(fx.timed_requests(spark, sf), _fixture_snapshots(spark, sf))
+    return r.select("event_id", "cache_key", "link", "rank")
 
 
 def _answer_sql():
@@ -846,6 +963,40 @@ def _answer_sql():
     return o.with_ctes(body, *_SNAP_NEEDS, extra={**_SNAP, **merge_ctes})
 
 
+LATER = "2024-02-01 00:06:00"
+
+
+def _refreshed(spark, sf):
+    """The snapshot table after the requests at the read time were answered and written back."""
+    stored, items, fetched = fx.stored(spark, sf), fx.items(spark, sf), fx.page_fetch(spark, sf)
+    snaps = _fixture_snapshots(spark, sf, stored=stored, items=items, fetched=fetched)
+    answers, searched = answer.answers_and_searches(fx.requests(spark, sf), stored, items, fetched, snaps, READ_NOW)
+    return materialize(answer.refresh_snapshots(snaps, answers, READ_NOW, searched=searched), "refreshed"), stored, items, fetched
+
+
+@register("answer_after_refresh", _answer_sql().replace("false AS from_cache", "true AS from_cache"))
+def q_answer_after_refresh(spark, sf):
+    """The same requests a minute after their answers were written back: all from the cache."""
+    table, stored, items, fetched = _refreshed(spark, sf)
+    a = answer.answer_requests(fx.requests(spark, sf), stored, items, fetched, table, LATER)
+    return a.select("cache_key", "query", "time_filter", "rank", "title", "link", "snippet",
+                    r4("ml_rank").alias("ml_rank"), "rag_summary", "click_count", "relevance", "from_cache")
+
+
+@register("fresh_written_back", o.with_ctes(
+    f"""SELECT cache_key, rank, title, link, snippet, rag_summary FROM vfresh
+        UNION ALL
+        SELECT query AS cache_key, rank, title, link, snippet, rag_summary FROM ({_SEARCH_HITS}) h
+        WHERE NOT EXISTS (SELECT 1 FROM vfresh f WHERE f.cache_key = h.query)
+          AND EXISTS (SELECT 1 FROM req r WHERE r.query = h.query AND r.cache_key NOT IN (SELECT cache_key FROM vsnap))""",
+    *_SNAP_NEEDS, extra=_SNAP))
+def q_fresh_written_back(spark, sf):
+    """The fresh lists that later requests find: those kept before and those searched for the requests."""
+    table = _refreshed(spark, sf)[0]
+    keys = table.select("cache_key").distinct()
+    return snap.snapshot_read(table, keys, LATER, kind="fresh").select("cache_key", "rank", "title", "link", "snippet", "rag_summary")
+
+
 @register("answer_requests", _answer_sql())
 def q_answer_requests(spark, sf):
     """M8 (flagship): every request answered from a valid snapshot, or by merging
@@ -876,7 +1027,7 @@ def q_feedback_stream(spark, sf):
                             | ((F.col("ts") < mid) & (F.col("event_id") % 11 == 0)))
     for part in (early, late, redelivered):
         part.write.mode("append").parquet(f"{root}/source")
-        q = fstream.start_feedback_stream(spark, f"{root}/source", f"{root}/rollup", f"{root}/state", files_per_batch=None)
+        q = fstream.start_feedback_stream(spark, f"{root}/source", f"{root}/rollup", f"{root}/state", files_per_batch=None, compact=2)
         q.awaitTermination()
         if q.exception() is not None:
             raise RuntimeError(str(q.exception()))

@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitweave.functions.web import url_host, visible_text
+from hitweave.operators.filters import page_stats
 from hitweave.operators.ordinal import ordinal
 from hitweave.session import materialize
-from hitweave.sources.tables import read_events, read_table
+from hitweave.sources.tables import read_events, read_pages, read_table
 
 # The fixture blocklist (four entries of the reference's list plus
 # the two spam hosts present in ``pages``).
@@ -22,9 +23,6 @@ FIXTURE_BLOCKLIST = (
     "www.cheap-pills.example.com", "www.casino-win.example.org",
 )
 
-# The similarity queries of the fixture.
-FIXTURE_SEARCH_QUERIES = ((1, "rewh orre"), (2, "der und rewh"), (3, ""), (4, "zzzz unseen"))
-
 # Fixed clocks of the fixture (never the wall clock).
 NOW_DATED = "2024-01-31 00:00:00"
 NOW_WINDOW = {"day": "2024-01-05 00:00:00", "month": "2024-02-03 00:00:00", "year": "2025-01-04 00:00:00"}
@@ -37,7 +35,7 @@ TITLE = r"(?s)<title>(.*?)</title>"
 
 def page_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with the URL's host as the query (a key that grows with the data), title and visible text."""
-    return _with_text(read_table(spark, sf_dir, "pages").select(
+    return _with_text(read_pages(spark, sf_dir).select(
         "page_id", "url", "html", url_host("url").alias("query")))
 
 
@@ -45,28 +43,29 @@ def _with_text(pages: DataFrame) -> DataFrame:
     return pages.withColumns({"title": F.regexp_extract("html", TITLE, 1), "body": visible_text(F.col("html"))})
 
 
-def hits_with_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``items`` plus the page id and html: arrival order ``pos`` per query by page id.
+def _numbered(spark: SparkSession, sf_dir: str, pages: DataFrame) -> DataFrame:
+    """``pages`` (by ``page_id``) with their arrival order ``pos`` per query, which is by page id; only
+    (page_id, query) is dealt out for that."""
+    keys = read_table(spark, sf_dir, "pages").select("page_id", url_host("url").alias("query"))
+    return pages.join(ordinal(keys, ["query"], ["page_id"], out="pos", base=0), "page_id")
 
-    Only the cheap ``(page_id, query)`` projection is numbered; the raw pages are
-    joined back and the title/body regexes run after the join, so a filter on
-    ``pos`` (the first ten hits) reaches the join before any text work."""
-    pages = read_table(spark, sf_dir, "pages")
-    keys = pages.select("page_id", url_host("url").alias("query"))
-    pos = ordinal(keys, ["query"], ["page_id"], out="pos", base=0)
-    numbered = _with_text(pages.select("page_id", "url", "html").join(pos, "page_id"))
-    return numbered.select(
-        "query", "pos",
-        F.when(F.col("page_id") % 37 == 5, F.lit("")).otherwise(F.col("title")).alias("title"),
-        F.col("url").alias("link"),
-        F.col("body").alias("snippet"),
-        "page_id", "html",
-    )
+
+def _shown_title(title) -> F.Column:
+    return F.when(F.col("page_id") % 37 == 5, F.lit("")).otherwise(title)
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Landed search hits ``(query, pos, title, link, snippet)``."""
-    return hits_with_pages(spark, sf_dir).select("query", "pos", "title", "link", "snippet")
+    """Landed search hits ``(query, pos, title, link, snippet)``.  The text regexes run after the numbers are
+    joined, so a filter on ``pos`` (the first ten hits) reaches the join before any text work."""
+    numbered = _with_text(_numbered(spark, sf_dir, read_pages(spark, sf_dir).select("page_id", "url", "html")))
+    return numbered.select("query", "pos", _shown_title(F.col("title")).alias("title"), F.col("url").alias("link"), F.col("body").alias("snippet"))
+
+
+def measured_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits ``(query, pos, link, word_count, link_count, content_score)``, measured where the pages
+    are read: no page moves."""
+    pages = page_stats(read_pages(spark, sf_dir).select("page_id", "url", "html")).drop("html")
+    return _numbered(spark, sf_dir, pages).withColumnRenamed("url", "link").drop("page_id")
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,9 +123,9 @@ def act(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Click feedback events; some lack the required link."""
+    """Click feedback events; some lack the required link, some an id."""
     a = act(spark, sf_dir).filter(F.col("event_type") == "click")
-    return a.select("event_id", "ts", "query",
+    return a.select(F.when(F.col("event_id") % 13 != 0, F.col("event_id")).alias("event_id"), "ts", "query",
                     F.when(F.col("event_id") % 97 == 0, F.lit(None).cast("string")).otherwise(F.col("link")).alias("link"),
                     "title", "snippet", "ml_rank", F.lit("").alias("rag_summary"), F.lit(1).cast("int").alias("rank"))
 
@@ -158,12 +157,37 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("query", F.explode(F.array(F.lit("day"), F.lit("month"), F.lit(""), F.lit("decade"))).alias("time_filter"))
 
 
+def timed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request per event, at the event's time, for one of the queries, with one of the time filters or none."""
+    hosts = read_table(spark, sf_dir, "pages").select(url_host("url").alias("query")).distinct()
+    queries = ordinal(hosts, [], ["query"], out="number", base=0)
+    n = hosts.select(F.count(F.lit(1))).scalar()
+    ev = read_events(spark, sf_dir).select("event_id", F.col("ts").alias("asked_at"), (F.col("user_id") % n).alias("number"))
+    suffix = F.element_at(F.array(F.lit(""), F.lit(":day"), F.lit(":month"), F.lit(":year")), (F.col("event_id") % 4 + 1).cast("int"))
+    return ev.join(queries, "number").select("event_id", "asked_at", F.concat("query", suffix).alias("cache_key"))
+
+
+def snapshot_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions of every query's lists over a month: times to live of 10 to 30 hours, some versions of
+    one time, some queries' lists of some days missing."""
+    hosts = read_table(spark, sf_dir, "pages").select(url_host("url").alias("query")).distinct()
+    keys = hosts.select("query", F.explode(F.array(F.lit(""), F.lit(":day"), F.lit(":month"))).alias("suffix"))
+    days = keys.withColumn("day", F.explode(F.sequence(F.lit(0), F.lit(29)))).filter((F.col("day") + F.length("query")) % 4 != 0)
+    at = F.to_timestamp(F.lit("2024-01-01 00:00:00")) + F.make_interval(days=F.col("day"), hours=F.col("day") * 7 % 24)
+    versions = F.when(F.col("day") % 5 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))).cast("array<bigint>")
+    rows = days.select(F.concat("query", "suffix").alias("cache_key"), F.lit("final").alias("kind"), "day", at.alias("cached_at"),
+                       F.explode(versions).alias("version"))
+    hours = (F.col("day") % 3 + F.col("version")) * 10
+    return rows.select("cache_key", "kind", "version", "cached_at", (F.col("cached_at") + F.make_interval(hours=hours.cast("int"))).alias("expires_at"))
+
+
 def blocklist(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(h,) for h in FIXTURE_BLOCKLIST], "host string")
 
 
-def search_queries(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(FIXTURE_SEARCH_QUERIES), "query_id int, text string")
+def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth document as a query, for the similarity search against all documents."""
+    return read_table(spark, sf_dir, "documents").filter(F.col("doc_id") % 50 == 0).select(F.col("doc_id").alias("query_id"), "text")
 
 
 def search_docs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hitweave.functions.text import html_unescape
+from hitweave.functions.entities import html_unescape
 
 ITEM_SCHEMA = T.StructType([
     T.StructField("title", T.StringType()),
