@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 from collections.abc import Iterator
+from operator import add
 
 import ahocorasick
 import numpy as np
@@ -32,8 +33,9 @@ from pyspark.sql import functions as F
 from hitweave.llm.common import mapped
 
 MARK = "▁"  # fixed value: the white-space mark
-REMEMBERED = 200_000  # words, in each of two generations
+REMEMBERED = 300_000  # words, in each of two generations
 PAIRS = 500_000  # compatibility answers
+_START = 1 << 19  # in place of a token, where a span begins
 LONG_WORD = 256  # characters; longer words are encoded but not remembered
 
 
@@ -55,6 +57,15 @@ class Words(dict):
         return found
 
 
+class Odd(str):
+    """Ids of a word that decode to another ``text``."""
+
+    def __new__(cls, ids: str, text: str):
+        odd = super().__new__(cls, ids)
+        odd.text = text
+        return odd
+
+
 class Tokenizer:
     """Vocabulary of a SentencePiece BPE model file; the library only reads the file."""
 
@@ -88,10 +99,10 @@ class Tokenizer:
         self._chars = frozenset(p for p in self.id_of if len(p) == 1)
         self._size = [len(p) for p in self.pieces]
         self._digits = [str(i) for i in range(len(self.pieces))]
-        self._plain = [None if i in special else p.replace(MARK, " ") for i, p in enumerate(self.pieces)]
         self._inside = {p[i:i + 2] for p in self.id_of for i in range(len(p) - 1)}  # neighbours in any piece
         self._allowed: dict[int, bool] = {}
-        self._run_ids: dict[int, list[int]] = {}
+        self._run_ids: dict[int, str] = {}
+        self._mark = str(self.runs[1])
         self.words, self.spans = Words(self._word), Words(self._ids)
 
     def _last_merge(self, piece: str) -> tuple[int, int] | None:
@@ -128,24 +139,19 @@ class Tokenizer:
     def _known(self, span: str) -> list[int]:
         """Ids of a span without characters outside the vocabulary."""
         last: list[int] = [-1] * (len(span) + 1)
-        allowed = self._allowed
+        last[0] = _START
+        allowed, found = self._allowed, -1
         for end, (token, size) in self.automaton.iter(span):  # the longest token first
-            end += 1
-            if last[end] >= 0:
+            if end == found:
                 continue
-            if size < end:
-                before = last[end - size]
-                pair = before << 20 | token
-                if pair in allowed:
-                    if not allowed[pair]:
-                        continue
-                else:
-                    if len(allowed) >= PAIRS:
-                        allowed.clear()
-                    ok = allowed[pair] = self.may_follow(before, token)
-                    if not ok:
-                        continue
-            last[end] = token
+            before = last[end + 1 - size]
+            ok = allowed.get(before << 20 | token)
+            if ok is None:
+                if len(allowed) >= PAIRS:
+                    allowed.clear()
+                ok = allowed[before << 20 | token] = before == _START or self.may_follow(before, token)
+            if ok:
+                last[end + 1], found = token, end
         ids, at, sizes = [], len(span), self._size
         while at:
             token = last[at]
@@ -154,8 +160,8 @@ class Tokenizer:
         ids.reverse()
         return ids
 
-    def _run(self, n: int) -> list[int]:
-        """Ids of ``n`` white-space marks: neighbours are merged leftmost first while a piece of
+    def _run(self, n: int) -> str:
+        """Ids of ``n`` white-space marks, joined by commas: neighbours are merged leftmost first while a piece of
         their length exists."""
         if n not in self._run_ids:
             if len(self._run_ids) > 1000:
@@ -174,61 +180,78 @@ class Tokenizer:
                         heapq.heappush(agenda, (i, size[i], size[nxt[i]]))
                 if prev[i] >= 0 and size[prev[i]] + size[i] in self.runs:
                     heapq.heappush(agenda, (prev[i], size[prev[i]], size[i]))
-            self._run_ids[n] = [self.runs[s] for s in size if s]
+            self._run_ids[n] = ",".join([str(self.runs[s]) for s in size if s])
         return self._run_ids[n]
 
-    def _ids(self, span: str) -> list[int]:
-        """Ids of a span that no merge leaves: a known span, or one character that is not."""
-        return self._known(span) if span[0] in self._chars else [self.byte_id[b] for b in span.encode()]
+    def _ids(self, span: str) -> str:
+        """Ids, joined by commas, of a span that no merge leaves: a known span, or one character that is not."""
+        ids = self._known(span) if span[0] in self._chars else [self.byte_id[b] for b in span.encode()]
+        return ",".join([self._digits[i] for i in ids])
 
-    def _span(self, marked: str) -> list[int]:
+    def _span(self, marked: str) -> str:
         """Ids of one word, its mark in front.  It is cut between characters that stand side by
         side in no piece (a letter and a comma, say): no merge crosses there."""
-        inside, at, ids = self._inside, 0, []
+        inside = self._inside
+        if inside.issuperset(map(add, marked, marked[1:])):
+            return self.spans[marked]
+        at, ids = 0, []
         for i in range(1, len(marked)):
             if marked[i - 1:i + 1] not in inside:
-                ids += self.spans[marked[at:i]]
+                ids.append(self.spans[marked[at:i]])
                 at = i
-        return ids + self.spans[marked[at:]]
+        ids.append(self.spans[marked[at:]])
+        return ",".join(ids)
 
-    def _word(self, word: str) -> tuple[int, str, str]:
+    def _word(self, word: str) -> str:
+        """Ids of a word, joined by commas; ``Odd`` if they do not decode to the word.  (Pieces of characters of the
+        vocabulary are the word, cut; others go through bytes, which are decoded here.)"""
         ids = self._span(MARK + word)
-        plain = [self._plain[i] for i in ids]
-        return (len(ids), ",".join([self._digits[i] for i in ids]),
-                self.decode(ids, keep_space=True) if None in plain else "".join(plain))
+        if self._chars.issuperset(word):
+            return ids
+        text = self.decode(list(map(int, ids.split(","))), keep_space=True)
+        return ids if text == " " + word else Odd(ids, text)
 
     def encode(self, text: str) -> list[int]:
         n, ids, _ = self.describe(text)
         return list(map(int, ids.split(","))) if n else []
 
     def describe(self, text: str | None) -> tuple[int, str, str]:
-        """Number of ids, the ids joined by commas, and the text they decode to."""
+        """Number of ids, the ids joined by commas, and the text they decode to.
+
+        What a word's ids decode to was found when the word was first met; where that is the word itself for all
+        words of a text, the ids decode to the text."""
         if not text:
             return 0, "", ""
-        words = text.replace(MARK, " ").split(" ")  # one mark is put in front of the text, as the library does
+        spaced = text.replace(MARK, " ")  # one mark is put in front of the text, as the library does
+        words = spaced.split(" ")
         if "" not in words:
-            found = [self.words[w] for w in words]
+            found = list(map(self.words.__getitem__, words))
+            odd = {*map(type, found)} != {str}
+            plain = "".join([f.text if type(f) is Odd else " " + w for f, w in zip(found, words)])[1:] if odd else spaced
         else:
-            found, spaces = [], 0
-            for i, w in enumerate(words):
+            found, texts, spaces = [], [], 0
+            for w in words:
                 spaces += 1
                 if w:
-                    n, ids, plain = self.words[w]
+                    ids = self.words[w]
+                    text_of = ids.text if type(ids) is Odd else " " + w
                     if spaces > 1:
-                        alone = ids.split(",", 1)[0] == str(self.runs[1])  # the word's own mark stayed single
-                        found.append(self._blank(spaces - (not alone)))
-                        n, ids, plain = (n - 1, ids.partition(",")[2], plain[1:]) if alone else (n, ids, plain)
-                    if n:
-                        found.append((n, ids, plain))
+                        first, _, rest = ids.partition(",")
+                        alone = first == self._mark  # the word's own mark stayed single
+                        n = spaces - (not alone)
+                        found.append(self._run(n))
+                        texts.append(" " * n)
+                        ids, text_of = (rest, text_of[1:]) if alone else (ids, text_of)
+                    if ids:
+                        found.append(ids)
+                    texts.append(text_of)
                     spaces = 0
             if spaces:
-                found.append(self._blank(spaces))
-        counts, ids, plain = zip(*found)
-        return sum(counts), ",".join(ids), "".join(plain)[1:]
-
-    def _blank(self, n: int) -> tuple[int, str, str]:
-        ids = self._run(n)
-        return len(ids), ",".join(map(str, ids)), self.decode(ids, keep_space=True)
+                found.append(self._run(spaces))
+                texts.append(" " * spaces)
+            plain = "".join(texts)[1:]
+        ids = ",".join(found)
+        return ids.count(",") + 1, ids, plain
 
     def decode(self, ids: list[int], keep_space: bool = False) -> str:
         """Text of ids: the mark is a space, one leading space is dropped, runs of byte pieces
