@@ -916,7 +916,7 @@ _SERVED = {"served": ("""SELECT r.*, version, cached_at, expires_at, row_number(
 
 
 @register("request_status_at", o.with_ctes(
-    """SELECT event_id, cache_key, CASE WHEN asked_at < expires_at THEN version END AS version, CASE WHEN asked_at < expires_at THEN cached_at END AS cached_at,
+    """SELECT event_id, cache_key, CASE WHEN asked_at < expires_at THEN CAST(version AS BIGINT) END AS version, CASE WHEN asked_at < expires_at THEN cached_at END AS cached_at,
               CASE WHEN asked_at < expires_at THEN 'hit' ELSE 'miss' END AS status FROM served WHERE place = 1""",
     "timed_requests", "snapshot_times", extra=_SERVED))
 def q_request_status_at(spark, sf):
