@@ -156,8 +156,9 @@ def _extended(base: DataFrame, found: DataFrame, span: int, sizes: list[int], wi
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with all their columns."""
+    """The rows of ``docs`` that are not contaminated, with all their columns, whatever their names."""
     bad = contamination(docs, bench, doc_id, text).filter("contaminated") \
-        .select(F.col("doc_id").alias("__bad_id"), F.col("key").alias("__bad_key")).distinct()
-    cond = F.col(f"`{doc_id}`").eqNullSafe(F.col("__bad_id")) & (F.xxhash64(text_or_empty(text)) == F.col("__bad_key"))
-    return docs.join(bad, cond, "left_anti")
+        .select(F.col("doc_id").alias("bad_id"), F.col("key").alias("bad_key")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{doc_id}`").alias("id"),
+                       F.xxhash64(text_or_empty(F.col(f"`{text}`"))).alias("key"))
+    return rows.join(bad, F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("key") == F.col("bad_key")), "left_anti").select("row.*")

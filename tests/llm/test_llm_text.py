@@ -89,6 +89,15 @@ def test_contamination(spark, short):
     assert decontam.contamination(frame(spark, []), items).isEmpty()
 
 
+def test_decontamination_with_any_columns(spark):
+    names = "doc_id bigint, text string, __bad_id int, bad_id string, bad_key int, id int, row string, w int"
+    bench = spark.createDataFrame([(1, "w " * 13)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "w " * 20, 1, "b", 2, 3, "r", 4), (2, "fine", 1, "b", 2, 3, "r", 4), (None, None, None, None, None, None, None, None)], names)
+    clean = decontam.decontaminate(docs, bench)
+    assert clean.columns == docs.columns and sorted(r.doc_id or 0 for r in clean.collect()) == [0, 2]
+    assert decontam.decontaminate(docs.limit(0), bench).isEmpty() and decontam.decontaminate(docs, bench.limit(0)).count() == 3
+
+
 def test_contamination_of_capital_sigma(spark):
     """A sigma that ends a word before punctuation, and one beside an apostrophe."""
     bench = [(1, " ".join(f"\u0391.\u03a3. \u039f'\u03a3 {i}" for i in range(6))), (2, "\u0391.\u03a3. one"), (3, "two \u0391'\u03a3'\u0391")]
