@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from hitweave.operators.ordinal import ordinal
 from hitweave.session import scratch_path
 
+
 def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
@@ -55,6 +59,22 @@ def unique_name(taken: list[str], name: str) -> str:
     return name
 
 
+def any_ids(operator: Callable) -> Callable:
+    """Let an operator that works on integer ids take any: others are numbered in their order first, and the
+    numbers turned back into ids at the end.  (Only then do the texts move once more.)"""
+    @wraps(operator)
+    def run(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+        kind = docs.schema[doc_id].dataType
+        if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+            return operator(docs, doc_id, text)
+        rows = docs.select(F.col(f"`{doc_id}`").alias("name"), F.col(f"`{text}`").alias("text"))
+        names = stored(ordinal(rows.select("name").distinct().filter("name is not null"), [], ["name"], out="number"), "id-numbers")
+        out = operator(rows.join(names, "name", "left").select(F.col("number").alias("doc_id"), "text"), "doc_id", "text")
+        return out.join(names, out["doc_id"] == names["number"], "left").select(
+            F.col("name").alias("doc_id"), *[out[c] for c in out.columns if c != "doc_id"])
+    return run
+
+
 def importable(spark: SparkSession) -> None:
     """Let Python workers on this machine import this package, wherever it was imported from.
     (On a cluster it is installed on the executors.)"""

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hitweave.llm.anchors import Rolling, first_of, merged, segments, word_units
-from hitweave.llm.common import mapped, stored, text_or_empty
+from hitweave.llm.common import any_ids, mapped, stored, text_or_empty
 
 WINDOW = 20
 GRAM = 5
@@ -194,6 +194,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                               pa.array(digest), pa.array(plain)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
 
+@any_ids
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_words, n_removed, kept_sha256`` and ``kept``, the
     words that stay joined by a space."""

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hitweave.llm.anchors import Rolling, _least, byte_units, merged, mixed
-from hitweave.llm.common import mapped, stored
+from hitweave.llm.common import any_ids, mapped, stored
 from hitweave.llm.sais import permuted_lcp, suffix_array
 from hitweave.llm.substring import MAX_LONG, keyed, occurrences
 
@@ -222,6 +222,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
+@any_ids
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and
     ``kept``, the bytes that stay."""

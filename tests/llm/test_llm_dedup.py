@@ -103,6 +103,16 @@ def test_substring_dedup(spark, monkeypatch, hot):
     assert sorted(map(tuple, got), key=key) == sorted(brute_words(rows), key=key)
 
 
+@pytest.mark.parametrize("operator, brute", [(substring, "brute_words"), (suffix, "brute_bytes")], ids=["words", "bytes"])
+def test_ids_of_other_types(spark, operator, brute):
+    """Ids in the order of their strings, null last."""
+    rows = [(i, (t or "") + " shared words of one long passage" * 14 if i is not None and i % 3 == 0 else t) for i, t in sample(4, 15)]
+    named = [(None if i is None else f"d{i:05d}", t) for i, t in rows]
+    got = operator.deduplicated(spark.createDataFrame(named, "name string, body string"), "name", "body").drop("kept").collect()
+    want = [(None if r[0] is None else f"d{r[0]:05d}", *r[1:]) for r in globals()[brute](rows)]
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key) and any(r[2] for r in want)
+
+
 def brute_bytes(rows, n=400):
     data = [(t or "").encode() for _, t in rows]
     seen = {}
