@@ -17,7 +17,7 @@ def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``pages``, for work on the page bodies.  That takes far longer than reading them, so a table that is read by
     fewer tasks than the cluster runs at once (few files, which cannot be split) is dealt out first."""
     pages, slots = read_table(spark, sf_dir, "pages"), spark.sparkContext.defaultParallelism
-    return pages.repartition(slots) if len(pages.inputFiles()) < slots else pages
+    return pages.repartition(slots) if pages.rdd.getNumPartitions() < slots else pages
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Summarise the final (AQE) physical plan of every registered query.
+"""Summarise the physical plans of every registered query, those of the tables it writes included.
 
 usage: python tools/plan_report.py [--sf DIR] > PLANS.md
 """
@@ -10,6 +10,8 @@ import os
 import re
 import sys
 
+from pyspark.sql.readwriter import DataFrameWriter
+
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 COUNT = ("Exchange", "BroadcastExchange", "BroadcastHashJoin", "SortMergeJoin", "ShuffledHashJoin",
@@ -31,6 +33,25 @@ def summarise(plan: str) -> dict:
     return out
 
 
+def jobs(fn, spark, sf) -> list[str]:
+    """Final plans of everything a query runs: the tables it writes while its frame is built, and its result."""
+    plans = []
+    write = DataFrameWriter.parquet
+
+    def noted(writer, path, *args, **kwargs):
+        write(writer, path, *args, **kwargs)
+        plans.append(writer._df._jdf.queryExecution().executedPlan().toString())
+
+    DataFrameWriter.parquet = noted
+    try:
+        df = fn(spark, sf)
+    finally:
+        DataFrameWriter.parquet = write
+    df.write.format("noop").mode("overwrite").save()
+    plans.append(df._jdf.queryExecution().executedPlan().toString())
+    return [p.split("== Initial Plan ==")[0] for p in plans]
+
+
 def main() -> None:
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
@@ -38,24 +59,20 @@ def main() -> None:
     from hitweave.plans.registry import QUERIES
     from hitweave.session import build_session
     spark = build_session("local[8]", 16)
-    print("# Physical plans (final AQE plans, executed at", os.path.basename(a.sf) + ")\n")
-    print("Counts of operators in each query's final plan.  Inputs written once by a numbering pass, a fit or a")
-    print("table at rest (results, snapshots) appear as parquet scans; their own jobs ran when the DataFrame was")
-    print("built.  `top-k limit` counts `WindowGroupLimit` nodes (k rows kept per task before the shuffle).")
-    print("Broadcasts are chosen by Spark from measured sizes; every other join is a keyed shuffle join.  Regenerate with")
-    print("`python tools/plan_report.py > PLANS.md`.\n")
-    print("| key | shuffles | broadcasts | BHJ | SMJ | windows | top-k limit | partial+final aggs | parquet scans | "
-          "joins |")
-    print("|---|---|---|---|---|---|---|---|---|---|")
+    print("# Physical plans (executed at", os.path.basename(a.sf) + ")\n")
+    print("Counts of operators in the plans of each query: the tables it writes while its frame is built (`tables`: fixtures,")
+    print("numbering passes, fits, tables at rest) and its result, together; of written tables the plan before the write is run is")
+    print("counted, of the result the final AQE plan.  `top-k limit` counts `WindowGroupLimit` nodes (k rows kept per task before the")
+    print("shuffle).  Jobs of streams are not in it.  Regenerate with `python tools/plan_report.py > PLANS.md`.\n")
+    print("| key | tables | shuffles | broadcasts | BHJ | SMJ | windows | top-k limit | aggs | parquet scans | joins of the result |")
+    print("|---|---|---|---|---|---|---|---|---|---|---|")
     for k, fn in QUERIES.items():
-        df = fn(spark, a.sf)
-        df.write.format("noop").mode("overwrite").save()
-        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-        s = summarise(plan)
-        joins = ", ".join(f"{j} {t}" for j, t in s["joins"])
-        print(f"| {k} | {s['Exchange']} | {s['BroadcastExchange']} | {s['BroadcastHashJoin']} | {s['SortMergeJoin']} | "
-              f"{s['Window']} | {s['WindowGroupLimit']} | {s['HashAggregate']} | "
-              f"{s['FileScan parquet']} | {joins} |", flush=True)
+        plans = jobs(fn, spark, a.sf)
+        parts = [summarise(p) for p in plans]
+        n = {w: sum(p[w] for p in parts) for w in COUNT}
+        joins = ", ".join(f"{j} {t}" for j, t in parts[-1]["joins"])
+        print(f"| {k} | {len(plans) - 1} | {n['Exchange']} | {n['BroadcastExchange']} | {n['BroadcastHashJoin']} | {n['SortMergeJoin']} | "
+              f"{n['Window']} | {n['WindowGroupLimit']} | {n['HashAggregate']} | {n['FileScan parquet']} | {joins} |", flush=True)
     spark.stop()
 
 
