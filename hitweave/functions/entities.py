@@ -16,7 +16,7 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NAME = r"^[^\t\n\x0c <&#;]{1,32};?"  # what may be a name
+REFERENCE = r"^(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\x0c <&#;]{1,32};?)"  # a number, or what may be a name
 MAX_CODE = 0x10FFFF
 LOST = "�"
 
@@ -62,32 +62,35 @@ def character(code: Column) -> Column:
             .when(nothing, F.lit("")).otherwise(plain))
 
 
-def _number(digits: Column, base: int) -> Column:
-    """Value of a run of digits, -1 when it is too large to be a character."""
-    short = F.regexp_replace(digits, "^0+(?=.)", "")
-    return F.when(F.length(short) > 7, F.lit(-1)).otherwise(F.conv(short, base, 10).cast("bigint")).cast("bigint")
+def _code(number: Column) -> Column:
+    """Value of a numeric reference without ``&``, -1 when it is too large to be a character."""
+    hexadecimal = F.rlike(number, F.lit("^#[xX]"))
+    digits = F.regexp_replace(number, "^#[xX]?0*(?=[0-9a-fA-F])|;", "")
+    value = F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10))
+    return F.when(F.length(digits) > 7, F.lit("-1")).otherwise(value).cast("bigint")
 
 
 def _piece(after: Column) -> Column:
     """What stands for ``&`` and the text after it."""
-    found = F.struct(F.regexp_extract(after, "^#[0-9]+;?", 0).alias("decimal"), F.regexp_extract(after, "^#[xX][0-9a-fA-F]+;?", 0).alias("hexadecimal"))
+    found = F.regexp_extract(after, REFERENCE, 0)
     rest = lambda part: F.substr(after, F.length(part) + 1)
-    number = lambda digits, base: character(_number(F.regexp_replace(digits, "[^0-9a-fA-F]", ""), base))
     untouched = F.concat(F.lit("&"), after)
 
     def old(name: Column) -> Column:
         short = F.regexp_extract(name, _old_names(), 0)
         return F.when(short == "", untouched).otherwise(F.concat(F.try_element_at(_map(_table(True)), short), rest(short)))
 
+    def numbered(reference: Column) -> Column:
+        decoded = F.transform(F.array(_code(reference)), character)
+        return F.concat(F.get(decoded, 0), rest(reference))
+
     def named(name: Column) -> Column:
         whole = F.transform(F.array(F.try_element_at(_map(_table(False)), name)),
                             lambda c: F.when(c.isNull(), old(name)).otherwise(F.concat(c, rest(name))))
-        return F.when(name == "", untouched).otherwise(F.get(whole, 0))
+        return F.get(whole, 0)
 
-    numbered = F.transform(F.array(found), lambda f: F.when(f["decimal"] != "", F.concat(number(f["decimal"], 10), rest(f["decimal"])))
-                           .when(f["hexadecimal"] != "", F.concat(number(f["hexadecimal"], 16), rest(f["hexadecimal"]))).otherwise(untouched))
-    word = F.transform(F.array(F.regexp_extract(after, NAME, 0)), named)
-    return F.when(F.startswith(after, F.lit("#")), F.get(numbered, 0)).otherwise(F.get(word, 0))
+    one = F.transform(F.array(found), lambda r: F.when(r == "", untouched).when(F.startswith(r, F.lit("#")), numbered(r)).otherwise(named(r)))
+    return F.get(one, 0)
 
 
 def html_unescape(text: Column) -> Column:
