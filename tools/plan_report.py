@@ -1,6 +1,6 @@
 """Summarise the physical plans of every registered query, those of the tables it writes included.
 
-usage: python tools/plan_report.py [--sf DIR] > PLANS.md
+usage: python tools/plan_report.py [--sf DIR]
 """
 
 from __future__ import annotations
@@ -63,7 +63,7 @@ def main() -> None:
     print("Counts of operators in the plans of each query: the tables it writes while its frame is built (`tables`: fixtures,")
     print("numbering passes, fits, tables at rest) and its result, together; of written tables the plan before the write is run is")
     print("counted, of the result the final AQE plan.  `top-k limit` counts `WindowGroupLimit` nodes (k rows kept per task before the")
-    print("shuffle).  Jobs of streams are not in it.  Regenerate with `python tools/plan_report.py > PLANS.md`.\n")
+    print("shuffle).  Jobs of streams are not in it.\n")
     print("| key | tables | shuffles | broadcasts | BHJ | SMJ | windows | top-k limit | aggs | parquet scans | joins of the result |")
     print("|---|---|---|---|---|---|---|---|---|---|---|")
     for k, fn in QUERIES.items():
